@@ -1,0 +1,24 @@
+"""The queries of this subpackage, each over its whole table, and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quillon.llm.ngram_join import ngram_jaccard_join
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=3, threshold=0.5)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_ngram_join": op10_ngram_join,
+}
+
+ORACLE_SQL: dict[str, str] = {}
