@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.bpe import bpe_encode
 from quillon.llm.decontaminate import contamination
+from quillon.llm.html_extract import extract_html
+from quillon.llm.langid import identify, train
 from quillon.llm.ngram_join import ngram_jaccard_join
 from quillon.llm.suffix_dedup import repeated_passages
 from quillon.llm.toxicity import toxicity
+from quillon.llm.url_filter import oracle_sql as url_filter_sql
+from quillon.llm.url_filter import rules_table, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +25,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(_table(spark, sf_dir, "documents"))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, train(docs))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=8)
 
@@ -29,6 +38,14 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=3, threshold=0.5)
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(_table(spark, sf_dir, "pages"), rules_table(spark))
+
+
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_html(_table(spark, sf_dir, "pages"), min_words=8)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"))
 
@@ -38,11 +55,16 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op3_html_extract": op3_html_extract,
     "op4_toxicity": op4_toxicity,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op7_bpe": op7_bpe,
+    "op8_langid": op8_langid,
     "op9_decontaminate": op9_decontaminate,
     "op10_ngram_join": op10_ngram_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": url_filter_sql(),
+}
