@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.bpe import bpe_encode
 from quillon.llm.decontaminate import contamination
+from quillon.llm.hnsw_dedup import near_duplicates
 from quillon.llm.html_extract import extract_html
 from quillon.llm.langid import identify, train
 from quillon.llm.ngram_join import ngram_jaccard_join
@@ -42,6 +43,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages"), rules_table(spark))
 
 
+def op2_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_html(_table(spark, sf_dir, "pages"), min_words=8)
 
@@ -56,6 +61,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_hnsw_dedup": op2_hnsw_dedup,
     "op3_html_extract": op3_html_extract,
     "op4_toxicity": op4_toxicity,
     "op5_suffix_dedup": op5_suffix_dedup,
