@@ -22,11 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._text import U64, Words, chunks, mix, ranges, span_hash
+from quillon.llm._bitmap import bitmap, slots, taken
+from quillon.llm._text import U64, Words, chunks, ranges, span_hash
 from quillon.session import Scratch, ship
 
-BITS = 1 << 24
-SLICES = 16
 NUMBER, NAME, UNIT = (U64(0x51A7000000000001 + i) for i in range(3))
 UNITS = "km m cm mm mi mile miles meter meters metre metres kilometers kilometres foot feet ft inch inches yard yards kg g mg lb lbs pound pounds ounce ounces oz gram grams kilogram kilograms ton tons l ml liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh percent dollar dollars euro euros cent cents usd eur degrees celsius fahrenheit watt watts volt volts"
 
@@ -107,37 +106,9 @@ def _item_windows(width: int):
     return run
 
 
-def _bit(h: np.ndarray) -> np.ndarray:
-    return (mix(h) >> U64(40)).astype(np.int64)
-
-
-def _marker(batches):
-    bits = np.zeros(BITS, dtype=bool)
-    for b in batches:
-        bits[_bit(b.column(0).to_numpy().view(U64))] = True
-    each = BITS // SLICES
-    parts = [np.packbits(bits[s * each : (s + 1) * each]).tobytes() for s in range(SLICES)]
-    yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "bits"])
-
-
-def _merge_marks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    total = np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in table.column("bits")])
-    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
-
-
-def _bitmap(windows: DataFrame) -> np.ndarray:
-    """Which of BITS slots the windows use: 2 MB, whatever the benchmark's size."""
-    rows = windows.select("h").mapInArrow(_marker, "slice int, bits binary").groupBy("slice").applyInArrow(_merge_marks, "slice int, bits binary").collect()
-    out = np.zeros(BITS // 8, dtype=np.uint8)
-    each = BITS // SLICES // 8
-    for r in rows:
-        out[r["slice"] * each : (r["slice"] + 1) * each] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return out
-
-
 def _doc_windows(widths: list[int], shared):
     def run(batches):
-        bits = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8)).astype(bool)
+        bits = taken(shared.value)
         for b in batches:
             for i, k in chunks(b.column(1)):
                 rows = b.slice(i, k)
@@ -145,7 +116,7 @@ def _doc_windows(widths: list[int], shared):
                 for width in widths:
                     for stream in (0, 1):
                         s, h = c.windows(width, stream)
-                        hit = bits[_bit(h)]
+                        hit = bits[slots(h)]
                         s, h = s[hit], h[hit]
                         for j in range(0, len(s), 1 << 15):
                             yield _rows_of(c, rows.column(0), s[j : j + (1 << 15)], h[j : j + (1 << 15)], width, stream)
@@ -177,7 +148,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverag
     items = benchmark.selectExpr("cast(item_id as long) id", "cast(text as string) text").where("id is not null and text is not null").distinct()
     windows = scratch.save(items.mapInArrow(_item_windows(width), _WINDOWS))
     widths = sorted(r["width"] for r in windows.select("width").distinct().collect())
-    shared = spark.sparkContext.broadcast(_bitmap(windows).tobytes())
+    shared = spark.sparkContext.broadcast(bitmap(windows, "h"))
     rows = docs.selectExpr("cast(doc_id as long) id", "cast(text as string) text").where("id is not null and text is not null")
     found = rows.mapInArrow(_doc_windows(widths, shared), _WINDOWS)
     of_item = windows.groupBy("id", "stream", "words").agg(F.count_distinct("at").alias("n"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.llm import gru_lm
 from quillon.llm.bpe import bpe_encode
 from quillon.llm.decontaminate import contamination
 from quillon.llm.hnsw_dedup import near_duplicates
@@ -22,6 +23,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return gru_lm.lm_score(docs, *gru_lm.train(docs))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extract": op3_html_extract,
     "op4_toxicity": op4_toxicity,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_lm_score": op6_lm_score,
     "op7_bpe": op7_bpe,
     "op8_langid": op8_langid,
     "op9_decontaminate": op9_decontaminate,
