@@ -303,7 +303,7 @@ def train(docs: DataFrame, words: int = 2000, warm_rows: int = 1000) -> tuple[Vo
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("text is not null")
     vocabulary = vocabulary_of(docs, words)
     trainer = Trainer(vocabulary, fresh(vocabulary))
-    sample = docs.join(docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(warm_rows).distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    sample = docs.join(F.broadcast(docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(warm_rows)), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     first = spark.sparkContext.broadcast((vocabulary, trainer.p))
     warm = sample.select("text").coalesce(1).mapInArrow(_train(first), _COPY).orderBy("slice").collect()
     if not warm:
