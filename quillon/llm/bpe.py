@@ -22,11 +22,11 @@ distinct words of a batch in step. Decoding emits the labels of the arcs.
 from __future__ import annotations
 
 import json
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,11 +142,10 @@ def _unicode_bytes() -> dict[str, int]:
 
 
 def _classes() -> np.ndarray:
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    out = np.full(0x110000, REST, dtype=np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (SPACE, r"\s+")):
-        for m in regex.finditer(pattern, every):
-            out[ord(every[m.start()]) : ord(every[m.end() - 1]) + 1] = kind
+    """By the Unicode version of this Python; a sign that Unicode added later counts as no letter."""
+    every = [chr(i) for i in range(0x110000)]
+    out = np.array([{"L": LETTER, "N": DIGIT}.get(unicodedata.category(c)[0], REST) for c in every], dtype=np.uint8)
+    out[[i for i, c in enumerate(every) if c.isspace() and not 0x1C <= i <= 0x1F]] = SPACE
     return out
 
 
