@@ -35,13 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm._bitmap import bitmap, slots, taken
 from quillon.llm._graph import components
 from quillon.llm._text import U64, Words, chunks, mix, ranges, span_hash
 from quillon.session import Scratch, partitions, ship
 
 SKETCH = 1 << 20
 SLICES = 16
-BLOCK_DOCS, BLOCK_GRAMS = 1024, 1 << 20
+BLOCK_DOCS, BLOCK_GRAMS = 2048, 1 << 21
 _LOW47 = U64((1 << 47) - 1)
 
 
@@ -213,52 +214,80 @@ def _enough(pairs: DataFrame, facts: DataFrame, t: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where((F.least("na", "nb") >= F.lit(t) * F.greatest("na", "nb") - 1e-9) & (F.col("c") >= need)).select("a", "b")
 
 
-def _crossing(batches):
-    """All pairs of documents of different groups in each posting list; rows are (tok, doc, comp), a partition holds whole lists."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
-    tok, doc, comp = (t.column(c).to_numpy() for c in ("tok", "doc", "comp"))
-    order = np.lexsort((doc, comp, tok))
-    tok, doc, comp = tok[order], doc[order], comp[order]
-    first = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
-    end = np.append(first[1:], len(tok))
-    group = np.flatnonzero(np.concatenate(([True], (tok[1:] != tok[:-1]) | (comp[1:] != comp[:-1]))))
-    stop = np.append(group[1:], len(tok))
-    a_of = np.repeat(stop, stop - group)  # a row pairs with all rows of its list behind its own group
-    list_end = np.repeat(end, end - first)
-    many = list_end - a_of
-    budget = np.cumsum(many)
-    i = 0
-    while i < len(tok):
-        j = max(i + 1, int(np.searchsorted(budget, (budget[i - 1] if i else 0) + (1 << 20), side="right")))
-        left = np.repeat(doc[i:j], many[i:j])
-        right = doc[ranges(a_of[i:j], many[i:j])]
-        a, b = np.minimum(left, right), np.maximum(left, right)
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        if len(a):
-            f = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-            yield pa.RecordBatch.from_arrays([pa.array(a[f]), pa.array(b[f]), pa.array(np.diff(np.append(f, len(a))))], names=["a", "b", "c"])
-        i = j
-
-
-def _setter(n: int):
+def _crossing(t: float):
+    """(a, b, matches, matches needed) for documents of different groups in each posting list, of sizes that can agree.
+
+    Rows are (tok, doc, comp, n, p); a partition holds whole lists.
+    """
+
     def run(batches):
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        table = pa.Table.from_batches(got)
+        tok, doc, comp, n, p = (table.column(c).to_numpy() for c in ("tok", "doc", "comp", "n", "p"))
+        order = np.lexsort((doc, comp, tok))
+        tok, doc, comp, n, p = tok[order], doc[order], comp[order], n[order], p[order]
+        first = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
+        end = np.append(first[1:], len(tok))
+        group = np.flatnonzero(np.concatenate(([True], (tok[1:] != tok[:-1]) | (comp[1:] != comp[:-1]))))
+        stop = np.append(group[1:], len(tok))
+        a_of = np.repeat(stop, stop - group)  # a row pairs with all rows of its list behind its own group
+        list_end = np.repeat(end, end - first)
+        many = list_end - a_of
+        budget = np.cumsum(many)
+        i = 0
+        while i < len(tok):
+            j = max(i + 1, int(np.searchsorted(budget, (budget[i - 1] if i else 0) + (1 << 20), side="right")))
+            x, y = np.repeat(np.arange(i, j), many[i:j]), ranges(a_of[i:j], many[i:j])
+            fit = np.minimum(n[x], n[y]) >= t * np.maximum(n[x], n[y]) - 1e-9
+            x, y = x[fit], y[fit]
+            swap = doc[x] > doc[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            order = np.lexsort((doc[y], doc[x]))
+            x, y = x[order], y[order]
+            if len(x):
+                f = np.flatnonzero(np.concatenate(([True], (doc[x[1:]] != doc[x[:-1]]) | (doc[y[1:]] != doc[y[:-1]]))))
+                u, v = x[f], y[f]
+                need = np.ceil(t / (1 + t) * (n[u] + n[v]) - 1e-9).astype(np.int64) - np.maximum(n[u] - p[u], n[v] - p[v])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[u]), pa.array(doc[v]), pa.array(np.diff(np.append(f, len(x)))), pa.array(np.maximum(need, 1))], names=["a", "b", "c", "need"])
+            i = j
+
+    return run
+
+
+def _setter(n: int, shared):
+    """(doc, n, k1, k2, grams) of the documents that may be in a group; k1 and k2 name the set."""
+
+    def run(batches):
+        bits = taken(shared.value)
         for b in batches:
+            b = b.filter(b.column("doc").is_valid())
+            b = b.filter(pa.array(bits[slots(b.column("doc").to_numpy())]))
             for i, k in chunks(b.column("text")):
                 part = b.slice(i, k)
                 grams, sizes = gram_sets(part.column("text"), n)
                 cut = np.concatenate(([0], np.cumsum(sizes)))
-                sets = pa.array([grams[cut[r] : cut[r + 1]].tobytes() for r in range(k)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("comp"), pa.array(sizes, pa.int64()), sets], names=["doc", "comp", "n", "grams"])
+                names = []
+                for salt in (U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)):
+                    total = np.concatenate((np.zeros(1, dtype=U64), np.cumsum(mix(grams ^ salt))))
+                    names.append(pa.array((total[cut[1:]] - total[cut[:-1]]).view(np.int64)))
+                flat = np.ascontiguousarray(grams.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+                sets = pa.array([flat[6 * cut[r] : 6 * cut[r + 1]] for r in range(k)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(sizes, pa.int64()), *names, sets], names=["doc", "n", "k1", "k2", "grams"])
 
     return run
 
 
+def _set_of(x: pa.Scalar) -> np.ndarray:
+    raw = np.frombuffer(x.as_buffer(), dtype=np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), dtype=np.uint8)
+    out[:, :6] = raw
+    return out.reshape(-1).view(U64)
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs, from products of 0/1 matrices, 8,192 grams at a time."""
+    """Sizes of the intersections of all pairs, from products of 0/1 matrices, 4,096 grams at a time."""
     a, b = np.concatenate(left), np.concatenate(right)
     both = np.intersect1d(a, b)
     out = np.zeros((len(left), len(right)), dtype=np.float32)
@@ -271,8 +300,8 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         return at[hit][order], row[order]
 
     (ca, ra), (cb, rb) = cells(a, left), cells(b, right)
-    for lo in range(0, len(both), 8192):
-        width = min(8192, len(both) - lo)
+    for lo in range(0, len(both), 4096):
+        width = min(4096, len(both) - lo)
         mats = []
         for c, r, m in ((ca, ra, len(left)), (cb, rb, len(right))):
             x, y = np.searchsorted(c, (lo, lo + width))
@@ -286,18 +315,23 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def _blocks(t: float):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
-        sets = [np.frombuffer(x.as_buffer(), dtype=U64) for x in table.column("grams")]
+        sets = [_set_of(x) for x in table.column("grams")]
         ids, block = table.column("doc").to_numpy(), table.column("block").to_numpy()
         x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
         out_a, out_b, out_s = [], [], []
         if len(x) and len(y):
             size = np.array([len(s) for s in sets], dtype=np.float64)
-            shared = overlaps([sets[k] for k in x], [sets[k] for k in y]).astype(np.float64)
-            jac = shared / (size[x][:, None] + size[y][None, :] - shared)
-            r, c = np.nonzero(jac >= t - 1e-12)
-            a, b = ids[x[r]], ids[y[c]]
-            keep = (a < b) if i == j else (a != b)
-            out_a, out_b, out_s = np.minimum(a, b)[keep], np.maximum(a, b)[keep], jac[r, c][keep]
+            shared = overlaps([sets[k] for k in x], [sets[k] for k in y])
+            for lo in range(0, len(x), 256):
+                part = shared[lo : lo + 256].astype(np.float64)
+                jac = part / (size[x[lo : lo + 256]][:, None] + size[y][None, :] - part)
+                r, c = np.nonzero(jac >= t - 1e-12)
+                a, b = ids[x[lo + r]], ids[y[c]]
+                keep = (a < b) if i == j else (a != b)
+                out_a.append(np.minimum(a, b)[keep])
+                out_b.append(np.maximum(a, b)[keep])
+                out_s.append(jac[r, c][keep])
+        out_a, out_b, out_s = (np.concatenate([*v, np.zeros(0, dtype=k)]) for v, k in ((out_a, np.int64), (out_b, np.int64), (out_s, np.float64)))
         return pa.table({"doc_a": pa.array(out_a, pa.int64()), "doc_b": pa.array(out_b, pa.int64()), "jaccard": pa.array(out_s, pa.float64())})
 
     return run
@@ -328,18 +362,22 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, long
     stars = scratch.save(_enough(posted.where("kind = 1").groupBy("a", "b").agg(F.sum("c").alias("c")), facts, threshold))
     groups = scratch.save(components(stars, scratch))
     postings = posted.where("kind = 2").select(F.col("a").alias("tok"), F.col("b").alias("doc"))
-    placed = postings.join(groups.withColumnRenamed("node", "doc"), "doc", "left").select("tok", "doc", F.coalesce("comp", "doc").alias("comp"))
-    mixed = placed.repartition(parts, "tok").mapInArrow(_crossing, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    crossing = scratch.save(_enough(mixed, facts, threshold))
+    who = facts.join(groups.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("comp", "doc").alias("comp"), "n", "p")
+    placed = postings.join(who, "doc").select("tok", "doc", "comp", "n", "p")
+    mixed = placed.repartition(parts, "tok").mapInArrow(_crossing(threshold), "a long, b long, c long, need long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need"))
+    crossing = scratch.save(mixed.where("c >= need").select("a", "b"))
     found = scratch.save(components(stars.union(crossing), scratch))
-    sets = scratch.save(docs.join(found.withColumnRenamed("node", "doc"), "doc").select("doc", "comp", "text").mapInArrow(_setter(n), "doc long, comp long, n long, grams binary").where("n > 0"))
     scratch.drop(posted, stars, crossing, groups)
-    heads = sets.groupBy("comp", "grams").agg(F.min("doc").alias("doc"), F.first("n").alias("n"))
-    copies = sets.join(heads.select("comp", "grams", F.col("doc").alias("doc_a")), ["comp", "grams"]).where("doc_a <> doc").select("doc_a", F.col("doc").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    run = "(partition by comp order by doc, grams rows unbounded preceding)"
+    grouped = spark.sparkContext.broadcast(bitmap(found, "node"))
+    sets = scratch.save(docs.mapInArrow(_setter(n, grouped), "doc long, n long, k1 long, k2 long, grams binary").where("n > 0"))
+    keys = sets.select("doc", "n", "k1", "k2").join(found.withColumnRenamed("node", "doc"), "doc")
+    heads = scratch.save(keys.groupBy("comp", "k1", "k2").agg(F.min("doc").alias("doc"), F.first("n").alias("n")))
+    copies = keys.join(heads.select("comp", "k1", "k2", F.col("doc").alias("doc_a")), ["comp", "k1", "k2"]).where("doc_a <> doc").select("doc_a", F.col("doc").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    run = "(partition by comp order by doc, k1, k2 rows unbounded preceding)"
     blocks = heads.withColumn("block", F.expr(f"cast(greatest((row_number() over {run} - 1) div {BLOCK_DOCS}, sum(n) over {run} div {BLOCK_GRAMS}) as int)"))
-    last = blocks.groupBy("comp").agg(F.max("block").alias("last"))
-    spread = blocks.join(last, "comp").withColumn("o", F.explode(F.sequence(F.lit(0), "last"))).select("comp", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc", "grams")
+    last = blocks.groupBy("comp").agg(F.max("block").alias("last"), F.count("*").alias("heads")).where("heads > 1")
+    spread = blocks.join(last, "comp").withColumn("o", F.explode(F.sequence(F.lit(0), "last"))).select("comp", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc", "k1", "k2")
+    spread = spread.join(sets.select("doc", "k1", "k2", "grams"), ["doc", "k1", "k2"]).select("comp", "i", "j", "block", "doc", "grams")
     pairs = spread.groupBy("comp", "i", "j").applyInArrow(_blocks(threshold), "doc_a long, doc_b long, jaccard double")
     return copies.union(pairs).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
