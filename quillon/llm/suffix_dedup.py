@@ -376,9 +376,9 @@ def _cutter(batches):
         names = b.schema.names
         for i, k in chunks(b.column("text")):
             rows = b.slice(i, k)
-            spans = rows.column("__cuts")
+            spans = rows.column(len(names) - 1)
             if spans.null_count == k:
-                yield rows.drop_columns(["__cuts"])
+                yield pa.RecordBatch.from_arrays(rows.columns[:-1], names=names[:-1])
                 continue
             text = rows.column("text")
             some = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
@@ -386,8 +386,7 @@ def _cutter(batches):
             texts = pa.array([new.get(r, x) for r, x in enumerate(text.to_pylist())], pa.string())
             keep = pa.array([r not in new or any(c.isalnum() for c in new[r]) for r in range(k)], pa.bool_())
             cols = []
-            for c in names[:-1]:
-                v = rows.column(c)
+            for v, c in zip(rows.columns, names[:-1]):
                 if c == "text":
                     v = texts
                 elif c == "n_chars":
@@ -405,6 +404,9 @@ def cut_repeated_passages(docs: DataFrame, min_words: int = 50, anchor: int = 10
     """
     scratch = Scratch(docs.sparkSession)
     runs = _joined(repeated_windows(_rows(docs), min_words, anchor), ["doc", "sig"])
-    cuts = scratch.save(runs.groupBy("doc", "sig").agg(F.collect_list(F.struct("start", (F.col("stop") + (min_words - 1)).alias("stop"))).alias("__cuts")))
-    joined = docs.join(cuts, (docs["doc_id"].cast("long") == cuts["doc"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == cuts["sig"]), "left").select(*[docs[c] for c in docs.columns], "__cuts")
+    name = "__cuts"
+    while name in docs.columns:
+        name += "_"
+    cuts = scratch.save(runs.groupBy("doc", "sig").agg(F.collect_list(F.struct("start", (F.col("stop") + (min_words - 1)).alias("stop"))).alias(name)))
+    joined = docs.join(cuts, (docs["doc_id"].cast("long") == cuts["doc"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == cuts["sig"]), "left").select(*[docs[c] for c in docs.columns], cuts[name])
     return joined.mapInArrow(_cutter, docs.schema)
