@@ -47,3 +47,27 @@ def bitmap(rows: DataFrame, column: str | Column) -> bytes:
 
 def taken(packed: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(packed, dtype=np.uint8)).astype(bool)
+
+
+def sized(rows: DataFrame, column: str, count: int, most: int = 28) -> np.ndarray:
+    """A bitmap with eight slots for each of `count` hashes, of 128 kB to 32 MB; when it can't grow, more rows pass."""
+    bits = 1 << int(np.clip((8 * max(count, 1) - 1).bit_length(), 20, most))
+
+    def mark(batches):
+        out = np.zeros(bits // 8, dtype=np.uint8)
+        for b in batches:
+            at = (mix(b.column(0).to_numpy().view(U64)) & U64(bits - 1)).astype(np.int64)
+            np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        each = len(out) // SLICES
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([out[s * each : (s + 1) * each].tobytes() for s in range(SLICES)], pa.binary())], names=["slice", "bits"])
+
+    got = rows.select(column).mapInArrow(mark, "slice int, bits binary").groupBy("slice").applyInArrow(_merge, "slice int, bits binary").collect()
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in got:
+        out[r["slice"] * (len(out) // SLICES) : (r["slice"] + 1) * (len(out) // SLICES)] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
+def has(packed: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = (mix(h.view(U64)) & U64(len(packed) * 8 - 1)).astype(np.int64)
+    return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1

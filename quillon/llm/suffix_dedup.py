@@ -136,8 +136,7 @@ def _segment_emitter(min_words: int, anchor: int, parts: int):
 def _segments(rows: pa.RecordBatch, min_words: int, anchor: int, parts: int):
     scope = _scopes(rows)
     w = Windows(rows.column("text"), min_words, anchor, scope)
-    n = len(w.gram)
-    if not n:
+    if not len(w.gram):
         return
     # per text, the anchors that live: compare (row, 32 bits of the anchor)
     lists = [np.frombuffer(b"".join(x.as_py()), dtype=np.uint32) for x in rows.column("anchors")]
@@ -147,8 +146,15 @@ def _segments(rows: pa.RecordBatch, min_words: int, anchor: int, parts: int):
     mine = (mix(w.gram[at]) & U64(0xFFFFFFFF)) | (row[at].astype(U64) << U64(32))
     found = np.searchsorted(alive, mine)
     at = at[(found < len(alive)) & (alive[np.minimum(found, len(alive) - 1)] == mine)]
+    doc, sig = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "sig"))
+    yield from pack_segments(w, scope, doc, sig, at, min_words, parts)
+
+
+def pack_segments(w: Windows, scope: np.ndarray, doc: np.ndarray, sig: np.ndarray, at: np.ndarray, min_words: int, parts: int):
+    """The runs of windows whose minimizers are the anchors `at`, packed by shard."""
     if not len(at):
         return
+    n, row = len(w.gram), w.words.owner()
     lives = np.full(n, NONE, dtype=U64)
     lives[at] = w.gram[at]
     hit = w.valid & (sliding(lives, w.width, np.minimum) == w.least)
@@ -161,7 +167,7 @@ def _segments(rows: pa.RecordBatch, min_words: int, anchor: int, parts: int):
     shard = (mix(mix(w.least[first])) % U64(parts)).astype(np.int64)
     order, cut = _by_part(shard, parts)
     start = first - w.words.bounds[:-1][row[first]]
-    doc, sig = (rows.column(c).to_numpy(zero_copy_only=False)[row[first]] for c in ("doc", "sig"))
+    doc, sig = doc[row[first]], sig[row[first]]
     some = np.flatnonzero(np.diff(cut))
     blobs = []
     for j in some:
@@ -228,7 +234,7 @@ def find_repeats(occurrences: dict[str, np.ndarray], tokens: np.ndarray, seg_sta
     owner = np.repeat(np.arange(len(doc)), long)
     base = np.concatenate(([0], np.cumsum(long)))
     total = base[-1]
-    partner, echo = np.full(total, -1, dtype=np.int64), np.full(total, -1, dtype=np.int64)
+    partner, echo, leads = np.full(total, -1, dtype=np.int64), np.full(total, -1, dtype=np.int64), np.arange(total)
     family = Family()
     i = 0
     while i < len(doc):
@@ -247,16 +253,17 @@ def find_repeats(occurrences: dict[str, np.ndarray], tokens: np.ndarray, seg_sta
         other = doc[owner[lead]] != doc[owner[win]]
         partner[win[other]] = lead[other]
         echo[lead[other]] = win[other]
+        leads[win] = lead
         new = known < 0
         family.add(Level(names[leader[new]], win[leader[new]]))
         i = j
-    return partner, echo
+    return partner, echo[leads]  # a window that its own document has twice is shared in both places
 
 
-_SPANS = "doc long, sig long, first_doc long, start int, stop int"
+SPANS = "doc long, sig long, first_doc long, start int, stop int"
 
 
-def _shard(min_words: int, everywhere: bool):
+def shard_runs(min_words: int, everywhere: bool):
     """Runs of repeated windows; windows start to stop - 1 of document doc are in first_doc too."""
 
     def run(batches):
@@ -316,7 +323,7 @@ def repeated_windows(rows: DataFrame, min_words: int, anchor: int, everywhere: b
     anchors = rows.mapInArrow(_anchor_emitter(min_words, anchor, parts), "part int, blob binary").repartitionById(parts, "part").mapInArrow(_shared_anchors, "doc long, anchors binary")
     alive = anchors.groupBy("doc").agg(F.collect_list("anchors").alias("anchors"))
     segments = rows.join(alive, "doc").mapInArrow(_segment_emitter(min_words, anchor, parts), "part int, blob binary")
-    return segments.repartitionById(parts, "part").mapInArrow(_shard(min_words, everywhere), _SPANS)
+    return segments.repartitionById(parts, "part").mapInArrow(shard_runs(min_words, everywhere), SPANS)
 
 
 def _joined(runs: DataFrame, keys: list[str]) -> DataFrame:
