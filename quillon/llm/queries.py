@@ -78,6 +78,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_join": op10_ngram_join,
 }
 
+_WORDS = r"""words as (
+  select doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9\x{80}-\x{10FFFF}]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as w
+  from documents where doc_id is not null and text is not null)"""
+
+_PASSAGES = f"""
+with {_WORDS},
+places as (select doc_id, w, unnest(range(1, len(w) - 48)) as k from words where len(w) >= 50),
+windows as (select doc_id, k, min(doc_id) over (partition by array_to_string(w[k:k + 49], ' ')) as first_doc from places),
+runs as (select doc_id, first_doc, k, k - row_number() over (partition by doc_id, first_doc order by k) as run from windows where first_doc <> doc_id)
+select doc_id, first_doc, cast(min(k) - 1 as int) as start_word, cast(count(*) + 49 as int) as n_words from runs group by doc_id, first_doc, run
+"""
+
+_JOIN = f"""
+with {_WORDS},
+sets as (
+  select doc_id, list_sort(list_distinct(case when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end)) as s
+  from words where len(w) > 0),
+heads as (select s, min(doc_id) as doc_id, len(s) as n from sets group by s),
+grams as (select doc_id, n, unnest(s) as g from heads),
+shared as (select a.doc_id as doc_a, b.doc_id as doc_b, a.n as n_a, b.n as n_b, count(*) as c from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by all)
+select h.doc_id as doc_a, s.doc_id as doc_b, 1.0::double as jaccard from sets s join heads h on h.s = s.s where h.doc_id <> s.doc_id
+union all select doc_a, doc_b, c::double / (n_a + n_b - c)::double from shared where c::double / (n_a + n_b - c)::double >= 0.5
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": url_filter_sql(),
+    "op5_suffix_dedup": _PASSAGES,
+    "op10_ngram_join": _JOIN,
 }
