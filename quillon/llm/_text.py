@@ -8,6 +8,8 @@ non-ASCII bytes; ASCII letters are folded to lower case. Word hashes are
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -128,3 +130,21 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     step[0] = starts[0]
     step[np.cumsum(counts)[:-1]] = starts[1:] - starts[:-1] - counts[:-1] + 1
     return np.cumsum(step)
+
+
+def release() -> None:
+    """Gives memory that this worker has no more use for back to the system; idle workers live on beside the next ones."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """A function over batches that releases memory when it ends."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        release()
+
+    return wrapped

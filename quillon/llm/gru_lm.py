@@ -16,7 +16,6 @@ likelihood is that of the complete text.
 
 from __future__ import annotations
 
-import io
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._text import U64, Words, chunks, ranges
+from quillon.llm._text import U64, Words, chunks, lean
 from quillon.llm.bpe import Table
 from quillon.session import Scratch, ship
 
@@ -61,6 +60,12 @@ class Vocabulary:
 
     def tokens(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, offsets): each text's words after BEGIN."""
+        got = [self._tokens(column.slice(i, k)) for i, k in chunks(column)]
+        sizes = [np.diff(o) for _, o in got]
+        none = np.zeros(0, dtype=np.int32)
+        return np.concatenate([*(t for t, _ in got), none]).astype(np.int32), np.concatenate(([0], np.cumsum(np.concatenate([*sizes, none])))).astype(np.int64)
+
+    def _tokens(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         w = Words(column)
         got = self.table.get((w.hash >> U64(1)).astype(np.int64))
         shape = 2 + np.minimum(w.ends - w.starts, SHAPES) - 1
@@ -195,8 +200,8 @@ class Trainer:
         self.words += len(tokens)
 
 
-def score_tokens(p: dict, vocabulary: Vocabulary, tokens: np.ndarray, offsets: np.ndarray, window: int = 64) -> np.ndarray:
-    """Log-likelihood of each complete text, its end included; texts run in step, longest first."""
+def score_tokens(p: dict, vocabulary: Vocabulary, tokens: np.ndarray, offsets: np.ndarray, most: int = 1 << 16) -> np.ndarray:
+    """Log-likelihood of each complete text, its end included; texts run in step, longest first, `most` words to a window."""
     size = np.diff(offsets)
     order = np.argsort(-size, kind="stable")
     size, at = size[order], offsets[:-1][order]
@@ -205,6 +210,7 @@ def score_tokens(p: dict, vocabulary: Vocabulary, tokens: np.ndarray, offsets: n
     t = 0
     while len(size) and t < size[0]:
         states, target, who = [], [], []
+        window = max(1, most // int(np.searchsorted(-size, -t, side="left")))
         for s in range(t, min(t + window, int(size[0]))):
             live = int(np.searchsorted(-size, -s, side="left"))
             h = step(p, h[:live], tokens[at[:live] + s])[0]
@@ -246,7 +252,7 @@ def _count(batches):
 
 def vocabulary_of(docs: DataFrame, words: int) -> Vocabulary:
     """The `words` most frequent words of all documents, by counts over every one of them; ties by hash."""
-    rows = docs.select("text").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(words).collect()
+    rows = docs.select("text").mapInArrow(lean(_count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(words).collect()
     return Vocabulary(np.array([r["h"] for r in rows], dtype=np.int64).view(U64), np.array([r["n"] for r in rows], dtype=np.int64))
 
 
@@ -305,12 +311,12 @@ def train(docs: DataFrame, words: int = 2000, warm_rows: int = 1000) -> tuple[Vo
     trainer = Trainer(vocabulary, fresh(vocabulary))
     sample = docs.join(F.broadcast(docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(warm_rows)), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     first = spark.sparkContext.broadcast((vocabulary, trainer.p))
-    warm = sample.select("text").coalesce(1).mapInArrow(_train(first), _COPY).orderBy("slice").collect()
+    warm = sample.select("text").coalesce(1).mapInArrow(lean(_train(first)), _COPY).orderBy("slice").collect()
     if not warm:
         return vocabulary, trainer.p
     p = _load(b"".join(r["p"] for r in warm), trainer.p)
     start = spark.sparkContext.broadcast((vocabulary, p))
-    copies = scratch.save(docs.select("text").mapInArrow(_train(start), _COPY))
+    copies = scratch.save(docs.select("text").mapInArrow(lean(_train(start)), _COPY))
     most = copies.agg(F.max("pid")).first()[0] or 0
     while True:
         copies = scratch.save(copies.withColumn("pid", F.expr(f"pid div {BRANCHES}")).groupBy("slice", "pid").applyInArrow(_mean, _COPY))
@@ -348,4 +354,4 @@ def lm_score(docs: DataFrame, vocabulary: Vocabulary, p: dict) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast((vocabulary, p))
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_scorer(shared), "doc_id long, n_words long, log_likelihood double, perplexity double")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(lean(_scorer(shared)), "doc_id long, n_words long, log_likelihood double, perplexity double")
