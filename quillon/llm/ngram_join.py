@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm._bitmap import bitmap, slots, taken
 from quillon.llm._graph import components
-from quillon.llm._text import U64, Words, chunks, mix, ranges, span_hash
+from quillon.llm._text import U64, Words, chunks, lean, mix, ranges, release, span_hash
 from quillon.session import Scratch, partitions, ship
 
 SKETCH = 1 << 20
@@ -124,7 +124,7 @@ def _add_slices(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 def gram_sketch(docs: DataFrame, n: int) -> np.ndarray:
     """Over all documents, how many hold the grams of each of SKETCH slots. Its size doesn't depend on the data."""
-    rows = docs.select("text").mapInArrow(_sketcher(n), "slice int, counts binary").groupBy("slice").applyInArrow(_add_slices, "slice int, counts binary").collect()
+    rows = docs.select("text").mapInArrow(lean(_sketcher(n)), "slice int, counts binary").groupBy("slice").applyInArrow(_add_slices, "slice int, counts binary").collect()
     out = np.zeros(SKETCH, dtype=np.int64)
     each = SKETCH // SLICES
     for r in rows:
@@ -288,8 +288,10 @@ def _set_of(x: pa.Scalar) -> np.ndarray:
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all pairs, from products of 0/1 matrices, 4,096 grams at a time."""
-    a, b = np.concatenate(left), np.concatenate(right)
-    both = np.intersect1d(a, b)
+    same = left is right
+    a = np.concatenate(left)
+    b = a if same else np.concatenate(right)
+    both = np.unique(a) if same else np.intersect1d(a, b)
     out = np.zeros((len(left), len(right)), dtype=np.float32)
 
     def cells(x: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -299,16 +301,18 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         order = np.argsort(at[hit], kind="stable")
         return at[hit][order], row[order]
 
-    (ca, ra), (cb, rb) = cells(a, left), cells(b, right)
+    ca, ra = cells(a, left)
+    cb, rb = (ca, ra) if same else cells(b, right)
+    del a, b
     for lo in range(0, len(both), 4096):
         width = min(4096, len(both) - lo)
         mats = []
-        for c, r, m in ((ca, ra, len(left)), (cb, rb, len(right))):
+        for c, r, m in ((ca, ra, len(left)), (cb, rb, len(right)))[: 1 if same else 2]:
             x, y = np.searchsorted(c, (lo, lo + width))
             mat = np.zeros((m, width), dtype=np.float32)
             mat[r[x:y], c[x:y] - lo] = 1
             mats.append(mat)
-        out += mats[0] @ mats[1].T
+        out += mats[0] @ mats[-1].T
     return out
 
 
@@ -321,7 +325,8 @@ def _blocks(t: float):
         out_a, out_b, out_s = [], [], []
         if len(x) and len(y):
             size = np.array([len(s) for s in sets], dtype=np.float64)
-            shared = overlaps([sets[k] for k in x], [sets[k] for k in y])
+            left = [sets[k] for k in x]
+            shared = overlaps(left, left if i == j else [sets[k] for k in y])
             for lo in range(0, len(x), 256):
                 part = shared[lo : lo + 256].astype(np.float64)
                 jac = part / (size[x[lo : lo + 256]][:, None] + size[y][None, :] - part)
@@ -331,6 +336,9 @@ def _blocks(t: float):
                 out_a.append(np.minimum(a, b)[keep])
                 out_b.append(np.maximum(a, b)[keep])
                 out_s.append(jac[r, c][keep])
+            if len(sets) > 256:
+                del shared, left, sets
+                release()
         out_a, out_b, out_s = (np.concatenate([*v, np.zeros(0, dtype=k)]) for v, k in ((out_a, np.int64), (out_b, np.int64), (out_s, np.float64)))
         return pa.table({"doc_a": pa.array(out_a, pa.int64()), "doc_b": pa.array(out_b, pa.int64()), "jaccard": pa.array(out_s, pa.float64())})
 
@@ -356,20 +364,20 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, long
     docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     sketch = gram_sketch(docs, n)
     shared = spark.sparkContext.broadcast(sketch.astype(np.float32).tobytes())
-    packed = docs.mapInArrow(_emitter(n, threshold, longest, parts, shared), "part int, facts boolean, blob binary")
-    posted = scratch.save(packed.repartitionById(parts, "part").mapInArrow(_poster, _POSTED), by="kind")
+    packed = docs.mapInArrow(lean(_emitter(n, threshold, longest, parts, shared)), "part int, facts boolean, blob binary")
+    posted = scratch.save(packed.repartitionById(parts, "part").mapInArrow(lean(_poster), _POSTED), by="kind")
     facts = posted.where("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("c").alias("p")).groupBy("doc").agg(F.max("n").alias("n"), F.max("p").alias("p"))
     stars = scratch.save(_enough(posted.where("kind = 1").groupBy("a", "b").agg(F.sum("c").alias("c")), facts, threshold))
     groups = scratch.save(components(stars, scratch))
     postings = posted.where("kind = 2").select(F.col("a").alias("tok"), F.col("b").alias("doc"))
     who = facts.join(groups.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("comp", "doc").alias("comp"), "n", "p")
     placed = postings.join(who, "doc").select("tok", "doc", "comp", "n", "p")
-    mixed = placed.repartition(parts, "tok").mapInArrow(_crossing(threshold), "a long, b long, c long, need long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need"))
+    mixed = placed.repartition(parts, "tok").mapInArrow(lean(_crossing(threshold)), "a long, b long, c long, need long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need"))
     crossing = scratch.save(mixed.where("c >= need").select("a", "b"))
     found = scratch.save(components(stars.union(crossing), scratch))
     scratch.drop(posted, stars, crossing, groups)
     grouped = spark.sparkContext.broadcast(bitmap(found, "node"))
-    sets = scratch.save(docs.mapInArrow(_setter(n, grouped), "doc long, n long, k1 long, k2 long, grams binary").where("n > 0"))
+    sets = scratch.save(docs.mapInArrow(lean(_setter(n, grouped)), "doc long, n long, k1 long, k2 long, grams binary").where("n > 0"))
     keys = sets.select("doc", "n", "k1", "k2").join(found.withColumnRenamed("node", "doc"), "doc")
     heads = scratch.save(keys.groupBy("comp", "k1", "k2").agg(F.min("doc").alias("doc"), F.first("n").alias("n")))
     copies = keys.join(heads.select("comp", "k1", "k2", F.col("doc").alias("doc_a")), ["comp", "k1", "k2"]).where("doc_a <> doc").select("doc_a", F.col("doc").alias("doc_b"), F.lit(1.0).alias("jaccard"))
