@@ -129,7 +129,7 @@ def train(docs: DataFrame, rows_per_language: int = 1000, most: int = 30_000, ra
         raise ValueError(f"{len(languages)} languages; a slot has 64 bits")
     if not languages:
         return Filters.build([], [])
-    sample = rows.join(chosen, ["doc_id", "lang"], "left_semi").select("text", "lang")
+    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("text", "lang")  # chosen: rows_per_language * 64 rows at most
     counts = sample.mapInArrow(_counter(languages), "l int, gram long, n long").groupBy("l", "gram").agg(F.sum("n").alias("n"))
     share = counts.withColumn("f", F.col("n") / F.sum("n").over(Window.partitionBy("l")))
     own = share.withColumn("top", F.max("f").over(Window.partitionBy("gram"))).where(F.col("f") >= F.col("top") * ratio)
