@@ -1,8 +1,11 @@
 """Scoring with a gated recurrent language model over words.
 
-The vocabulary is the most frequent words of the whole corpus; other words are
-16 tokens, by their length. The softmax is factored: first the class of the
-next word, then the word in its class, with classes of like frequency.
+The vocabulary follows the corpus: it has every word that all documents
+together hold often enough. Each other word is one of 16 tokens, by its
+length, and then its spelling, byte by byte, so that no part of a text goes
+unscored. The softmax is factored: first the class of the next word, then the
+word in its class, with classes of like frequency; spellings have a trigram
+model of bytes, counted over all documents.
 
 Training is truncated backpropagation in numpy: texts follow one another in
 many lanes, a window of `WINDOW` words is unrolled, and the state goes on from
@@ -24,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._text import U64, Words, chunks, lean
+from quillon.llm._text import _LOWER, _WORD, U64, Words, chunks, lean, ranges
 from quillon.llm.bpe import Table
 from quillon.session import Scratch, ship
 
@@ -33,6 +36,68 @@ BEGIN, END = 0, 1
 FIXED = 2 + SHAPES
 HIDDEN, WINDOW, LANES, SLICES, BRANCHES = 16, 16, 512, 8, 64
 NAMES = ("x", "u", "wc", "bc", "ww", "bw")
+#: The bytes of folded words, and the mark of a word's bounds.
+LETTERS = np.unique(_LOWER[np.flatnonzero(_WORD)])
+SIGNS, BOUND = len(LETTERS) + 1, len(LETTERS)
+_SIGN = np.searchsorted(LETTERS, _LOWER).astype(np.int64)
+BACKOFF = 4.0
+
+
+@dataclass
+class Spelling:
+    """Counts of trigrams of bytes, which give each next byte of a word after the two before it; none: all bytes are alike.
+
+    A word's length is known before it is spelled, up to SHAPES bytes; from there on a mark of its end may follow.
+    """
+
+    keys: np.ndarray
+    counts: np.ndarray
+
+    def __getstate__(self) -> dict:
+        return {"keys": self.keys, "counts": self.counts}
+
+    def logs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(log-probability of each trigram's last sign, of no end after each two signs)."""
+        if "_logs" not in self.__dict__:
+            three = np.zeros(SIGNS**3, dtype=np.float32)
+            three[self.keys] = self.counts
+            three = three.reshape(SIGNS, SIGNS, SIGNS)
+            two = three.sum(axis=0, dtype=np.float64)
+            one = two.sum(axis=0)
+            one = (one + BACKOFF / SIGNS) / (one.sum() + BACKOFF)
+            two = ((two + BACKOFF * one) / (two.sum(axis=1, keepdims=True) + BACKOFF)).astype(np.float32)
+            total = three.sum(axis=2, dtype=np.float64)[:, :, None] + BACKOFF
+            three += np.float32(BACKOFF) * two
+            three /= total.astype(np.float32)
+            free = np.log1p(-three[:, :, BOUND].astype(np.float64)).ravel()
+            self._logs = np.log(three, out=three).ravel(), free
+        return self._logs
+
+    def words(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Log-likelihood of the spelling of each word, given its length's token."""
+        if not len(starts):
+            return np.zeros(0)
+        logs, free = self.logs()
+        keys, place, word = trigrams(raw, starts, ends)
+        out = logs[keys].astype(np.float64)
+        fixed = place < SHAPES
+        out[fixed] -= free[keys[fixed] // SIGNS]
+        return np.bincount(word, out, minlength=len(starts))
+
+
+def trigrams(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(trigram, place in its word, word) of each byte of some words, and of the ends of words of SHAPES bytes or more."""
+    size = ends - starts
+    long = size >= SHAPES
+    each = size + long
+    word = np.repeat(np.arange(len(size)), each)
+    place = ranges(np.zeros(len(size), dtype=np.int64), each)
+    sign = _SIGN[raw[np.minimum(starts[word] + place, len(raw) - 1)]]
+    sign[np.cumsum(each)[long] - 1] = BOUND
+    before = np.full((2, len(sign)), BOUND)
+    before[0, 1:], before[1, 2:] = sign[:-1], sign[:-2]
+    before[0, place < 1] = before[1, place < 2] = BOUND
+    return (before[1] * SIGNS + before[0]) * SIGNS + sign, place, word
 
 
 @dataclass
@@ -41,6 +106,7 @@ class Vocabulary:
 
     hashes: np.ndarray
     counts: np.ndarray
+    spelling: Spelling = field(default_factory=lambda: Spelling(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)))
     table: Table = field(init=False)
     class_of: np.ndarray = field(init=False)
     class_at: np.ndarray = field(init=False)
@@ -65,6 +131,19 @@ class Vocabulary:
         none = np.zeros(0, dtype=np.int32)
         return np.concatenate([*(t for t, _ in got), none]).astype(np.int32), np.concatenate(([0], np.cumsum(np.concatenate([*sizes, none])))).astype(np.int64)
 
+    def others(self, w: Words) -> np.ndarray:
+        """Which words are outside the vocabulary."""
+        return np.flatnonzero(self.table.get((w.hash >> U64(1)).astype(np.int64)) < 0)
+
+    def spelled(self, column: pa.Array) -> np.ndarray:
+        """Log-likelihood of how each text's words outside the vocabulary are spelled."""
+        out = np.zeros(len(column))
+        for i, k in chunks(column):
+            w = Words(column.slice(i, k))
+            other = self.others(w)
+            out[i : i + k] = np.bincount(np.searchsorted(w.bounds, other, side="right") - 1, self.spelling.words(w.raw, w.starts[other], w.ends[other]), minlength=k)
+        return out
+
     def _tokens(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         w = Words(column)
         got = self.table.get((w.hash >> U64(1)).astype(np.int64))
@@ -141,7 +220,15 @@ def likelihood(p: dict, vocabulary: Vocabulary, h: np.ndarray, target: np.ndarra
 
 def window_gradient(p: dict, vocabulary: Vocabulary, h: np.ndarray, tokens: np.ndarray, target: np.ndarray) -> tuple[float, dict, np.ndarray]:
     """(log-likelihood, its gradient, last state) of a window: tokens and targets are [step, lane]."""
-    grads = {k: np.zeros_like(v) for k, v in p.items()}
+    total, grads, rows, h = _window_gradient(p, vocabulary, h, tokens, target)
+    part, grads["x"] = grads["x"], np.zeros_like(p["x"])
+    grads["x"][rows] = part
+    return total, grads, h
+
+
+def _window_gradient(p: dict, vocabulary: Vocabulary, h: np.ndarray, tokens: np.ndarray, target: np.ndarray) -> tuple[float, dict, np.ndarray, np.ndarray]:
+    """The same with the gradient of x for the window's own tokens alone, the rows that come behind it: all others are 0."""
+    grads = {k: np.zeros_like(v) for k, v in p.items() if k != "x"}
     k, steps = h.shape[1], len(tokens)
     kept, states = [], []
     for t in range(steps):
@@ -167,8 +254,8 @@ def window_gradient(p: dict, vocabulary: Vocabulary, h: np.ndarray, tokens: np.n
     flat, dg = tokens.ravel(), dg.reshape(-1, 3 * k)
     order = np.argsort(flat, kind="stable")
     first = np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1])))
-    grads["x"][flat[order][first]] = np.add.reduceat(dg[order], first, axis=0)
-    return float(out.sum()), grads, h
+    grads["x"] = np.add.reduceat(dg[order], first, axis=0)
+    return float(out.sum()), grads, flat[order][first], h
 
 
 class Trainer:
@@ -191,12 +278,13 @@ class Trainer:
         nxt = np.where(nxt == BEGIN, END, nxt)  # what follows a text's last word is its end
         h = np.zeros((lanes, self.p["u"].shape[0]), dtype=np.float32)
         for t in range(0, length, WINDOW):
-            _, grads, h = window_gradient(self.p, self.vocabulary, h, now[t : t + WINDOW], nxt[t : t + WINDOW])
+            _, grads, rows, h = _window_gradient(self.p, self.vocabulary, h, now[t : t + WINDOW], nxt[t : t + WINDOW])
             size = min(WINDOW, length - t) * lanes
             for k, g in grads.items():
+                at = rows if k == "x" else ...
                 g *= np.float32(1 / np.sqrt(size))
-                self.past[k] += g * g
-                self.p[k] += np.float32(self.rate) * g / np.sqrt(self.past[k])
+                self.past[k][at] += g * g
+                self.p[k][at] += np.float32(self.rate) * g / np.sqrt(self.past[k][at])
         self.words += len(tokens)
 
 
@@ -250,12 +338,43 @@ def _count(batches):
     yield from out()
 
 
-def vocabulary_of(docs: DataFrame, words: int) -> Vocabulary:
-    """The `words` most frequent words of all documents, by counts over every one of them; ties by hash."""
-    rows = docs.select("text").mapInArrow(lean(_count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(words).collect()
+def vocabulary_of(docs: DataFrame, words: int, often: int | None = None) -> Vocabulary:
+    """Every word that all documents together have `often` times, and the `words` most frequent ones if those are more; ties by hash."""
+    counts = docs.select("text").mapInArrow(lean(_count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    if often is not None:
+        counts = Scratch(docs.sparkSession).save(counts)
+        words = max(words, counts.where(F.col("n") >= often).count())
+    rows = counts.orderBy(F.desc("n"), "h").limit(words).collect()
     return Vocabulary(np.array([r["h"] for r in rows], dtype=np.int64).view(U64), np.array([r["n"] for r in rows], dtype=np.int64))
 
 
+def _spell(shared):
+    """(trigram, count) of a partition's words outside the vocabulary."""
+
+    def run(batches):
+        vocabulary = shared.value
+        total = np.zeros(SIGNS**3, dtype=np.int64)
+        for b in batches:
+            for i, k in chunks(b.column(0)):
+                w = Words(b.column(0).slice(i, k))
+                other = vocabulary.others(w)
+                if len(other):
+                    key, n = np.unique(trigrams(w.raw, w.starts[other], w.ends[other])[0], return_counts=True)
+                    total[key] += n
+        key = np.flatnonzero(total)
+        for i in range(0, len(key), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 16)]), pa.array(total[key[i : i + (1 << 16)]])], names=["h", "n"])
+
+    return run
+
+
+def spelling_of(docs: DataFrame, vocabulary: Vocabulary) -> Spelling:
+    """Counted over the words outside the vocabulary of all documents; SIGNS ** 3 trigrams at most."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    rows = docs.select("text").mapInArrow(lean(_spell(shared)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy("h").collect()
+    return Spelling(np.array([r["h"] for r in rows], dtype=np.int64), np.array([r["n"] for r in rows], dtype=np.int64))
+
+
 def _dump(p: dict) -> bytes:
     return np.concatenate([p[k].ravel() for k in NAMES]).astype("<f4").tobytes()
 
@@ -297,17 +416,19 @@ def _mean(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "pid": pa.array([key[1].as_py()], pa.int64()), "words": pa.array([int(words.sum())], pa.int64()), "p": pa.array([(total / words.sum()).astype("<f4").tobytes()], pa.binary())})
 
 
-def train(docs: DataFrame, words: int = 2000, warm_rows: int = 1000) -> tuple[Vocabulary, dict]:
+def train(docs: DataFrame, words: int = 2000, warm_rows: int = 1000, often: int = 4000) -> tuple[Vocabulary, dict]:
     """The vocabulary and the parameters fitted on all of docs (doc_id, text).
 
     `warm_rows` bounds the sample, of least hashed ids, on which the first
-    model is fitted; from there every document is used once.
+    model is fitted; from there every document is used once. The vocabulary
+    has `words` words and all others that occur `often` times.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("text is not null")
-    vocabulary = vocabulary_of(docs, words)
+    vocabulary = vocabulary_of(docs, words, often)
+    vocabulary.spelling = spelling_of(docs, vocabulary)
     trainer = Trainer(vocabulary, fresh(vocabulary))
     sample = docs.join(F.broadcast(docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(warm_rows)), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     first = spark.sparkContext.broadcast((vocabulary, trainer.p))
@@ -334,7 +455,7 @@ def _scorer(shared):
             for i, k in chunks(b.column(1), 1 << 24):
                 rows = b.slice(i, k)
                 tokens, offsets = vocabulary.tokens(rows.column(1))
-                ll = score_tokens(p, vocabulary, tokens, offsets)
+                ll = score_tokens(p, vocabulary, tokens, offsets) + vocabulary.spelled(rows.column(1))
                 n = np.diff(offsets)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array((n - 1).astype(np.int64)), pa.array(np.round(ll, 4)), pa.array(np.round(np.exp(-ll / n), 4))], names=["doc_id", "n_words", "log_likelihood", "perplexity"])
 
@@ -346,7 +467,7 @@ def lm_score(docs: DataFrame, vocabulary: Vocabulary, p: dict) -> DataFrame:
 
     log_likelihood is the natural logarithm for all words of the text and its
     end; perplexity is per word, the end counted. A word outside the
-    vocabulary counts as its length token. Null, empty and wordless texts have
+    vocabulary counts as its length token and its spelling. Null, empty and wordless texts have
     the likelihood of an immediate end. Rows with null or repeated ids are
     scored each for itself; other columns may have any name. An empty table
     gives an empty result.

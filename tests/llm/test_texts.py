@@ -234,6 +234,25 @@ def test_scores_of_odd_rows(spark, vocabulary):
     assert gru_lm.lm_score(_docs(spark, []), v, p).count() == 0
 
 
+def test_rare_words_count_by_their_spelling(spark):
+    docs = _docs(spark, [(i, "the cat sat on the mat " * 5 + w) for i, w in enumerate(["zebra", "zebra", "qxwkv", "a" * 20])])
+    v, p = gru_lm.train(docs, words=3, often=20)
+    assert len(v.counts) == 5  # cat, mat, on, sat and the, which are more than 3
+    got = {r["doc_id"]: r["log_likelihood"] for r in gru_lm.lm_score(docs, v, p).collect()}
+    assert got[0] == got[1] != got[2]
+
+
+def test_spellings_sum_to_one():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, gru_lm.SIGNS**3, 5000))
+    s = gru_lm.Spelling(keys, rng.integers(1, 99, len(keys)))
+    raw = np.stack(np.meshgrid(gru_lm.LETTERS, gru_lm.LETTERS, indexing="ij"), axis=-1).reshape(-1).astype(np.uint8)
+    for k in (1, 2):
+        at = np.arange(0, len(raw) if k == 2 else 2 * len(gru_lm.LETTERS), 2)
+        one = s.words(raw, at + 2 - k, at + 2)
+        assert abs(np.exp(one).sum() - 1) < 1e-4
+
+
 # URLs
 
 
