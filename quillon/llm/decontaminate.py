@@ -10,9 +10,10 @@ that a passage whose case was changed is found as well.
 Windows of `width` words are hashed. A bitmap of fixed size tells which
 windows of the documents may be in the benchmark; those few are hash-joined
 with the benchmark's windows. Windows of one document and one item that lie at
-the same distance are one alignment; its slots must be filled consistently
-(one value in the document for each value in the item, and back), and the
-windows must cover enough of the item.
+the same distance are one line, and lines at nearby distances one chain, as
+words put in or left out move what follows. The slots of a line or chain must
+be filled consistently (one value in the document for each value in the item,
+and back), and it must cover enough of the item, or a long enough passage.
 """
 
 from __future__ import annotations
@@ -87,6 +88,12 @@ def _rows_of(c: Canonical, ids, starts, hashes, width: int, stream: int) -> pa.R
 _WINDOWS = "h long, id long, at int, words int, stream int, width int, slots array<long>"
 
 
+def _widths(counts: np.ndarray, width: int) -> np.ndarray:
+    """Words in the windows of each item: of one too short to keep a whole window beside any changed word, less than half of its own."""
+    short = np.minimum(np.maximum((counts - 1) // 2, min(width, 4)), width)
+    return np.where(counts <= width, counts, short)
+
+
 def _item_windows(width: int):
     def run(batches):
         for b in batches:
@@ -94,12 +101,13 @@ def _item_windows(width: int):
                 rows = b.slice(i, k)
                 c = Canonical(rows.column(1))
                 ids = rows.column(0)
-                for size in np.unique(np.minimum(c.words.counts, width)).tolist():
+                sizes = _widths(c.words.counts, width)
+                for size in np.unique(sizes).tolist():
                     if size < 3:
                         continue
                     for stream in (0, 1):
                         s, h = c.windows(size, stream)
-                        fit = np.minimum(c.words.counts, width)[np.searchsorted(c.words.bounds, s, side="right") - 1] == size
+                        fit = sizes[np.searchsorted(c.words.bounds, s, side="right") - 1] == size
                         for j in range(0, int(fit.sum()), 1 << 15):
                             yield _rows_of(c, ids, s[fit][j : j + (1 << 15)], h[fit][j : j + (1 << 15)], size, stream)
 
@@ -124,17 +132,22 @@ def _doc_windows(widths: list[int], shared):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.5, consistency: float = 0.75) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.5, consistency: float = 0.75, passage: int = 20) -> DataFrame:
     """(doc_id, item_id, coverage, consistency): documents that ask a benchmark item, perhaps with other numbers, names or units.
 
     coverage is the share of the item's windows of `width` words found in the
-    document at one distance; consistency is the number of distinct values in
+    document by one line or chain, or, if that is more, the share of its words
+    that are in these windows, both less the width - 1 that the first window
+    has; a chain's neighbouring lines are `width` words or half of the item
+    apart at most. consistency is the number of distinct values in
     the item's slots, or in the document's if that is less, over the number
     of distinct pairs of both, 1 where there is no slot. A pair is in the
-    result if an alignment in either stream reaches both thresholds, with the
-    best coverage, then consistency, of its alignments.
+    result if a line or chain in either stream reaches both thresholds, or a
+    line the second one with `passage` words that follow one another, whatever
+    share of the item they are; with the best coverage, then consistency.
 
-    An item of fewer than `width` words is one window of all its words; items
+    An item of `width` words or fewer is one window of all its words, and one of
+    up to twice as many has windows of less than half of its words; items
     of fewer than three words, null and empty ones match nothing, as do null
     and empty documents. Windows with fewer than three words that are no slots
     count in neither table. Rows that repeat an item_id, or a doc_id, each
@@ -152,16 +165,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverag
     rows = docs.selectExpr("cast(doc_id as long) id", "cast(text as string) text").where("id is not null and text is not null")
     found = rows.mapInArrow(_doc_windows(widths, shared), _WINDOWS)
     of_item = windows.groupBy("id", "stream", "words").agg(F.count_distinct("at").alias("n"))
-    d = found.select("h", "stream", F.col("id").alias("doc_id"), F.col("at").alias("d_at"), F.col("slots").alias("d_slots"))
-    i = windows.select("h", "stream", F.col("id").alias("item_id"), "words", F.col("at").alias("i_at"), F.col("slots").alias("i_slots"))
-    hits = d.join(i, ["h", "stream"]).where("size(d_slots) = size(i_slots)")
-    lines = hits.groupBy("doc_id", "item_id", "words", "stream", (F.col("d_at") - F.col("i_at")).alias("off")).agg(
-        F.count_distinct("i_at").alias("k"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("i_slots", "d_slots")))).alias("fills")
-    )
+    d = found.select("h", "stream", "width", F.col("id").alias("doc_id"), F.col("words").alias("d_words"), F.col("at").alias("d_at"), F.col("slots").alias("d_slots"))
+    i = windows.select("h", "stream", "width", F.col("id").alias("item_id"), "words", F.col("at").alias("i_at"), F.col("slots").alias("i_slots"))
+    hits = d.join(i, ["h", "stream", "width"]).where("size(d_slots) = size(i_slots)")
+    pair = ["doc_id", "d_words", "item_id", "words", "stream", "width"]
+    lines = scratch.save(hits.groupBy(*pair, (F.col("d_at") - F.col("i_at")).alias("off")).agg(
+        F.array_sort(F.collect_set("i_at")).alias("at"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("i_slots", "d_slots")))).alias("fills")
+    ))
+    order = f"over (partition by {', '.join(pair)} order by off)"
+    steps = lines.withColumn("step", F.expr(f"if(off - lag(off) {order} > greatest({width}, words div 2), 1, 0)")).withColumn("chain", F.expr(f"sum(step) {order}"))
+    chains = steps.groupBy(*pair, "chain").agg(F.count("*").alias("lines"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.array_distinct(F.flatten(F.collect_list("fills"))).alias("fills")).where("lines > 1")
+    run = F.expr("aggregate(at, named_struct('a', -1, 'e', -1, 'b', 0), (s, x) -> named_struct('a', if(x <= s.e, s.a, x), 'e', x + width, 'b', greatest(s.b, x + width - if(x <= s.e, s.a, x))), s -> s.b)")
+    found_in = lines.select(*pair, "at", "fills", run.alias("run")).union(chains.select(*pair, "at", "fills", F.lit(0)))
     ratio = F.expr("if(size(fills) = 0, 1.0D, least(size(array_distinct(transform(fills, x -> x.i_slots))), size(array_distinct(transform(fills, x -> x.d_slots)))) / cast(size(fills) as double))")
-    scored = lines.join(of_item.withColumnRenamed("id", "item_id"), ["item_id", "stream", "words"]).select("doc_id", "item_id", F.round(F.col("k") / F.col("n"), 6).alias("coverage"), F.round(ratio, 6).alias("consistency"))
+    covered = F.expr("(size(array_distinct(flatten(transform(at, x -> sequence(x, x + width - 1))))) - width + 1) / cast(words - width + 1 as double)")
+    share = F.greatest(F.size("at") / F.col("n"), covered)
+    scored = found_in.join(of_item.withColumnRenamed("id", "item_id"), ["item_id", "stream", "words"]).select("doc_id", "item_id", F.round(share, 6).alias("coverage"), F.round(ratio, 6).alias("consistency"), "run")
     best = F.max(F.struct("coverage", "consistency")).alias("best")
-    return scored.where((F.col("coverage") >= coverage) & (F.col("consistency") >= consistency)).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+    return scored.where(((F.col("coverage") >= coverage) | (F.col("run") >= passage)) & (F.col("consistency") >= consistency)).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.5) -> DataFrame:

@@ -222,6 +222,21 @@ def test_reparameterised_questions(spark):
     assert contamination(_docs(spark, []), bench).count() == 0 and contamination(_docs(spark, rows), bench.where("false")).count() == 0
 
 
+def test_edited_questions(spark):
+    w = [chr(97 + i // 26) + chr(97 + i % 26) + "q" for i in range(59)]
+    bench = spark.createDataFrame([(1, " ".join(w)), (2, " ".join("z" + x for x in w[:17])), (3, " ".join("y" + x for x in w[:12]))], "item_id long, text string")
+    short, least = ["z" + x for x in w[:17]], ["y" + x for x in w[:12]]
+    rows = [
+        (1, w[:20] + ["new"] + w[20:40] + w[41:]),
+        (2, w[15:44]),
+        (3, short[:8] + ["new"] + short[9:]),
+        (4, least[:6] + ["new"] + least[7:]),
+        (5, w[:12] + ["new"] * 300 + short[:7] + least[:4]),
+    ]
+    got = {(r["doc_id"], r["item_id"]) for r in contamination(_docs(spark, [(i, "so " + " ".join(x) + " it ends") for i, x in rows]), bench).collect()}
+    assert got == {(1, 1), (2, 1), (3, 2), (4, 3)}
+
+
 def test_slots():
     c = Canonical(pa.array(["Alice runs 5 km on Monday", "km 7"]))
     assert c.template_kind.tolist() == [2, 0, 1, 3, 0, 2, 0, 1] and c.literal_kind.tolist() == [0, 0, 1, 3, 0, 0, 0, 1]
