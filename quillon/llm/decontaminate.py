@@ -5,7 +5,10 @@ other figures or people keeps its template. Two streams of words are matched:
 the *template* stream, in which every number is a NUMBER slot, every
 capitalised word a NAME slot and every unit behind a number a UNIT slot, and
 the *literal* stream, in which only numbers are slots and case is folded, so
-that a passage whose case was changed is found as well.
+that a passage whose case was changed is found as well. A number with its
+separators and decimals is one slot, as is a run of capitalised words that no
+punctuation parts, and a unit glued to its number is a slot of its own, so that
+the number of slots doesn't depend on what fills them.
 
 Windows of `width` words are hashed. A bitmap of fixed size tells which
 windows of the documents may be in the benchmark; those few are hash-joined
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm._bitmap import bitmap, slots, taken
-from quillon.llm._text import U64, Words, chunks, ranges, span_hash
+from quillon.llm._text import _BYTE_LOWER, U64, Words, chunks, ranges, span_hash
 from quillon.session import Scratch, ship
 
 NUMBER, NAME, UNIT = (U64(0x51A7000000000001 + i) for i in range(3))
@@ -34,6 +37,10 @@ _UPPER = np.zeros(256, dtype=bool)
 _UPPER[65:91] = True
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
+_POINT = np.zeros(256, dtype=bool)
+_POINT[[ord(c) for c in ".,"]] = True
+_PARTS = np.zeros(256, dtype=bool)
+_PARTS[[ord(c) for c in '.,;:!?()[]{}"\n']] = True
 
 
 def _unit_hashes() -> np.ndarray:
@@ -43,40 +50,79 @@ def _unit_hashes() -> np.ndarray:
 _UNIT_HASHES = _unit_hashes()
 
 
+class _Stream:
+    """A stream's words: what stands for each, the kind of slot it is (0 is none, 1 to 3 number, name, unit), what fills it, and each text's range of words."""
+
+    def __init__(self, values: np.ndarray, kind: np.ndarray, fill: np.ndarray, bounds: np.ndarray) -> None:
+        self.values, self.kind, self.fill, self.bounds, self.counts = values, kind, fill, bounds, np.diff(bounds)
+
+
 class Canonical:
-    """The two streams of some texts and the kind of slot that each word is; 0 is none, 1 to 3 number, name, unit."""
+    """The two streams of some texts, literal and template."""
 
     def __init__(self, column: pa.Array) -> None:
-        self.words = w = Words(column)
-        first = w.raw[w.starts] if len(w.starts) else np.zeros(0, dtype=np.uint8)
+        w = Words(column)
+        raw = w.raw
+        starts, ends, owner = _numbers(raw, w.starts, w.ends, w.owner())
+        hashes = span_hash(_BYTE_LOWER[raw], starts, ends)
+        bounds = np.searchsorted(owner, np.arange(len(w.counts) + 1))
+        first = raw[starts] if len(starts) else np.zeros(0, dtype=np.uint8)
         number = _DIGIT[first]
-        nonascii = (first == 0xC3) & (w.raw[np.minimum(w.starts + 1, max(len(w.raw) - 1, 0))] < 0x9F) if len(first) else number
+        nonascii = (first == 0xC3) & (raw[np.minimum(starts + 1, max(len(raw) - 1, 0))] < 0x9F) if len(first) else number
         name = _UPPER[first] | nonascii
         unit = np.zeros(len(first), dtype=bool)
         behind = np.flatnonzero(number) + 1
         behind = behind[behind < len(first)]
-        unit[behind] = np.isin(w.hash[behind], _UNIT_HASHES) & ~number[behind]
-        unit &= np.repeat(w.bounds[:-1], w.counts) != np.arange(len(first))
-        self.template_kind = np.where(unit, 3, np.where(number, 1, np.where(name, 2, 0))).astype(np.uint8)
-        self.literal_kind = np.where(unit, 3, np.where(number, 1, 0)).astype(np.uint8)
+        behind = behind[owner[behind] == owner[behind - 1]]
+        unit[behind] = np.isin(hashes[behind], _UNIT_HASHES) & ~number[behind]
+        literal = np.where(unit, 3, np.where(number, 1, 0)).astype(np.uint8)
+        template = np.where(literal > 0, literal, np.where(name, 2, 0)).astype(np.uint8)
+        parted = np.concatenate(([0], np.cumsum(_PARTS[raw])))
+        # a run of names is one slot, filled by its last word
+        inner = np.zeros(len(first), dtype=bool)
+        inner[:-1] = (template[:-1] == 2) & (template[1:] == 2) & (owner[:-1] == owner[1:]) & (parted[starts[1:]] == parted[ends[:-1]])
+        keep = np.flatnonzero(~inner)
         slots = np.array([0, NUMBER, NAME, UNIT], dtype=U64)
-        self.literal = np.where(self.literal_kind > 0, slots[self.literal_kind], w.hash)
-        self.template = np.where(self.template_kind == 2, NAME, self.literal)
+        self.literal = _Stream(np.where(literal > 0, slots[literal], hashes), literal, hashes, bounds)
+        self.template = _Stream(np.where(template > 0, slots[template], hashes)[keep], template[keep], hashes[keep], np.searchsorted(owner[keep], np.arange(len(w.counts) + 1)))
+        self.literal_kind, self.template_kind = self.literal.kind, self.template.kind
+
+    def stream(self, stream: int) -> _Stream:
+        return self.template if stream else self.literal
 
     def windows(self, width: int, stream: int) -> tuple[np.ndarray, np.ndarray]:
         """(starts, hashes) of the windows of `width` words that have three words or more that are no slots."""
-        w, values, kind = self.words, self.template if stream else self.literal, self.template_kind if stream else self.literal_kind
-        starts = ranges(w.bounds[:-1], np.maximum(w.counts - width + 1, 0))
-        plain = np.concatenate(([0], np.cumsum(kind == 0)))
+        x = self.stream(stream)
+        starts = ranges(x.bounds[:-1], np.maximum(x.counts - width + 1, 0))
+        plain = np.concatenate(([0], np.cumsum(x.kind == 0)))
         starts = starts[plain[starts + width] - plain[starts] >= min(3, width)]
-        return starts, span_hash(values, starts, starts + width) ^ U64(width * 2 + stream)
+        return starts, span_hash(x.values, starts, starts + width) ^ U64(width * 2 + stream)
+
+
+def _numbers(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, owner) of the words with whole numbers as one word each, and units glued to one as the next."""
+    other = np.append(np.flatnonzero(~_DIGIT[raw]), len(raw))
+    digits = np.flatnonzero(_DIGIT[raw[starts]]) if len(starts) else np.zeros(0, dtype=np.int64)
+    stop = np.minimum(other[np.searchsorted(other, starts[digits])], ends[digits])
+    mixed = stop < ends[digits]
+    glued = np.flatnonzero(mixed)
+    glued = glued[np.isin(span_hash(_BYTE_LOWER[raw], stop[glued], ends[digits[glued]]), _UNIT_HASHES)]
+    at, cut = digits[glued], stop[glued]
+    whole = np.zeros(len(starts), dtype=bool)
+    whole[digits[~mixed]] = True
+    starts, ends, owner, whole = np.insert(starts, at + 1, cut), np.insert(ends, at, cut), np.insert(owner, at, owner[at]), np.insert(whole, at, False)
+    if len(starts) < 2:
+        return starts, ends, owner
+    joined = whole[:-1] & _DIGIT[raw[starts[1:]]] & (starts[1:] - ends[:-1] == 1) & _POINT[raw[ends[:-1].clip(max=len(raw) - 1)]] & (owner[1:] == owner[:-1])
+    return starts[np.concatenate(([True], ~joined))], ends[np.concatenate((~joined, [True]))], owner[np.concatenate(([True], ~joined))]
 
 
 def _rows_of(c: Canonical, ids, starts, hashes, width: int, stream: int) -> pa.RecordBatch:
     """One row for each window: its place, its hash and what fills its slots."""
-    w, kind = c.words, c.template_kind if stream else c.literal_kind
+    w = c.stream(stream)
+    kind = w.kind
     owner = np.searchsorted(w.bounds, starts, side="right") - 1
-    filled = [w.hash[s : s + width][kind[s : s + width] > 0].view(np.int64) for s in starts]
+    filled = [w.fill[s : s + width][kind[s : s + width] > 0].view(np.int64) for s in starts]
     cut = np.concatenate(([0], np.cumsum([len(x) for x in filled]))).astype(np.int32)
     slots = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([*filled, np.zeros(0, dtype=np.int64)])))
     return pa.RecordBatch.from_arrays(
@@ -101,13 +147,14 @@ def _item_windows(width: int):
                 rows = b.slice(i, k)
                 c = Canonical(rows.column(1))
                 ids = rows.column(0)
-                sizes = _widths(c.words.counts, width)
-                for size in np.unique(sizes).tolist():
-                    if size < 3:
-                        continue
-                    for stream in (0, 1):
+                for stream in (0, 1):
+                    x = c.stream(stream)
+                    sizes = _widths(x.counts, width)
+                    for size in np.unique(sizes).tolist():
+                        if size < 3:
+                            continue
                         s, h = c.windows(size, stream)
-                        fit = sizes[np.searchsorted(c.words.bounds, s, side="right") - 1] == size
+                        fit = sizes[np.searchsorted(x.bounds, s, side="right") - 1] == size
                         for j in range(0, int(fit.sum()), 1 << 15):
                             yield _rows_of(c, ids, s[fit][j : j + (1 << 15)], h[fit][j : j + (1 << 15)], size, stream)
 

@@ -222,6 +222,19 @@ def test_reparameterised_questions(spark):
     assert contamination(_docs(spark, []), bench).count() == 0 and contamination(_docs(spark, rows), bench.where("false")).count() == 0
 
 
+def test_refills_of_another_shape(spark):
+    item = "Alice walks 250 km in 2 hours while Bob drives 60 km to see what Alice has bought for 3 dollars."
+    refills = [("Alice", "Mary Ann"), ("250 km", "1,250km"), ("2 hours", "2.5 hours"), ("3 ", "3.50 ")]
+    every = item
+    for a, b in refills:
+        every = every.replace(a, b)
+    docs = [(i, "We ask this. " + item.replace(a, b)) for i, (a, b) in enumerate(refills)] + [(9, "We ask this. " + every)]
+    got = contamination(_docs(spark, docs), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["coverage"], r["consistency"]) for r in got} == {(i, 1.0, 1.0) for i in (0, 1, 2, 3, 9)}
+    c = Canonical(pa.array(["Mary Ann ran 1,250.5km. Bob", "7", ",5 a 12th", None]))
+    assert c.template_kind.tolist() == [2, 0, 1, 3, 2, 1, 1, 0, 1] and c.literal_kind.tolist() == [0, 0, 0, 1, 3, 0, 1, 1, 0, 1]
+
+
 def test_edited_questions(spark):
     w = [chr(97 + i // 26) + chr(97 + i % 26) + "q" for i in range(59)]
     bench = spark.createDataFrame([(1, " ".join(w)), (2, " ".join("z" + x for x in w[:17])), (3, " ".join("y" + x for x in w[:12]))], "item_id long, text string")
