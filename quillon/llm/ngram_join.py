@@ -132,8 +132,22 @@ def gram_sketch(docs: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def _emitter(n: int, t: float, longest: int, parts: int, sketch):
+def _set_names(grams: np.ndarray, sizes: np.ndarray, salt: U64) -> np.ndarray:
+    """A hash of each document's set."""
+    cut = np.concatenate(([0], np.cumsum(sizes)))
+    total = np.concatenate((np.zeros(1, dtype=U64), np.cumsum(mix(grams ^ salt))))
+    return total[cut[1:]] - total[cut[:-1]]
+
+
+def _keys(ids: np.ndarray, grams: np.ndarray, sizes: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """What stands for each row until its pairs are known: its id or, where an id may have several texts, a hash of the id and the set."""
+    held = mix(mix(ids.view(U64)) ^ _set_names(grams, sizes, U64(0x452821E638D01377))).view(np.int64)
+    return np.where(several[slots(ids)], held, ids)
+
+
+def _emitter(n: int, t: float, longest: int, parts: int, sketch, repeated):
     def run(batches):
+        several = taken(repeated.value)
         weight = np.frombuffer(sketch.value, dtype=np.float32)
         noise = float(np.median(weight))
         for b in batches:
@@ -141,6 +155,7 @@ def _emitter(n: int, t: float, longest: int, parts: int, sketch):
             for i, k in chunks(b.column(1)):
                 ids = b.column(0).slice(i, k).to_numpy(zero_copy_only=False).astype(np.int64)
                 grams, sizes = gram_sets(b.column(1).slice(i, k), n)
+                ids = _keys(ids, grams, sizes, several)
                 grams = _ordered(grams, sizes, weight)
                 p = prefix_lengths(grams, sizes, np.maximum(weight[_slots(grams)] - noise, 1.0), t, longest)
                 at = ranges(np.concatenate(([0], np.cumsum(sizes)))[:-1], p)
@@ -256,25 +271,24 @@ def _crossing(t: float):
     return run
 
 
-def _setter(n: int, shared):
-    """(doc, n, k1, k2, grams) of the documents that may be in a group; k1 and k2 name the set."""
+def _setter(n: int, shared, repeated):
+    """(doc, key, n, k1, k2, grams) of the documents that may be in a group; k1 and k2 name the set."""
 
     def run(batches):
-        bits = taken(shared.value)
+        bits, several = taken(shared.value), taken(repeated.value)
         for b in batches:
             b = b.filter(b.column("doc").is_valid())
-            b = b.filter(pa.array(bits[slots(b.column("doc").to_numpy())]))
+            at = slots(b.column("doc").to_numpy())
+            b = b.filter(pa.array(bits[at] | several[at]))
             for i, k in chunks(b.column("text")):
                 part = b.slice(i, k)
                 grams, sizes = gram_sets(part.column("text"), n)
                 cut = np.concatenate(([0], np.cumsum(sizes)))
-                names = []
-                for salt in (U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)):
-                    total = np.concatenate((np.zeros(1, dtype=U64), np.cumsum(mix(grams ^ salt))))
-                    names.append(pa.array((total[cut[1:]] - total[cut[:-1]]).view(np.int64)))
+                names = [pa.array(_set_names(grams, sizes, salt).view(np.int64)) for salt in (U64(0x243F6A8885A308D3), U64(0x13198A2E03707344))]
+                keys = _keys(part.column("doc").to_numpy(), grams, sizes, several)
                 flat = np.ascontiguousarray(grams.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
                 sets = pa.array([flat[6 * cut[r] : 6 * cut[r + 1]] for r in range(k)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(sizes, pa.int64()), *names, sets], names=["doc", "n", "k1", "k2", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(keys), pa.array(sizes, pa.int64()), *names, sets], names=["doc", "key", "n", "k1", "k2", "grams"])
 
     return run
 
@@ -364,7 +378,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, long
     docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     sketch = gram_sketch(docs, n)
     shared = spark.sparkContext.broadcast(sketch.astype(np.float32).tobytes())
-    packed = docs.mapInArrow(lean(_emitter(n, threshold, longest, parts, shared)), "part int, facts boolean, blob binary")
+    several = docs.where("doc is not null and text is not null").groupBy("doc").agg(F.min(F.xxhash64("text")).alias("x"), F.max(F.xxhash64("text")).alias("y")).where("x <> y")
+    repeated = spark.sparkContext.broadcast(bitmap(several, "doc"))
+    packed = docs.mapInArrow(lean(_emitter(n, threshold, longest, parts, shared, repeated)), "part int, facts boolean, blob binary")
     posted = scratch.save(packed.repartitionById(parts, "part").mapInArrow(lean(_poster), _POSTED), by="kind")
     facts = posted.where("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("c").alias("p")).groupBy("doc").agg(F.max("n").alias("n"), F.max("p").alias("p"))
     stars = scratch.save(_enough(posted.where("kind = 1").groupBy("a", "b").agg(F.sum("c").alias("c")), facts, threshold))
@@ -377,8 +393,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, long
     found = scratch.save(components(stars.union(crossing), scratch))
     scratch.drop(posted, stars, crossing, groups)
     grouped = spark.sparkContext.broadcast(bitmap(found, "node"))
-    sets = scratch.save(docs.mapInArrow(lean(_setter(n, grouped)), "doc long, n long, k1 long, k2 long, grams binary").where("n > 0"))
-    keys = sets.select("doc", "n", "k1", "k2").join(found.withColumnRenamed("node", "doc"), "doc")
+    sets = scratch.save(docs.mapInArrow(lean(_setter(n, grouped, repeated)), "doc long, key long, n long, k1 long, k2 long, grams binary").where("n > 0"))
+    keys = sets.select("doc", "key", "n", "k1", "k2").join(found.withColumnRenamed("node", "key"), "key")
     heads = scratch.save(keys.groupBy("comp", "k1", "k2").agg(F.min("doc").alias("doc"), F.first("n").alias("n")))
     copies = keys.join(heads.select("comp", "k1", "k2", F.col("doc").alias("doc_a")), ["comp", "k1", "k2"]).where("doc_a <> doc").select("doc_a", F.col("doc").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     run = "(partition by comp order by doc, k1, k2 rows unbounded preceding)"

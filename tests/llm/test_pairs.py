@@ -101,6 +101,14 @@ def test_join_is_that_of_brute_force(spark, monkeypatch, seed, n, t, docs, grams
     assert got == _slow_join(rows, n, t)
 
 
+def test_a_short_text_of_a_repeated_id_has_its_copy(spark):
+    long, short = " ".join(f"a{i}" for i in range(200)), " ".join(f"b{i}" for i in range(20))
+    rows = [(7, long), (7, short), (9, short), (8, long + " more"), (5, "one two three four"), (5, "one two three four")]
+    pairs = ngram_join.ngram_jaccard_join(_docs(spark, rows))
+    assert {(r["doc_a"], r["doc_b"]): round(r["jaccard"], 9) for r in pairs.collect()} == _slow_join(rows, 3, 0.5) != {}
+    assert {r["doc_id"] for r in ngram_join.drop_near_duplicates(_docs(spark, rows)).collect()} == {5, 7}
+
+
 def test_near_duplicates_that_stay(spark):
     rows = _corpus(4)
     parent = {i: i for i, _ in rows if i is not None}
