@@ -65,7 +65,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(column: pa.Array, most: int = 1 << 21):
+def chunks(column: pa.Array, most: int = 1 << 20):
     """(first row, rows) slices of about `most` bytes; a longer text is a slice of its own."""
     _, offsets = buffers(column)
     i, n = 0, len(offsets) - 1
@@ -106,6 +106,14 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
+def prefix_sums(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, factors), from which the hash of the bytes from a to b is mix((sums[b] - sums[a]) * factors[a] + b - a)."""
+    up, down = _powers(len(w.raw) + 1)
+    total = np.zeros(len(w.raw) + 1, dtype=U64)
+    np.cumsum(_BYTE_LOWER[w.raw] * up[:-1], out=total[1:])
+    return total, down
+
+
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n words; one entry per position, the last n - 1 meaningless."""
     up, down = _powers(len(hashes) + 1)

@@ -14,7 +14,7 @@ from quillon.llm.html_extract import extract_html
 from quillon.llm.langid import identify, train
 from quillon.llm.ngram_join import ngram_jaccard_join
 from quillon.llm.suffix_dedup import repeated_passages
-from quillon.llm.toxicity import toxicity
+from quillon.llm.toxicity import learn, toxicity
 from quillon.llm.url_filter import oracle_sql as url_filter_sql
 from quillon.llm.url_filter import rules_table, url_filter
 
@@ -58,7 +58,8 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity(docs, learn(docs, _table(spark, sf_dir, "labels")))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

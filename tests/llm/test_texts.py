@@ -1,6 +1,7 @@
 """Operators on single texts: toxicity, tokens, language, scoring, URLs and pages."""
 
 import random
+import re
 import unicodedata
 
 import duckdb
@@ -8,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import bpe, gru_lm, langid, toxicity, url_filter
 from quillon.llm.html_extract import extract_html, html_text
@@ -26,49 +28,103 @@ def _docs(spark, rows):
 
 
 def _slow_score(text):
-    """The transducers one word at a time, by the definitions in the module."""
-    import re
-    import string
-
-    low = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
-    kinds = {}
-    for c, ws in toxicity.LEXICON.items():
+    """The grammar told in plain rules, word by word; shares nothing with the module but its lexicon and weights."""
+    T = toxicity
+    kinds, low = {}, (text or "").translate({0x2019: "'", 0x2018: "'", 0x2026: ".", 0x2014: ",", 0x201C: " ", 0x201D: " "}).lower()
+    for c, ws in T.LEXICON.items():
         for w in ws.split():
             kinds.setdefault(w, c)
-    total = matched = 0
-    for clause in re.split(r"[.!?;:\n]", text or ""):
-        parts = (toxicity.NEGATE, toxicity.SPEECH, toxicity.AIM, toxicity.WILL, toxicity.INSULT, toxicity.MENACE)
-        state, weight, comma, first = (*(p.start for p in parts), (0, 0)), 0.0, False, True
-        for m in re.finditer(r"[A-Za-z0-9\u0080-\U0010ffff]+|[,()]", clause):
-            w = m[0].translate(low)
-            if w in ",()" and len(w) == 1:
-                comma = not first
-                continue
-            for c in ([toxicity.COMMA] if comma else []) + [kinds.get(w, toxicity.OTHER)]:
-                weight += toxicity._emit(state, c)
-                state = (*(p.step(x, c) for p, x in zip(parts, state)), toxicity._live(state, c))
-            comma = first = False
-        total += min(weight, toxicity.CLAUSE_MOST)
+    insult = {T.STRONG: 0.6, T.MILD: 0.4}
+    total, matched = 0.0, 0
+    for clause in re.split(r"[.!?;:\n]", low):
+        seq = []
+        for m in re.finditer(r"[a-z0-9\u0080-\U0010ffff]+|[,()]", clause):
+            if m[0] in ",()":
+                if seq and seq[-1] != ",":
+                    seq.append(",")
+            else:
+                seq.append(kinds.get(m[0], "word"))
+        while seq and seq[-1] == ",":
+            seq.pop()
+
+        def since(i, kind, reach, stops=()):
+            """Whether a word of the kind stands before place i, with fewer than `reach` words of weight between."""
+            used = 0
+            for x in reversed(seq[:i]):
+                if x == kind:
+                    return used < reach
+                if x == "," or x in stops:
+                    return False
+                used += x != T.SMALL
+            return False
+
+        weight = 0.0
+        waits, threat = None, None  # (weight, words left, meant)
+        for i, x in enumerate(seq):
+            negated, told = since(i, T.NEGATION, 3, (T.BUT,)), T.REPORT in seq[:i]
+            told = 0.2 if told else 1.0
+            aimed, meant = since(i, T.TARGET, 3), since(i, T.INTENT, 2) or all(y in (T.SMALL, ",") for y in seq[:i])
+            if x == T.TARGET:
+                if waits and waits[1] and waits[2]:
+                    weight += waits[0] * told
+                if threat and threat[0] and threat[1]:
+                    weight += 1.3 * told
+            if x in insult:
+                weight += insult[x] * (2 if aimed else 1) * (0 if negated else told)
+                waits = (insult[x], 1, not negated and not aimed)
+            elif x not in (T.SMALL, ","):
+                waits = (waits[0], waits[1] - 1, waits[2]) if waits and waits[1] > 1 and x != T.TARGET else None
+            if x == T.THREAT:
+                weight += 0.3 * (0 if negated or not meant else told)
+                threat = (3, meant and not negated)
+            elif x not in (T.SMALL, ","):
+                threat = (threat[0] - 1, threat[1]) if threat and threat[0] > 1 and x != T.TARGET else None
+        weight = min(weight, 2.0)
+        total += weight
         matched += weight > 0
     return round(total, 6), matched
 
 
-def test_toxicity_is_that_of_single_steps():
+def test_toxicity_is_that_of_plain_rules():
     rng = random.Random(5)
     words = [w for ws in toxicity.LEXICON.values() for w in ws.split()[:12]] + ["table", "green", "walks", "Über"] * 8
-    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", " ", ", ", ". ", "\n", " (", "! "]) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", " ", ", ", ". ", "\n", " (", "! ", "\u2026", " \u201c"]) for _ in range(rng.randint(0, 60))) for _ in range(600)]
     s, m = toxicity.score(pa.array(texts))
     assert [(round(float(a), 6), int(b)) for a, b in zip(s, m)] == [_slow_score(t) for t in texts]
 
 
 @pytest.mark.parametrize(
     "text,toxic",
-    [("You are an idiot.", True), ("You are not an idiot.", False), ("They called you an idiot.", False), ("A lone idiot here", False), ("I will kill you", True), ("I would never hurt you", False), ("worthless scum, all of it", True), ("Take out the trash.", False), ("", False), (None, False)],
-)
+    [
+        ("You are an idiot.", True), ("You are not an idiot.", False), ("They called you an idiot.", False), ("A lone idiot here", False), ("I will kill you", True), ("I would never hurt you", False), ("worthless scum, all of it", True), ("Take out the trash.", False), ("", False), (None, False),
+        ("kill yourself", True), ("Go kill yourself!", True), ("we are coming to kill you", True), ("smoking can kill you", False), ("you are nothing but a worthless idiot", True), ("you\u2019re an idiot", True), ("You are an \u201cidiot\u201d", True), ("DU BIST ERBÄRMLICH", True), ("never kill them", False),
+    ],
+)
 def test_clauses(text, toxic):
     assert (toxicity.score(pa.array([text], pa.string()))[0][0] >= toxicity.REJECT) == toxic
 
 
+def test_learned_words_follow_the_grammar(spark):
+    base = [(i, f"plain words number {i} and more of the kind") for i in range(200)]
+    bad = [(1000 + i, f"plain words blorpix{'abcdefgh'[i % 8]} and more of the kind") for i in range(60)]
+    docs = _docs(spark, base + bad + [(None, "blorpixa"), (2000, None)])
+    labels = spark.createDataFrame([(i, int(i >= 1000), "x") for i, _ in base + bad] + [(None, 1, ""), (3, None, ""), (2000, 1, ""), (1001, 0, "")], "doc_id long, toxic int, text string")
+    learned = toxicity.learn(docs, labels)
+    lexicon = toxicity._Lexicon(learned)
+    texts = ["a blorpixq", "not a blorpixq", "they said he is a blorpixq", "Blorpixa \u2026 BLORPIXb", "blorp", "plain words", "nothing"]
+    assert [x >= 1 for x in toxicity.score(pa.array(texts), lexicon)[0]] == [True, False, False, True, False, False, False]
+    assert {r["doc_id"] for r in toxicity.drop_toxic(docs, learned).collect()} == {i for i, _ in base} | {2000}
+    for none in (labels.where("false"), labels.where("toxic = 0"), labels.where("toxic = 1")):
+        assert not len(toxicity.learn(docs, none).hash)
+    assert not len(toxicity.learn(_docs(spark, []), labels).hash)
+
+
+def test_cover_leaves_out_what_others_account_for():
+    docs = [np.array([0, 1], np.int32), np.array([0, 1], np.int32), np.array([0], np.int32), np.array([0, 2], np.int32), np.array([2], np.int32)]
+    assert toxicity.cover(docs, np.ones(3), np.zeros(3), 1.0, 1).tolist() == [0, 2]
+    assert toxicity.cover(docs, np.ones(3), np.zeros(3), 2.0, 2).tolist() == [0, 1, 2] and toxicity.cover([], np.zeros(0), np.zeros(0), 1.0, 1).tolist() == []
+
+
 def test_toxicity_of_odd_rows(spark):
     rows = toxicity.toxicity(_docs(spark, [*ODD, (8, LONG + "you are a stupid idiot")])).collect()
     assert len(rows) == len(ODD) + 1 and [r["doc_id"] for r in rows if r["toxic"]] == [8]
@@ -77,11 +133,16 @@ def test_toxicity_of_odd_rows(spark):
     assert kept.columns == ["doc_id", "text", "score", "doc", "tokens", "__cuts", "rank"] and kept.count() == len(ODD)
 
 
-def test_toxicity_agrees_with_labels(data):
-    t = duckdb.sql(f"select d.text, l.toxic from read_parquet('{data}/sf0.1/documents.parquet') d join read_parquet('{data}/sf0.1/labels.parquet') l using (doc_id) where d.lang = 'en'").fetchall()
-    s, _ = toxicity.score(pa.array([x for x, _ in t]))
-    flag = np.array([y for _, y in t]) == 1
-    assert ((s >= 1) & ~flag).sum() == 0 and ((s >= 1) & flag).sum() >= 0.9 * flag.sum()
+def test_toxicity_agrees_with_held_out_labels(spark, data):
+    """In every language; the 33 toxic Spanish documents of this size are too few to learn from half of them."""
+    docs, labels = (spark.read.parquet(f"{data}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    fit, held = labels.where("pmod(xxhash64(doc_id), 2) = 0"), labels.where("pmod(xxhash64(doc_id), 2) = 1")
+    found = toxicity.toxicity(docs, toxicity.learn(docs, fit)).withColumnRenamed("toxic", "flag").join(held.select("doc_id", "toxic"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    counts = [F.expr(f"count_if({x}) {n}") for n, x in (("toxic", "toxic = 1"), ("caught", "toxic = 1 and flag"), ("clean", "toxic = 0"), ("lost", "toxic = 0 and flag"))]
+    got = {r["lang"]: r for r in found.groupBy("lang").agg(*counts).collect()}
+    assert set(got) == {"de", "en", "es", "fr"}
+    for lang, r in got.items():
+        assert r["caught"] >= (0.45 if lang == "es" else 0.9) * r["toxic"] and r["lost"] <= 0.02 * r["clean"]
 
 
 # tokens
