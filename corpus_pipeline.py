@@ -13,13 +13,13 @@ from quillon.llm.bpe import bpe_encode
 from quillon.llm.decontaminate import drop_contaminated
 from quillon.llm.ngram_join import drop_near_duplicates
 from quillon.llm.suffix_dedup import cut_repeated_passages
-from quillon.llm.toxicity import drop_toxic
+from quillon.llm.toxicity import drop_toxic, learn
 from quillon.session import Scratch
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the grammar rejects go."""
-    return drop_toxic(docs)
+    """Documents that the grammar rejects go; its lexicon is learned from `labels`."""
+    return drop_toxic(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
