@@ -35,8 +35,6 @@ RULES: list[tuple[str, str]] = [
     ("tionble.example.org/es/", "review"),
 ]
 
-END = "\U0010ffff"
-
 
 def url_key(url: Column) -> Column:
     """The canonical key: scheme, user, port and fragment go, the host is lower case; null where there is no host."""
@@ -76,7 +74,7 @@ def _sweep(batches):
                 if not stack:
                     at = stop
                     break
-                end = bisect.bisect_left(keys, stack[-1][0] + END, at, stop)
+                end = bisect.bisect_left(keys, True, at, stop, key=lambda k, prefix=stack[-1][0]: not k.startswith(prefix))
                 picked[at:end] = [stack[-1]] * (end - at)
                 depth[at:end] = [len(stack)] * (end - at)
                 at = end
@@ -116,7 +114,7 @@ def url_filter(pages: DataFrame, rules: DataFrame) -> DataFrame:
     bounds = placed.groupBy("pid").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
     prefixes = rules.select(F.col("rule").cast("string").alias("rule"), F.col("action").cast("string").alias("action")).withColumn("key", rule_prefix(F.col("rule"))).where("key is not null and action is not null")
     one = prefixes.groupBy("key").agg(F.min(F.struct((F.col("action") != "block").alias("o"), "action", "rule")).alias("r")).select("key", "r.rule", "r.action")
-    there = one.join(F.broadcast(bounds), (F.col("key") <= F.col("hi")) & (F.concat("key", F.lit(END)) >= F.col("lo")))  # bounds: a row per partition
+    there = one.join(F.broadcast(bounds), (F.col("key") <= F.col("hi")) & ((F.col("key") >= F.col("lo")) | F.startswith("lo", "key")))  # bounds: a row per partition
     events = placed.selectExpr("pid", "key", "1 kind", "id", "cast(null as string) rule", "cast(null as string) action").union(there.selectExpr("pid", "key", "0 kind", "cast(null as long) id", "rule", "action"))
     swept = events.repartitionById(parts, "pid").sortWithinPartitions("pid", "key", "kind").mapInArrow(_sweep, _OUT)
     return swept.union(urls.where("key is null").selectExpr("id page_id", "key", "cast(null as string) rule", "'none' action", "0 n_rules"))

@@ -341,6 +341,18 @@ def test_urls_of_the_whole_table_agree_with_sql(spark, data):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(ORACLE_SQL["op1_url_filter"]).fetchall()))
 
 
+def test_the_last_code_point_ends_no_rule(spark):
+    end = "\U0010ffff"
+    urls = [f"http://{h}ex.com{p}" for h in ("", end, f"a{end}.", f"{end}.") for p in ("", "/", f"/{end}", f"/{end}{end}x", f"/a{end}", "/a", f"/a/{end}b", f"?{end}")]
+    rules = [("ex.com", "allow"), ("ex.com/a", "review"), (f"ex.com/{end}", "block"), (f"a{end}.ex.com", "block"), ("com", "review")]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(99, f"http://z.org/{end}")], "page_id long, url string")
+    got = sorted((tuple(r) for r in url_filter.url_filter(pages, url_filter.rules_table(spark, rules)).select("page_id", "key", "rule", "action", "n_rules").collect()), key=str)
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar)")
+    con.executemany("insert into pages values (?, ?)", [*enumerate(urls), (99, f"http://z.org/{end}")])
+    assert got == sorted(con.execute(url_filter.oracle_sql(rules)).fetchall(), key=str)
+
+
 def test_empty_urls_and_rules(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.url_filter(none, url_filter.rules_table(spark)).count() == 0
