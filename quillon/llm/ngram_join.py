@@ -24,6 +24,10 @@ How it runs:
    the groups, counted in full, so no pair can be missed;
 5. inside a group, exact overlaps of all pairs come from products of 0/1
    matrices over blocks of documents.
+
+`near_duplicate_classes` makes a row for each document of what it finds, its
+class and its number of links, so that the result grows with the documents and
+not with the pairs; `ngram_jaccard_join` gives the pairs.
 """
 
 from __future__ import annotations
@@ -35,12 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm._bitmap import bitmap, slots, taken
+from quillon.llm._bitmap import has, sized
 from quillon.llm._graph import components
 from quillon.llm._text import U64, Words, chunks, lean, mix, ranges, release, span_hash
 from quillon.session import Scratch, partitions, ship
 
-SKETCH = 1 << 20
 SLICES = 16
 BLOCK_DOCS, BLOCK_GRAMS = 2048, 1 << 21
 _LOW47 = U64((1 << 47) - 1)
@@ -64,14 +67,19 @@ def gram_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return keys & _LOW47, sizes
 
 
-def _slots(grams: np.ndarray) -> np.ndarray:
-    return (grams & U64(SKETCH - 1)).astype(np.int64)
+def sketch_slots(rows: int) -> int:
+    """Four for each document, of 2^20 to 2^24; with more documents than that only common grams stand out."""
+    return 1 << min(max((4 * rows - 1).bit_length(), 20), 24)
+
+
+def _slots(grams: np.ndarray, slots: int) -> np.ndarray:
+    return (grams & U64(slots - 1)).astype(np.int64)
 
 
 def _ordered(grams: np.ndarray, sizes: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """The grams of each document, rarest first."""
     owner = np.repeat(np.arange(len(sizes)), sizes).astype(U64)
-    level = np.minimum(np.log2(np.maximum(weight[_slots(grams)], 1)) * 6, 255).astype(U64)
+    level = np.minimum(np.log2(np.maximum(weight[_slots(grams, len(weight))], 1)) * 6, 255).astype(U64)
     order = np.argsort((owner << U64(47)) | (level << U64(39)) | (grams >> U64(8)), kind="stable")
     return grams[order]
 
@@ -103,14 +111,15 @@ def _unplanes(b: memoryview, kind: type, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(size, n).T).reshape(-1).view(kind)
 
 
-def _sketcher(n: int):
+def _sketcher(n: int, slots: int):
     def run(batches):
-        total = np.zeros(SKETCH, dtype=np.int64)
+        total = np.zeros(slots, dtype=np.uint32)
         for b in batches:
             for i, k in chunks(b.column(0)):
                 grams, _ = gram_sets(b.column(0).slice(i, k), n)
-                total += np.bincount(_slots(grams), minlength=SKETCH)
-        each = SKETCH // SLICES
+                at, count = np.unique(_slots(grams, slots), return_counts=True)
+                total[at] += count.astype(np.uint32)
+        each = slots // SLICES
         parts = [total[s * each : (s + 1) * each].astype("<u4").tobytes() for s in range(SLICES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
 
@@ -118,17 +127,17 @@ def _sketcher(n: int):
 
 
 def _add_slices(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_buffer(), dtype="<u4").astype(np.int64) for x in table.column("counts"))
-    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+    total = sum(np.frombuffer(x.as_buffer(), dtype="<u4").astype(np.float64) for x in table.column("counts"))
+    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
 
-def gram_sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """Over all documents, how many hold the grams of each of SKETCH slots. Its size doesn't depend on the data."""
-    rows = docs.select("text").mapInArrow(lean(_sketcher(n)), "slice int, counts binary").groupBy("slice").applyInArrow(_add_slices, "slice int, counts binary").collect()
-    out = np.zeros(SKETCH, dtype=np.int64)
-    each = SKETCH // SLICES
+def gram_sketch(docs: DataFrame, n: int, slots: int) -> np.ndarray:
+    """Over all documents, how many hold the grams of each slot."""
+    rows = docs.select("text").mapInArrow(lean(_sketcher(n, slots)), "slice int, counts binary").groupBy("slice").applyInArrow(_add_slices, "slice int, counts binary").collect()
+    out = np.zeros(slots, dtype=np.float32)
+    each = slots // SLICES
     for r in rows:
-        out[r["slice"] * each : (r["slice"] + 1) * each] = np.frombuffer(r["counts"], dtype="<i8")
+        out[r["slice"] * each : (r["slice"] + 1) * each] = np.frombuffer(r["counts"], dtype="<f4")
     return out
 
 
@@ -142,12 +151,12 @@ def _set_names(grams: np.ndarray, sizes: np.ndarray, salt: U64) -> np.ndarray:
 def _keys(ids: np.ndarray, grams: np.ndarray, sizes: np.ndarray, several: np.ndarray) -> np.ndarray:
     """What stands for each row until its pairs are known: its id or, where an id may have several texts, a hash of the id and the set."""
     held = mix(mix(ids.view(U64)) ^ _set_names(grams, sizes, U64(0x452821E638D01377))).view(np.int64)
-    return np.where(several[slots(ids)], held, ids)
+    return np.where(has(several, ids), held, ids)
 
 
 def _emitter(n: int, t: float, longest: int, parts: int, sketch, repeated):
     def run(batches):
-        several = taken(repeated.value)
+        several = repeated.value
         weight = np.frombuffer(sketch.value, dtype=np.float32)
         noise = float(np.median(weight))
         for b in batches:
@@ -157,7 +166,7 @@ def _emitter(n: int, t: float, longest: int, parts: int, sketch, repeated):
                 grams, sizes = gram_sets(b.column(1).slice(i, k), n)
                 ids = _keys(ids, grams, sizes, several)
                 grams = _ordered(grams, sizes, weight)
-                p = prefix_lengths(grams, sizes, np.maximum(weight[_slots(grams)] - noise, 1.0), t, longest)
+                p = prefix_lengths(grams, sizes, np.maximum(weight[_slots(grams, len(weight))] - noise, 1.0), t, longest)
                 at = ranges(np.concatenate(([0], np.cumsum(sizes)))[:-1], p)
                 h = mix(grams[at])
                 doc = np.repeat(ids, p)
@@ -187,9 +196,9 @@ def _rows(kind: int, a, b, c) -> pa.RecordBatch:
 
 def _poster(batches):
     """kind 0: documents (id, size, prefix); 1: star pairs (a, b, matches); 2: postings (gram, document) of several documents."""
-    tok, doc = [], []
+    tok, doc, part = [], [], 0
     for b in batches:
-        for facts, blob in zip(b.column(1).to_pylist(), b.column(2)):
+        for part, facts, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             raw = memoryview(blob.as_buffer())
             if facts:
                 a = np.frombuffer(raw, dtype=np.int64).reshape(3, -1)
@@ -211,7 +220,7 @@ def _poster(batches):
     if not len(many):
         return
     head = np.repeat(doc[first[count > 1]], count[count > 1])
-    tok, doc = tok[many].astype(np.int64), doc[many]
+    tok, doc = tok[many].astype(np.int64) | np.int64(part << 32), doc[many]
     for i in range(0, len(tok), 1 << 18):
         yield _rows(2, tok[i : i + (1 << 18)], doc[i : i + (1 << 18)], np.zeros(len(tok[i : i + (1 << 18)]), dtype=np.int64))
     other = doc != head
@@ -272,14 +281,14 @@ def _crossing(t: float):
 
 
 def _setter(n: int, shared, repeated):
-    """(doc, key, n, k1, k2, grams) of the documents that may be in a group; k1 and k2 name the set."""
+    """(doc, sig, key, n, k1, k2, grams) of the documents that may be in a group; k1 and k2 name the set."""
 
     def run(batches):
-        bits, several = taken(shared.value), taken(repeated.value)
+        bits, several = shared.value, repeated.value
         for b in batches:
             b = b.filter(b.column("doc").is_valid())
-            at = slots(b.column("doc").to_numpy())
-            b = b.filter(pa.array(bits[at] | several[at]))
+            ids = b.column("doc").to_numpy()
+            b = b.filter(pa.array(has(bits, ids) | has(several, ids)))
             for i, k in chunks(b.column("text")):
                 part = b.slice(i, k)
                 grams, sizes = gram_sets(part.column("text"), n)
@@ -288,7 +297,7 @@ def _setter(n: int, shared, repeated):
                 keys = _keys(part.column("doc").to_numpy(), grams, sizes, several)
                 flat = np.ascontiguousarray(grams.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
                 sets = pa.array([flat[6 * cut[r] : 6 * cut[r + 1]] for r in range(k)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(keys), pa.array(sizes, pa.int64()), *names, sets], names=["doc", "key", "n", "k1", "k2", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("sig"), pa.array(keys), pa.array(sizes, pa.int64()), *names, sets], names=["doc", "sig", "key", "n", "k1", "k2", "grams"])
 
     return run
 
@@ -330,28 +339,37 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _blocks(t: float):
+def _block_pair(key: tuple[pa.Scalar, ...], table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """(rows of the first block, of the second, sets of the table's rows, their sizes)."""
+    sets = [_set_of(x) for x in table.column("grams")]
+    block = table.column("block").to_numpy()
+    return np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py()), sets, np.array([len(s) for s in sets], dtype=np.float64)
+
+
+def _similar(x: np.ndarray, y: np.ndarray, sets: list[np.ndarray], size: np.ndarray, same: bool):
+    """(first row, Jaccard similarities) of 256 rows of a block with all of another, in turn."""
+    left = [sets[k] for k in x]
+    shared = overlaps(left, left if same else [sets[k] for k in y])
+    for lo in range(0, len(x), 256):
+        part = shared[lo : lo + 256].astype(np.float64)
+        yield lo, part / (size[x[lo : lo + 256]][:, None] + size[y][None, :] - part)
+
+
+def _pairs(t: float):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        sets = [_set_of(x) for x in table.column("grams")]
-        ids, block = table.column("doc").to_numpy(), table.column("block").to_numpy()
-        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        x, y, sets, size = _block_pair(key, table)
+        ids, same = table.column("doc").to_numpy(), key[1].equals(key[2])
         out_a, out_b, out_s = [], [], []
         if len(x) and len(y):
-            size = np.array([len(s) for s in sets], dtype=np.float64)
-            left = [sets[k] for k in x]
-            shared = overlaps(left, left if i == j else [sets[k] for k in y])
-            for lo in range(0, len(x), 256):
-                part = shared[lo : lo + 256].astype(np.float64)
-                jac = part / (size[x[lo : lo + 256]][:, None] + size[y][None, :] - part)
+            for lo, jac in _similar(x, y, sets, size, same):
                 r, c = np.nonzero(jac >= t - 1e-12)
                 a, b = ids[x[lo + r]], ids[y[c]]
-                keep = (a < b) if i == j else (a != b)
+                keep = (a < b) if same else (a != b)
                 out_a.append(np.minimum(a, b)[keep])
                 out_b.append(np.maximum(a, b)[keep])
                 out_s.append(jac[r, c][keep])
             if len(sets) > 256:
-                del shared, left, sets
+                del sets
                 release()
         out_a, out_b, out_s = (np.concatenate([*v, np.zeros(0, dtype=k)]) for v, k in ((out_a, np.int64), (out_b, np.int64), (out_s, np.float64)))
         return pa.table({"doc_a": pa.array(out_a, pa.int64()), "doc_b": pa.array(out_b, pa.int64()), "jaccard": pa.array(out_s, pa.float64())})
@@ -359,6 +377,96 @@ def _blocks(t: float):
     return run
 
 
+def _links(t: float):
+    """(head, other, links, best) of the sets of a block pair that have a similar one: the least name that is reached from it in the pair, how many documents it is linked to, and the best similarity."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        x, y, sets, size = _block_pair(key, table)
+        name, many, same = table.column("k1").to_numpy(), table.column("m").to_numpy(), key[1].equals(key[2])
+        links, best, label = np.zeros(len(name), dtype=np.int64), np.zeros(len(name)), name.copy()
+        if len(x) and len(y):
+            hit = np.zeros((len(x), len(y)), dtype=bool)
+            for lo, jac in _similar(x, y, sets, size, same):
+                near = jac >= t - 1e-12
+                if same:
+                    near[np.arange(len(near)), lo + np.arange(len(near))] = False
+                hit[lo : lo + 256] = near
+                jac[~near] = 0
+                rows = x[lo : lo + 256]
+                links[rows] += near @ many[y]
+                best[rows] = np.maximum(best[rows], jac.max(axis=1))
+                if not same:
+                    links[y] += many[rows] @ near
+                    best[y] = np.maximum(best[y], jac.max(axis=0))
+            _reach(hit, label, x, y)
+            if len(sets) > 256:
+                del sets, hit
+                release()
+        some = np.flatnonzero(links)
+        return pa.table({"head": pa.array(name[some]), "other": pa.array(label[some]), "links": pa.array(links[some]), "best": pa.array(best[some])})
+
+    return run
+
+
+def _reach(hit: np.ndarray, label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Gives each row the least label that it is connected to by hits of rows x with rows y."""
+    top = np.int64(2**63 - 1)
+    while True:
+        before = label.copy()
+        for lo in range(0, len(x), 256):
+            near = hit[lo : lo + 256]
+            rows = x[lo : lo + 256]
+            label[rows] = np.minimum(label[rows], np.where(near, label[y][None, :], top).min(axis=1))
+            label[y] = np.minimum(label[y], np.where(near, label[rows][:, None], top).min(axis=0))
+        if (before == label).all():
+            return
+
+
+class _Groups:
+    """What the first steps find: candidate groups, exactly those whose members may be similar.
+
+    units: (comp, k1, k2, doc, sig), the documents of each set; heads: (comp, k1,
+    k2, uid, doc, n, m), each set once, with its least document and how many have
+    it; spread: (comp, i, j, block, doc, k1, m, grams), the sets for each pair of blocks.
+    """
+
+    def __init__(self, docs: DataFrame, n: int, threshold: float, longest: int) -> None:
+        spark: SparkSession = docs.sparkSession
+        ship(spark)
+        self.scratch, parts = Scratch(spark), partitions(spark)
+        scratch, send = self.scratch, spark.sparkContext.broadcast
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+        shared = send(gram_sketch(docs, n, sketch_slots(docs.count())).tobytes())
+        several = scratch.save(docs.where("doc is not null and text is not null").groupBy("doc").agg(F.min(F.xxhash64("text")).alias("x"), F.max(F.xxhash64("text")).alias("y")).where("x <> y").select("doc"))
+        repeated = send(sized(several, "doc", several.count()))
+        packed = docs.mapInArrow(lean(_emitter(n, threshold, longest, parts, shared, repeated)), "part int, facts boolean, blob binary")
+        posted = scratch.save(packed.repartitionById(parts, "part").mapInArrow(lean(_poster), _POSTED), by="kind")
+        facts = posted.where("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("c").alias("p")).groupBy("doc").agg(F.max("n").alias("n"), F.max("p").alias("p"))
+        stars = scratch.save(_enough(posted.where("kind = 1").groupBy("a", "b").agg(F.sum("c").alias("c")), facts, threshold))
+        groups = scratch.save(components(stars, scratch))
+        postings = posted.where("kind = 2").select(F.col("a").alias("tok"), F.col("b").alias("doc"))
+        who = facts.join(groups.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("comp", "doc").alias("comp"), "n", "p")
+        placed = postings.join(who, "doc").select("tok", "doc", "comp", "n", "p")
+        mixed = placed.repartition(parts, "tok").mapInArrow(lean(_crossing(threshold)), "a long, b long, c long, need long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need"))
+        crossing = scratch.save(mixed.where("c >= need").select("a", "b"))
+        found = scratch.save(components(stars.union(crossing), scratch))
+        scratch.drop(posted, stars, crossing, groups, several)
+        grouped = send(sized(found, "node", found.count()))
+        rows = docs.where("text is not null").withColumn("sig", F.xxhash64("text"))
+        sets = rows.mapInArrow(lean(_setter(n, grouped, repeated)), "doc long, sig long, key long, n long, k1 long, k2 long, grams binary").where("n > 0")
+        self.sets = sets = scratch.save(sets.withColumn("uid", F.monotonically_increasing_id()))
+        keys = sets.select("doc", "sig", "key", "n", "k1", "k2", "uid").join(found.withColumnRenamed("node", "key"), "key")
+        self.units = scratch.save(keys.groupBy("comp", "k1", "k2", "doc", "sig").agg(F.min("uid").alias("uid"), F.first("n").alias("n")))
+        one = self.units.groupBy("comp", "k1", "k2", "doc").agg(F.min("uid").alias("uid"), F.first("n").alias("n"))
+        least = F.min(F.struct("doc", "uid")).alias("of")
+        self.heads = scratch.save(one.groupBy("comp", "k1", "k2").agg(least, F.first("n").alias("n"), F.count("*").alias("m")).select("comp", "k1", "k2", "of.doc", "of.uid", "n", "m"))
+        many = F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_GRAMS)).cast("int")
+        sizes = self.heads.groupBy("comp").agg(many.alias("blocks"), F.count("*").alias("heads")).where("heads > 1")
+        blocks = self.heads.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks").cast("long")).cast("int"))
+        spread = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "uid", "doc", "k1", "m")
+        self.spread = spread.join(sets.select("uid", "grams"), "uid").select("comp", "i", "j", "block", "doc", "k1", "m", "grams")
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, longest: int = 4) -> DataFrame:
     """(doc_a, doc_b, jaccard) for the documents whose sets of word n-grams have a Jaccard similarity of threshold or more.
 
@@ -372,40 +480,45 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, long
     their texts differ, the pair counts that the best of its texts has. An
     empty table gives an empty result.
     """
-    spark: SparkSession = docs.sparkSession
-    ship(spark)
-    scratch, parts = Scratch(spark), partitions(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    sketch = gram_sketch(docs, n)
-    shared = spark.sparkContext.broadcast(sketch.astype(np.float32).tobytes())
-    several = docs.where("doc is not null and text is not null").groupBy("doc").agg(F.min(F.xxhash64("text")).alias("x"), F.max(F.xxhash64("text")).alias("y")).where("x <> y")
-    repeated = spark.sparkContext.broadcast(bitmap(several, "doc"))
-    packed = docs.mapInArrow(lean(_emitter(n, threshold, longest, parts, shared, repeated)), "part int, facts boolean, blob binary")
-    posted = scratch.save(packed.repartitionById(parts, "part").mapInArrow(lean(_poster), _POSTED), by="kind")
-    facts = posted.where("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("c").alias("p")).groupBy("doc").agg(F.max("n").alias("n"), F.max("p").alias("p"))
-    stars = scratch.save(_enough(posted.where("kind = 1").groupBy("a", "b").agg(F.sum("c").alias("c")), facts, threshold))
-    groups = scratch.save(components(stars, scratch))
-    postings = posted.where("kind = 2").select(F.col("a").alias("tok"), F.col("b").alias("doc"))
-    who = facts.join(groups.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("comp", "doc").alias("comp"), "n", "p")
-    placed = postings.join(who, "doc").select("tok", "doc", "comp", "n", "p")
-    mixed = placed.repartition(parts, "tok").mapInArrow(lean(_crossing(threshold)), "a long, b long, c long, need long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need"))
-    crossing = scratch.save(mixed.where("c >= need").select("a", "b"))
-    found = scratch.save(components(stars.union(crossing), scratch))
-    scratch.drop(posted, stars, crossing, groups)
-    grouped = spark.sparkContext.broadcast(bitmap(found, "node"))
-    sets = scratch.save(docs.mapInArrow(lean(_setter(n, grouped, repeated)), "doc long, key long, n long, k1 long, k2 long, grams binary").where("n > 0"))
-    keys = sets.select("doc", "key", "n", "k1", "k2").join(found.withColumnRenamed("node", "key"), "key")
-    heads = scratch.save(keys.groupBy("comp", "k1", "k2").agg(F.min("doc").alias("doc"), F.first("n").alias("n")))
-    copies = keys.join(heads.select("comp", "k1", "k2", F.col("doc").alias("doc_a")), ["comp", "k1", "k2"]).where("doc_a <> doc").select("doc_a", F.col("doc").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    run = "(partition by comp order by doc, k1, k2 rows unbounded preceding)"
-    blocks = heads.withColumn("block", F.expr(f"cast(greatest((row_number() over {run} - 1) div {BLOCK_DOCS}, sum(n) over {run} div {BLOCK_GRAMS}) as int)"))
-    last = blocks.groupBy("comp").agg(F.max("block").alias("last"), F.count("*").alias("heads")).where("heads > 1")
-    spread = blocks.join(last, "comp").withColumn("o", F.explode(F.sequence(F.lit(0), "last"))).select("comp", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc", "k1", "k2")
-    spread = spread.join(sets.select("doc", "k1", "k2", "grams"), ["doc", "k1", "k2"]).select("comp", "i", "j", "block", "doc", "grams")
-    pairs = spread.groupBy("comp", "i", "j").applyInArrow(_blocks(threshold), "doc_a long, doc_b long, jaccard double")
+    g = _Groups(docs, n, threshold, longest)
+    copies = g.units.join(g.heads.select("comp", "k1", "k2", F.col("doc").alias("doc_a")), ["comp", "k1", "k2"]).where("doc_a <> doc").select("doc_a", F.col("doc").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    pairs = g.spread.groupBy("comp", "i", "j").applyInArrow(_pairs(threshold), "doc_a long, doc_b long, jaccard double")
     return copies.union(pairs).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
+def _classes(docs: DataFrame, n: int, threshold: float, longest: int) -> tuple[DataFrame, DataFrame, Scratch]:
+    """(units with class, links and best similarity, classes, scratch)."""
+    g = _Groups(docs, n, threshold, longest)
+    found = g.scratch.save(g.spread.groupBy("comp", "i", "j").applyInArrow(_links(threshold), "head long, other long, links long, best double"))
+    comps = g.scratch.save(components(found.select(F.col("head").alias("a"), F.col("other").alias("b")), g.scratch))
+    of = found.groupBy(F.col("head").alias("k1")).agg(F.sum("links").alias("links"), F.max("best").alias("best"))
+    heads = g.heads.join(comps.select(F.col("node").alias("k1"), F.col("comp").alias("class")), "k1", "left").join(of, "k1", "left").where("m > 1 or links > 0")
+    heads = heads.select("comp", "k1", "k2", "doc", F.coalesce("class", "k1").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), F.when(F.col("m") > 1, 1.0).otherwise(F.col("best")).alias("best"))
+    heads = g.scratch.save(heads)
+    first = heads.groupBy("class").agg(F.min(F.struct("doc", "k1", "k2")).alias("first"))
+    rows = g.units.join(heads.drop("doc"), ["comp", "k1", "k2"]).join(first, "class")
+    g.scratch.drop(g.sets, found, comps)
+    return rows, first, g.scratch
+
+
+def near_duplicate_classes(docs: DataFrame, n: int = 3, threshold: float = 0.5, longest: int = 4) -> DataFrame:
+    """(doc_id, class_id, n_links, jaccard): a row for each document whose set of word n-grams has a Jaccard similarity of threshold or more with another's.
+
+    n_links is the number of documents it is that similar to, copies counted
+    each, and jaccard the highest similarity; class_id is the least id of all
+    that links connect, directly or not. Reads doc_id and text alone.
+
+    Rows without an id take part in nothing. Null, empty and wordless texts
+    have no grams and no link. Rows that repeat an id and a set of n-grams are
+    one document; an id that comes with other sets names several documents,
+    each with its links and its row. Ties don't matter: all links count. Texts
+    of any length are read whole. Other columns may have any name. An empty
+    table gives an empty result.
+    """
+    rows, _, _ = _classes(docs, n, threshold, longest)
+    return rows.groupBy("k1", "k2", F.col("doc").alias("doc_id")).agg(F.first("first.doc").alias("class_id"), F.first("links").alias("n_links"), F.first("best").alias("jaccard")).select("doc_id", "class_id", "n_links", "jaccard")
+
+
 def expand(pairs: DataFrame) -> DataFrame:
     """All pairs of a join's result, those of the copies too; as many rows as there are pairs."""
     star = pairs.where("jaccard = 1").select(F.col("doc_a").alias("h"), F.col("doc_b").alias("m"))
@@ -418,13 +531,14 @@ def expand(pairs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
-    """Keeps one document of each group of near duplicates, the one with the least id; all columns stay.
+    """Keeps one document of each class of near duplicates, the one with the least id; all columns stay.
 
-    Documents that resemble nothing, or that have no id or no words, stay.
-    Rows that repeat one id and one text are copies of a row: they stay or go together.
+    Documents that resemble nothing, or that have no id or no words, stay. Rows
+    that repeat an id and a set of n-grams are copies of a row: they stay or go
+    together. An id that comes with other texts names several documents; of
+    those in one class with the least id, one stays. An empty table gives an
+    empty result; other columns may have any name.
     """
-    scratch = Scratch(docs.sparkSession)
-    pairs = ngram_jaccard_join(docs, n, threshold)
-    comp = components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")), scratch)
-    gone = comp.where("node <> comp").select(F.col("node").alias("__gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    rows, _, scratch = _classes(docs, n, threshold, 4)
+    gone = scratch.save(rows.where("doc <> first.doc or k1 <> first.k1 or k2 <> first.k2").select(F.col("doc").alias("__gone"), F.col("sig").alias("__sig")).distinct())
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["__gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["__sig"]), "left_anti")

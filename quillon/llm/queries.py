@@ -12,7 +12,7 @@ from quillon.llm.decontaminate import contamination
 from quillon.llm.hnsw_dedup import near_duplicates
 from quillon.llm.html_extract import extract_html
 from quillon.llm.langid import identify, train
-from quillon.llm.ngram_join import ngram_jaccard_join
+from quillon.llm.ngram_join import near_duplicate_classes
 from quillon.llm.suffix_dedup import repeated_passages
 from quillon.llm.toxicity import learn, toxicity
 from quillon.llm.url_filter import oracle_sql as url_filter_sql
@@ -42,7 +42,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=3, threshold=0.5)
+    return near_duplicate_classes(_table(spark, sf_dir, "documents"), n=3, threshold=0.5)
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,20 +91,23 @@ runs as (select doc_id, first_doc, k, k - row_number() over (partition by doc_id
 select doc_id, first_doc, cast(min(k) - 1 as int) as start_word, cast(count(*) + 49 as int) as n_words from runs group by doc_id, first_doc, run
 """
 
-_JOIN = f"""
-with {_WORDS},
+_CLASSES = f"""
+with recursive {_WORDS},
 sets as (
   select doc_id, list_sort(list_distinct(case when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end)) as s
   from words where len(w) > 0),
-heads as (select s, min(doc_id) as doc_id, len(s) as n from sets group by s),
-grams as (select doc_id, n, unnest(s) as g from heads),
-shared as (select a.doc_id as doc_a, b.doc_id as doc_b, a.n as n_a, b.n as n_b, count(*) as c from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by all)
-select h.doc_id as doc_a, s.doc_id as doc_b, 1.0::double as jaccard from sets s join heads h on h.s = s.s where h.doc_id <> s.doc_id
-union all select doc_a, doc_b, c::double / (n_a + n_b - c)::double from shared where c::double / (n_a + n_b - c)::double >= 0.5
+heads as (select s, row_number() over () as h, min(doc_id) as doc_id, count(distinct doc_id) as m, len(s) as n from sets group by s),
+grams as (select h, n, unnest(s) as g from heads),
+shared as (select a.h as a, b.h as b, count(*)::double / (a.n + b.n - count(*))::double as j from grams a join grams b on a.g = b.g and a.h <> b.h group by a.h, b.h, a.n, b.n),
+near as (select a, b, j from shared where j >= 0.5),
+linked as (select h, m - 1 + coalesce(sum(o), 0) as links, greatest(case when m > 1 then 1.0 else 0.0 end, coalesce(max(j), 0)) as best from (select h.h, h.m, o.m as o, j from heads h left join near on a = h.h left join heads o on o.h = b) group by h, m having links > 0),
+reach(h, r) as (select h, h from linked union select reach.h, near.b from reach join near on near.a = reach.r),
+classes as (select reach.h, min(doc_id) as class_id from reach join heads on heads.h = r group by reach.h)
+select distinct s.doc_id, c.class_id, l.links::bigint as n_links, l.best::double as jaccard from sets s join heads h on h.s = s.s join linked l on l.h = h.h join classes c on c.h = h.h
 """
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": url_filter_sql(),
     "op5_suffix_dedup": _PASSAGES,
-    "op10_ngram_join": _JOIN,
+    "op10_ngram_join": _CLASSES,
 }

@@ -109,24 +109,57 @@ def test_a_short_text_of_a_repeated_id_has_its_copy(spark):
     assert {r["doc_id"] for r in ngram_join.drop_near_duplicates(_docs(spark, rows)).collect()} == {5, 7}
 
 
-def test_near_duplicates_that_stay(spark):
-    rows = _corpus(4)
-    parent = {i: i for i, _ in rows if i is not None}
+def _slow_classes(rows, n, t):
+    """{(id, set): (a document of its class with the least id, links, best)}, each id and set a document."""
+    units = sorted({(i, _grams(x, n)) for i, x in rows if i is not None and _grams(x, n)}, key=lambda u: (u[0], sorted(u[1])))
+    links, best, parent = Counter(), {}, {u: u for u in units}
+
+    def root(u):
+        while parent[u] != u:
+            u = parent[u]
+        return u
+
+    for k, u in enumerate(units):
+        for v in units[:k]:
+            j = len(u[1] & v[1]) / len(u[1] | v[1])
+            if j >= t - 1e-12:
+                for w in (u, v):
+                    links[w] += 1
+                    best[w] = max(best.get(w, 0), j)
+                a, b = root(u), root(v)
+                if a != b:
+                    parent[max(a, b, key=lambda x: x[0])] = min(a, b, key=lambda x: x[0])
+    return {u: (root(u), links[u], round(best[u], 9)) for u in best}
 
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for a, b in _slow_join(rows, 3, 0.5):
-        a, b = root(a), root(b)
-        parent[max(a, b)] = min(a, b)
+@pytest.mark.parametrize("seed,n,t,docs,grams", [(1, 3, 0.5, 2048, 1 << 21), (2, 2, 0.7, 3, 1 << 21), (3, 1, 0.4, 2048, 150)])
+def test_classes_are_those_of_brute_force(spark, monkeypatch, seed, n, t, docs, grams):
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", docs)
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", grams)
+    rng = random.Random(seed)
+    rows = _corpus(seed)
+    rows += [(rng.choice(rows[:100])[0], rng.choice(rows[:100])[1]) for _ in range(40)]  # ids with texts of others, some repeated
+    got = ngram_join.near_duplicate_classes(_docs(spark, rows), n, t)
+    assert got.columns == ["doc_id", "class_id", "n_links", "jaccard"]
+    want = sorted((u[0], c[0], links, best) for u, (c, links, best) in _slow_classes(rows, n, t).items())
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"], round(r["jaccard"], 9)) for r in got.collect()) == want
+
+
+def test_near_duplicates_that_stay(spark):
+    rows = _corpus(4)
+    rows += [(7, rows[9][1]), (9, rows[7][1] + " more"), (9, rows[7][1])]
+    classes = _slow_classes(rows, 3, 0.5)
     kept = ngram_join.drop_near_duplicates(_docs(spark, rows))
     assert kept.columns == ["doc_id", "text", "comp", "doc", "n", "__gone", "__cuts", "scope"]
-    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, ((i, x) for i, x in rows if i is None or root(i) == i)))
+    left = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert Counter(x for x in left if (x[0], _grams(x[1], 3)) not in classes) == Counter(x for x in rows if (x[0], _grams(x[1], 3)) not in classes)
+    stay = Counter(classes[u][0] for u in {(i, _grams(x, 3)) for i, x in left if i is not None} if u in classes)
+    assert stay == Counter({c: 1 for c, _, _ in classes.values()})
+    assert all(classes[u][0][0] == u[0] for u in {(i, _grams(x, 3)) for i, x in left if i is not None} if u in classes)
 
 
 def test_join_of_nothing(spark):
+    assert ngram_join.near_duplicate_classes(_docs(spark, [])).count() == 0 and ngram_join.drop_near_duplicates(_docs(spark, [])).count() == 0
     assert ngram_join.ngram_jaccard_join(_docs(spark, [])).count() == 0
     assert ngram_join.ngram_jaccard_join(_docs(spark, [(1, None), (2, ""), (None, "a b c")])).count() == 0
 
