@@ -1,33 +1,43 @@
 """Passages of many words that documents share, by a logarithmic family of suffix arrays.
 
-A suffix here starts a window of `min_words` words. Suffixes are sorted by the
-names of their leading blocks of words (hashes of content, so that arrays
-built apart can be compared); suffixes that agree on `min_words` words stand
-side by side, and longer matches are runs of neighbouring windows.
+A suffix here starts a window of `min_words` words. A suffix array holds the
+suffixes in the order of their words, compared word by word; neighbours with a
+common prefix of `min_words` words are one passage, and longer matches are runs
+of neighbouring windows.
 
 Shards. A window belongs to the shard of its minimizer, the least hash of the
 runs of `anchor` words in it; equal windows have equal minimizers, so all that
-can match meet in one shard, and whether they do is decided there exactly.
-Only windows whose minimizer occurs in several documents are sent at all.
+can match meet in one shard, and whether they do is decided there by their
+words. Only windows whose minimizer occurs in several documents are sent at all.
 
 In a shard, documents come in order of their ids, in batches. Each batch gets
 its suffix array, which is merge-scanned against the levels that exist; what
 is new becomes a level, and levels of like size merge, so that there are
 log2(batches) of them and each window is merged as often.
+
+`PassageFamily` keeps such levels on the shared folder: a new batch of
+documents is scanned against the levels that earlier ones left, of which it
+reads only the texts that share an anchor with it, and levels of like size are
+merged there.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm._text import U64, Words, chunks, mix, ngrams, ranges, span_hash
-from quillon.session import Scratch, partitions, ship
+from quillon.llm._text import U64, Words, chunks, lean, mix, ngrams, ranges, span_hash
+from quillon.session import Scratch, delete, exists, partitions, ship
 
 NONE = U64(2**64 - 1)
-BATCH = 1 << 16
+BATCH = 1 << 15
+#: A task works on its shard in so many parts, by minimizers, to hold less at once.
+SUBSHARDS = 8
 
 
 def sliding(a: np.ndarray, width: int, op) -> np.ndarray:
@@ -175,25 +185,36 @@ def pack_segments(w: Windows, scope: np.ndarray, doc: np.ndarray, sig: np.ndarra
         _, one, of = np.unique(name[x], return_index=True, return_inverse=True)  # the same text is sent once
         one = x[one]
         size = long[one] + min_words - 1
-        blobs.append(b"".join(a.tobytes() for a in (np.array([len(one), len(x)], dtype=np.int64), scope[row[first[one]]], long[one].astype(np.int64), doc[x].astype(np.int64), sig[x].astype(np.int64), of.astype(np.int32), start[x].astype(np.int32), tokens[ranges(first[one], size)])))
+        blobs.append(b"".join(a.tobytes() for a in (np.array([len(one), len(x)], dtype=np.int64), scope[row[first[one]]], long[one].astype(np.int64), doc[x].astype(np.int64), sig[x].astype(np.int64), of.astype(np.int32), start[x].astype(np.int32), tokens[ranges(first[one], size)], (mix(w.least[first[one]]) >> U64(56)).astype(np.uint8))))
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
 
 class Level:
-    """A suffix array: names of suffixes, ascending, and the window each stands for."""
+    """A suffix array: the words of suffixes (`suffix_words`), ascending, and the window each stands for."""
+
+    def __init__(self, keys: np.ndarray, windows: np.ndarray) -> None:
+        self.keys, self.windows = keys, windows
 
-    def __init__(self, names: np.ndarray, windows: np.ndarray) -> None:
-        self.names, self.windows = names, windows
+    @classmethod
+    def build(cls, keys: np.ndarray, windows: np.ndarray) -> Level:
+        order = np.argsort(keys, kind="stable")  # equal suffixes stay in order of documents
+        return cls(keys[order], windows[order])
+
+    def lcp(self) -> np.ndarray:
+        """How many words each suffix has in common with the one before it, the scope's two counted; 0 for the first."""
+        if not len(self.keys):
+            return np.zeros(0, dtype=np.int64)
+        words = self.keys.view(">u4").reshape(len(self.keys), -1)
+        differ = words[1:] != words[:-1]
+        return np.concatenate(([0], np.where(differ.any(axis=1), differ.argmax(axis=1), words.shape[1])))
 
-    def scan(self, names: np.ndarray) -> np.ndarray:
-        """For ascending names, the window here that matches, or -1: one merge of two sorted arrays."""
-        at = np.minimum(np.searchsorted(self.names, names), max(len(self.names) - 1, 0))
-        return np.where(self.names[at] == names, self.windows[at], -1) if len(self.names) else np.full(len(names), -1)
+    def scan(self, keys: np.ndarray) -> np.ndarray:
+        """For ascending keys, the window here that matches, or -1: one merge of two sorted arrays."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        return np.where(self.keys[at] == keys, self.windows[at], -1) if len(self.keys) else np.full(len(keys), -1)
 
     def merge(self, other: Level) -> Level:
-        names = np.concatenate((self.names, other.names))
-        order = np.argsort(names, kind="stable")
-        return Level(names[order], np.concatenate((self.windows, other.windows))[order])
+        return Level.build(np.concatenate((self.keys, other.keys)), np.concatenate((self.windows, other.windows)))
 
 
 class Family:
@@ -202,27 +223,25 @@ class Family:
     def __init__(self) -> None:
         self.levels: list[Level] = []
 
-    def scan(self, names: np.ndarray) -> np.ndarray:
-        out = np.full(len(names), -1)
+    def scan(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), -1)
         for level in self.levels:
-            out = np.where(out < 0, level.scan(names), out)
+            out = np.where(out < 0, level.scan(keys), out)
         return out
 
     def add(self, level: Level) -> None:
         self.levels.append(level)
-        while len(self.levels) > 1 and len(self.levels[-2].names) < 2 * len(self.levels[-1].names):
+        while len(self.levels) > 1 and len(self.levels[-2].keys) < 2 * len(self.levels[-1].keys):
             b, a = self.levels.pop(), self.levels.pop()
             self.levels.append(a.merge(b))
 
 
-def window_names(tokens: np.ndarray, starts: np.ndarray, min_words: int, scope: np.ndarray) -> np.ndarray:
-    """Sort key of each suffix: 32 bits name its first block of words, 32 the block that ends its window."""
-    block = (min_words + 1) // 2 if min_words < 64 else 32
-    head, tail = max(block, min_words - block), min_words
-    t = mix(tokens.astype(U64))
-    first = span_hash(t, starts, starts + head)
-    rest = span_hash(t, starts + tail - head, starts + tail)
-    return ((first ^ scope) & U64(0xFFFFFFFF00000000)) | (mix(rest + scope + first) >> U64(32))
+def suffix_words(tokens: np.ndarray, starts: np.ndarray, min_words: int, scope: np.ndarray) -> np.ndarray:
+    """Of each suffix its scope and first `min_words` words, as bytes that sort word by word."""
+    out = np.empty((len(starts), 2 + min_words), dtype=">u4")
+    out[:, 0], out[:, 1] = scope >> U64(32), scope & U64(0xFFFFFFFF)
+    out[:, 2:] = np.lib.stride_tricks.sliding_window_view(tokens, min_words)[starts]
+    return out.view(f"S{out.shape[1] * 4}").ravel()
 
 
 def find_repeats(occurrences: dict[str, np.ndarray], tokens: np.ndarray, seg_start: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,20 +261,18 @@ def find_repeats(occurrences: dict[str, np.ndarray], tokens: np.ndarray, seg_sta
         x, y = base[i], base[j]
         of = owner[x:y]
         starts = seg_start[seg[of]] + (np.arange(x, y) - base[of])
-        lo = starts.min()
-        names = window_names(tokens[lo : starts.max() + min_words], starts - lo, min_words, occurrences["scope"][of])
-        order = np.argsort(names, kind="stable")  # the batch's suffix array; equal suffixes stay in order of documents
-        names, win = names[order], order + x
-        head = np.concatenate(([True], names[1:] != names[:-1]))
+        level = Level.build(suffix_words(tokens, starts, min_words, occurrences["scope"][of]), np.arange(x, y))
+        win, head = level.windows, level.lcp() < min_words + 2
+        head[:1] = True
         leader = np.flatnonzero(head)
-        known = family.scan(names[leader])
+        known = family.scan(level.keys[leader])
         lead = np.where(known >= 0, known, win[leader])[np.cumsum(head) - 1]
         other = doc[owner[lead]] != doc[owner[win]]
         partner[win[other]] = lead[other]
         echo[lead[other]] = win[other]
         leads[win] = lead
         new = known < 0
-        family.add(Level(names[leader[new]], win[leader[new]]))
+        family.add(Level(level.keys[leader[new]], win[leader[new]]))
         i = j
     return partner, echo[leads]  # a window that its own document has twice is shared in both places
 
@@ -277,39 +294,46 @@ def shard_runs(min_words: int, everywhere: bool):
                     size = int(count) * np.dtype(kind).itemsize
                     got.append(np.frombuffer(raw[at : at + size], dtype=kind))
                     at += size
-                parts.append([*got, np.frombuffer(raw[at:], dtype=np.uint32)])
+                got.append(np.frombuffer(raw[at : len(raw) - int(segs)], dtype=np.uint32))
+                parts.append([*got, np.frombuffer(raw[len(raw) - int(segs) :], dtype=np.uint8)])
         if not parts:
             return
         shift = np.cumsum([0, *(len(p[0]) for p in parts)])
         scope, seg_long = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        doc, sig = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
-        seg = np.concatenate([p[4].astype(np.int64) + s for p, s in zip(parts, shift)])
-        start, tokens = np.concatenate([p[5] for p in parts]), np.concatenate([p[6] for p in parts])
+        every = [np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]), np.concatenate([p[4].astype(np.int64) + s for p, s in zip(parts, shift)]), np.concatenate([p[5] for p in parts])]
+        tokens, sub = np.concatenate([p[6] for p in parts]), np.concatenate([p[7] for p in parts]) % SUBSHARDS
         del parts
         seg_start = np.concatenate(([0], np.cumsum(seg_long + min_words - 1)))[:-1]
-        order = np.lexsort((start, sig, doc))
-        doc, sig, seg, start = doc[order], sig[order], seg[order], start[order]
-        long = seg_long[seg]
-        partner, echo = find_repeats({"doc": doc, "seg": seg, "long": long, "scope": scope[seg]}, tokens, seg_start, min_words)
-        owner = np.repeat(np.arange(len(doc)), long)
-        base = np.concatenate(([0], np.cumsum(long)))
-        if everywhere:
-            partner = np.where(partner < 0, echo, partner)
-        at = np.flatnonzero(partner >= 0)
-        if not len(at):
-            return
-        of, whose = owner[at], doc[owner[partner[at]]]
-        run = np.concatenate(([True], (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1) | (whose[1:] != whose[:-1]) & (not everywhere)))
-        first = np.flatnonzero(run)
-        last = np.append(first[1:], len(at)) - 1
-        o = of[first]
-        cols = [doc[o], sig[o], whose[first], (start[o] + at[first] - base[o]).astype(np.int32), (start[o] + at[last] - base[o] + 1).astype(np.int32)]
-        for i in range(0, len(o), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in cols], names=["doc", "sig", "first_doc", "start", "stop"])
+        for k in range(SUBSHARDS):
+            mine = np.flatnonzero(sub[every[2]] == k)
+            if len(mine):
+                yield from _sub_runs(*(x[mine] for x in every), scope, seg_long, seg_start, tokens, min_words, everywhere)
 
     return run
 
 
+def _sub_runs(doc, sig, seg, start, scope, seg_long, seg_start, tokens, min_words: int, everywhere: bool):
+    order = np.lexsort((start, sig, doc))
+    doc, sig, seg, start = doc[order], sig[order], seg[order], start[order]
+    long = seg_long[seg]
+    partner, echo = find_repeats({"doc": doc, "seg": seg, "long": long, "scope": scope[seg]}, tokens, seg_start, min_words)
+    owner = np.repeat(np.arange(len(doc)), long)
+    base = np.concatenate(([0], np.cumsum(long)))
+    if everywhere:
+        partner = np.where(partner < 0, echo, partner)
+    at = np.flatnonzero(partner >= 0)
+    if not len(at):
+        return
+    of, whose = owner[at], doc[owner[partner[at]]]
+    run = np.concatenate(([True], (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1) | (whose[1:] != whose[:-1]) & (not everywhere)))
+    first = np.flatnonzero(run)
+    last = np.append(first[1:], len(at)) - 1
+    o = of[first]
+    cols = [doc[o], sig[o], whose[first], (start[o] + at[first] - base[o]).astype(np.int32), (start[o] + at[last] - base[o] + 1).astype(np.int32)]
+    for i in range(0, len(o), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in cols], names=["doc", "sig", "first_doc", "start", "stop"])
+
+
 def repeated_windows(rows: DataFrame, min_words: int, anchor: int, everywhere: bool = False) -> DataFrame:
     """Runs of repeated windows of rows (doc, scope, text): doc, sig, first_doc, start, stop.
 
@@ -320,10 +344,10 @@ def repeated_windows(rows: DataFrame, min_words: int, anchor: int, everywhere: b
     ship(spark)
     parts = partitions(spark)
     rows = rows.select("doc", "scope", "text", F.xxhash64("text").alias("sig"))
-    anchors = rows.mapInArrow(_anchor_emitter(min_words, anchor, parts), "part int, blob binary").repartitionById(parts, "part").mapInArrow(_shared_anchors, "doc long, anchors binary")
+    anchors = rows.mapInArrow(lean(_anchor_emitter(min_words, anchor, parts)), "part int, blob binary").repartitionById(parts, "part").mapInArrow(lean(_shared_anchors), "doc long, anchors binary")
     alive = anchors.groupBy("doc").agg(F.collect_list("anchors").alias("anchors"))
-    segments = rows.join(alive, "doc").mapInArrow(_segment_emitter(min_words, anchor, parts), "part int, blob binary")
-    return segments.repartitionById(parts, "part").mapInArrow(shard_runs(min_words, everywhere), SPANS)
+    segments = rows.join(alive, "doc").mapInArrow(lean(_segment_emitter(min_words, anchor, parts)), "part int, blob binary")
+    return segments.repartitionById(parts, "part").mapInArrow(lean(shard_runs(min_words, everywhere)), SPANS)
 
 
 def _joined(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -352,10 +376,104 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, anchor: int = 10) ->
     those that only its own texts share are not. An empty table gives an empty
     result.
     """
-    runs = repeated_windows(_rows(docs), min_words, anchor)
+    return _passages(repeated_windows(_rows(docs), min_words, anchor), min_words)
+
+
+def _passages(runs: DataFrame, min_words: int) -> DataFrame:
     return _joined(runs, ["doc", "sig", "first_doc"]).select(F.col("doc").alias("doc_id"), "first_doc", F.col("start").alias("start_word"), (F.col("stop") - F.col("start") + (min_words - 1)).cast("int").alias("n_words")).distinct()
 
 
+def _every_anchor(min_words: int, anchor: int):
+    """(h, doc) of all anchors of each text."""
+
+    def run(batches):
+        for b in batches:
+            for i, k in chunks(b.column("text")):
+                rows = b.slice(i, k)
+                w = Windows(rows.column("text"), min_words, anchor, _scopes(rows))
+                at = w.anchors()
+                ids = rows.column("doc").to_numpy(zero_copy_only=False)[np.searchsorted(w.words.bounds, at, side="right") - 1]
+                yield pa.RecordBatch.from_arrays([pa.array(mix(w.gram[at]).view(np.int64)), pa.array(ids)], names=["h", "doc"])
+
+    return run
+
+
+def _pack_anchors(batches):
+    """(doc, anchors): the 32 bits of each that `_segments` compares, in one value."""
+    for b in batches:
+        lists = b.column(1)
+        low = (lists.flatten().to_numpy(zero_copy_only=False).view(U64) & U64(0xFFFFFFFF)).astype(np.uint32)
+        cut = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[low[x:y].tobytes()] for x, y in zip(cut, cut[1:])], pa.list_(pa.binary()))], names=["doc", "anchors"])
+
+
+class PassageFamily:
+    """Levels of texts and their anchors under `path`, to which batches of documents are added; each level is at least twice as large as the next.
+
+    A manifest names the levels that count; it is written last, so a batch that
+    was broken off leaves nothing behind that is read, and may be added again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, min_words: int = 50, anchor: int = 10) -> None:
+        self.spark, self.path, self.min_words, self.anchor = spark, path, min_words, anchor
+
+    def levels(self) -> list[tuple[str, int]]:
+        """(name, documents) of each level, the largest first."""
+        if not exists(self.spark, f"{self.path}/manifest"):
+            return []
+        rows = self.spark.read.schema("version long, levels string").parquet(f"{self.path}/manifest")
+        return [tuple(x) for x in json.loads(rows.orderBy(F.desc("version")).first()["levels"])]
+
+    def _read(self, name: str, table: str) -> DataFrame:
+        return self.spark.read.schema({"texts": "doc long, scope long, text string, sig long", "anchors": "h long, doc long"}[table]).parquet(f"{self.path}/{name}/{table}")
+
+    def _write(self, texts: DataFrame, anchors: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        texts.write.parquet(f"{self.path}/{name}/texts")
+        anchors.write.parquet(f"{self.path}/{name}/anchors")
+        return name
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """The passages of these documents that they or documents added before have too, as `repeated_passages` gives them.
+
+        Ids must rise from batch to batch; then all batches together give what
+        one run over all documents gives. Rows without an id take part in
+        nothing. An empty batch gives an empty result.
+        """
+        ship(self.spark)
+        levels, parts = self.levels(), partitions(self.spark)
+        rows = _rows(docs).where("doc is not null").select("doc", "scope", "text", F.xxhash64("text").alias("sig")).distinct()
+        found = rows.mapInArrow(lean(_every_anchor(self.min_words, self.anchor)), "h long, doc long").distinct()
+        new = self._write(rows, found)
+        mine, own = self._read(new, "anchors"), self._read(new, "texts")
+        every = mine
+        for name, _ in levels:  # the new anchors against each level
+            every = every.union(self._read(name, "anchors").join(mine.select("h").distinct(), "h", "left_semi"))
+        alive = every.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("h")
+        per = every.join(alive, "h", "left_semi").groupBy("doc").agg(F.collect_set("h").alias("h")).mapInArrow(_pack_anchors, "doc long, anchors array<binary>")
+        texts = own
+        for name, _ in levels:
+            texts = texts.union(self._read(name, "texts"))
+        segments = texts.join(per, "doc").mapInArrow(lean(_segment_emitter(self.min_words, self.anchor, parts)), "part int, blob binary")
+        runs = segments.repartitionById(parts, "part").mapInArrow(lean(shard_runs(self.min_words, False)), SPANS).join(own.select("doc", "sig").distinct(), ["doc", "sig"], "left_semi")
+        _passages(runs, self.min_words).write.parquet(f"{self.path}/{new}/passages")
+        self._settle([*levels, (new, own.count())])
+        return self.spark.read.schema("doc_id long, first_doc long, start_word int, n_words int").parquet(f"{self.path}/{new}/passages")
+
+    def _settle(self, levels: list[tuple[str, int]]) -> None:
+        """Merges levels of like size and makes what is left count."""
+        gone = []
+        while len(levels) > 1 and levels[-2][1] < 2 * levels[-1][1]:
+            (b, m), (a, n) = levels.pop(), levels.pop()
+            levels.append((self._write(*(self._read(a, t).union(self._read(b, t)) for t in ("texts", "anchors"))), n + m))
+            gone += [a, b]
+        version = self.spark.read.schema("version long, levels string").parquet(f"{self.path}/manifest").agg(F.max("version")).first()[0] + 1 if exists(self.spark, f"{self.path}/manifest") else 0
+        self.spark.createDataFrame([(version, json.dumps(levels))], "version long, levels string").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        for name in gone:
+            for table in ("texts", "anchors"):
+                delete(self.spark, f"{self.path}/{name}/{table}")
+
+
 def cut_words(column: pa.Array, spans: list) -> list[str]:
     """The texts without the given spans of words; a span ends where the next word starts."""
     w = Words(column)

@@ -208,9 +208,37 @@ def test_levels_stay_geometric():
     for i in range(40):
         names = np.sort(rng.integers(0, 2**63, 10).astype(np.uint64))
         family.add(suffix_dedup.Level(names, np.arange(10) + 10 * i))
-        sizes = [len(x.names) for x in family.levels]
+        sizes = [len(x.keys) for x in family.levels]
         assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
-    assert sum(len(x.names) for x in family.levels) == 400
+    assert sum(len(x.keys) for x in family.levels) == 400
+
+
+def test_suffixes_are_in_the_order_of_their_words():
+    rng = np.random.default_rng(1)
+    tokens = rng.integers(0, 3, 500).astype(np.uint32) * np.uint32(0x01000100)
+    starts = np.arange(490)
+    level = suffix_dedup.Level.build(suffix_dedup.suffix_words(tokens, starts, 10, np.zeros(490, dtype=np.uint64)), starts)
+    rows = [tuple(tokens[i : i + 10].tolist()) for i in starts]
+    assert level.windows.tolist() == sorted(starts.tolist(), key=lambda i: (rows[i], i))
+    lcp = [next((k for k in range(10) if rows[a][k] != rows[b][k]), 10) for a, b in zip(level.windows, level.windows[1:])]
+    assert (level.lcp()[1:] - 2).tolist() == lcp
+    low, high = (suffix_dedup.Level.build(suffix_dedup.suffix_words(tokens, x, 10, np.zeros(len(x), dtype=np.uint64)), x) for x in (starts[:200], starts[200:]))
+    assert [rows[i] for i in low.merge(high).windows] == sorted(rows)
+    first = {r: i for i, r in reversed(list(enumerate(rows[:200])))}
+    assert low.scan(high.keys).tolist() == [first.get(rows[i], -1) for i in high.windows]
+
+
+def test_batches_give_what_one_run_gives(spark, tmp_path):
+    rows = [r for r in _corpus(6) if r[0] != 6]
+    family = suffix_dedup.PassageFamily(spark, f"file://{tmp_path}/family", 12, 4)
+    assert family.add(_docs(spark, [])).count() == 0
+    got, sizes = [], []
+    for lo, hi in ((0, 40), (40, 41), (41, 60), (60, 100), (100, 200)):
+        got += [tuple(r) for r in family.add(_docs(spark, [r for r in rows if r[0] is None or lo <= r[0] < hi])).collect()]
+        sizes = [n for _, n in family.levels()]
+        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+    assert sum(sizes) == len({r for r in rows if r[0] is not None})
+    assert sorted(got) == sorted(tuple(r) for r in suffix_dedup.repeated_passages(_docs(spark, rows), 12, 4).collect())
 
 
 def test_cut_leaves_the_first(spark):
@@ -354,6 +382,30 @@ def test_groups_are_those_of_brute_force(spark, shard_rows):
     assert by[705]["nearest_id"] == 700 and by[700]["nearest_id"] == 701 and by[700]["cosine"] == 1.0
 
 
+def test_groups_of_the_whole_table_are_those_of_brute_force(spark, data):
+    """At a threshold that the random vectors of this table reach; at that of the query they have no pair."""
+    df = spark.read.parquet(f"{data}/sf0.01/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").collect()
+    ids, x = [r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows], dtype=np.float64)
+    order = np.argsort(ids)
+    for t in (0.4, 0.9):
+        want = _slow_groups([ids[i] for i in order], x[order], t)
+        found = {r["vec_id"]: r["group_id"] for r in hnsw_dedup.near_duplicates(df, t, shard_rows=200).collect()}
+        assert set(found) <= set(want) and sum(found.get(k) == v for k, v in want.items()) >= 0.95 * len(want)
+        assert want or t == 0.9
+
+
+def test_the_audit_sees_small_groups(spark):
+    truth = spark.createDataFrame([(1, b) for b in range(100, 200)] + [(2, 3), (4, 5)], "a long, b long")
+    found = spark.createDataFrame([(1, 100), (5, 9)], "a long, b long")
+    groups = spark.createDataFrame([(1, 1)] + [(b, 1) for b in range(100, 200)] + [(5, 5), (9, 5)], "node long, comp long")
+    assert abs(hnsw_dedup.audit_recall(truth, found, groups) - 1 / 3) < 1e-9 and hnsw_dedup.audit_recall(truth.where("false"), found, groups) == 1.0
+    x = _vectors(2, n=900)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    got = hnsw_dedup._truth(df, 0.95, 8, 40, 512, Scratch(spark))
+    assert got.select("a").distinct().count() >= 40
+
+
 def test_beams_find_the_nearest():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((3000, 24)).astype(np.float32)
@@ -369,6 +421,9 @@ def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (None, [1.0, 0.0]), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (9, [0.0, 1.0]), (1, [1.0, 0.0]), (10, [2.0, 0.01])]
     schema = "vec_id long, embedding array<float>"
+    long = [float(i % 7) for i in range(20_000)]
+    wide = spark.createDataFrame([(1, long), (2, long), (3, long[1:] + [9.0])], schema)
+    assert [r["vec_id"] for r in hnsw_dedup.near_duplicates(wide, 0.99).orderBy("vec_id").collect()] == [1, 2]
     got = [tuple(r) for r in hnsw_dedup.near_duplicates(spark.createDataFrame(rows, schema)).orderBy("vec_id").collect()]
     assert [g[:3] for g in got] == [(1, 1, 2), (2, 1, 1), (10, 1, 1)]
     assert hnsw_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0

@@ -3,6 +3,7 @@
 import random
 import re
 import unicodedata
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -205,6 +206,44 @@ def test_language_on_held_out_rows(spark, data):
     assert sum(r["language"] == r["lang"] for r in got) >= 0.97 * len(got)
 
 
+def _byte_grams(text):
+    text = re.sub(rb"[^a-z0-9\x80-\xff]+", b" ", b" " + re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()) + b" ")
+    return [text[i : i + 4] for i in range(len(text) - 3)]
+
+
+def test_language_is_that_of_brute_force(spark, data):
+    """Exact sets of n-grams in place of the filters, over the whole table."""
+    docs = spark.read.parquet(f"{data}/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "lang", "text").collect()
+    counts = {}
+    for r in rows:
+        if r["lang"] and r["text"] is not None:
+            counts.setdefault(r["lang"], Counter()).update(_byte_grams(r["text"]))
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    top = Counter()
+    for lang, c in counts.items():
+        for g, n in c.items():
+            top[g] = max(top[g], n / total[lang])
+    number = lambda g: int.from_bytes(g, "little")
+    sets = {lang: set(sorted((g for g, n in c.items() if n / total[lang] >= 0.3 * top[g]), key=lambda g: (-c[g], number(g)))[:30_000]) for lang, c in counts.items()}
+    got = {r["doc_id"]: r for r in langid.identify(docs, langid.train(docs)).collect()}
+    same = 0
+    for r in rows:
+        grams = _byte_grams(r["text"] or "")
+        share = {lang: sum(g in s for g in grams) / max(len(grams), 1) for lang, s in sorted(sets.items())}
+        best = max(share, key=lambda x: share[x])
+        found = got[r["doc_id"]]
+        assert found["n_grams"] == len(grams) and abs(found["share"] - share[best]) < 0.03 + 1 / max(len(grams), 1)
+        same += found["language"] == (best if share[best] >= 0.1 else "und")
+    assert same >= 0.995 * len(rows)
+
+
+def test_repeated_ids_count_once_in_the_sample(spark):
+    docs = spark.createDataFrame([(1, "en", "the house")] * 50 + [(2, "en", "a garden"), (3, "de", "das haus")], "doc_id long, lang string, text string")
+    one, two = langid.train(docs, rows_per_language=2), langid.train(docs.distinct(), rows_per_language=2)
+    assert one.languages == two.languages and (one.slots == two.slots).all()
+
+
 def test_filters_hold_what_they_were_given():
     rng = np.random.default_rng(1)
     members = [rng.integers(0, 2**32, 5000) for _ in range(10)]
