@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._text import _BYTE, U64, buffers, chunks, mix, ranges, span_hash
+from quillon.llm._text import _BYTE, U64, buffers, chunks, lean, mix, ranges, span_hash
 from quillon.session import ship
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -325,14 +325,14 @@ def decode_tokens(auto: Automaton, tokens: np.ndarray, offsets: np.ndarray) -> t
     return auto.labels[ranges(auto.label_at[:-1][tokens], size)], total[offsets]
 
 
-def _encoder(shared, names: list[str], types: pa.Schema | None, text: int):
+def _encoder(shared):
     def run(batches):
         auto = shared.value
         encoder = Encoder(auto)
         for b in batches:
-            for i, k in chunks(b.column(text)):
+            for i, k in chunks(b.column(1)):
                 rows = b.slice(i, k)
-                column = rows.column(text)
+                column = rows.column(1)
                 tokens, offsets = encoder.encode(column)
                 raw, back = decode_tokens(auto, tokens, offsets)
                 old, old_at = buffers(column)
@@ -343,8 +343,7 @@ def _encoder(shared, names: list[str], types: pa.Schema | None, text: int):
                 else:
                     same &= [raw[back[j] : back[j + 1]].tobytes() == old[old_at[j] : old_at[j + 1]].tobytes() for j in range(k)]
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens.astype(np.int32)))
-                cols = [rows.column(j) for j in range(rows.num_columns)] + [lists, pa.array(np.diff(offsets).astype(np.int32)), pa.array(same)]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                yield pa.RecordBatch.from_arrays([rows.column(0), lists, pa.array(np.diff(offsets).astype(np.int32)), pa.array(same)], names=["doc_id", "tokens", "n_tokens", "exact"])
 
     return run
 
@@ -363,8 +362,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     ship(spark)
     shared = spark.sparkContext.broadcast(compile_merges(tokenizer))
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    names = ["doc_id", "text", "tokens", "n_tokens", "exact"]
-    return rows.mapInArrow(_encoder(shared, names, None, 1), "doc_id long, text string, tokens array<int>, n_tokens int, exact boolean").drop("text")
+    return rows.mapInArrow(lean(_encoder(shared)), "doc_id long, tokens array<int>, n_tokens int, exact boolean")
 
 
 def _decoder(shared):
