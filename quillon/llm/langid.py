@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm._text import _LOWER, _WORD, buffers, chunks
+from quillon.llm._text import _LOWER, _WORD, buffers, chunks, lean
 from quillon.session import ship
 
 SLOTS = 1 << 20
@@ -114,7 +114,8 @@ def train(docs: DataFrame, rows_per_language: int = 1000, most: int = 30_000, ra
     """Filters of the languages that docs (doc_id, lang, text) name; at most 64.
 
     Fitted on at most `rows_per_language` labelled rows of each language,
-    those with the least hash of their ids. A filter takes the `most` most
+    those with the least hash of their ids; of rows that repeat an id the least
+    text counts. A filter takes the `most` most
     frequent n-grams that reach `ratio` of the frequency they have in any
     language; ties go by the n-gram's value. Rows without id, lang or text
     are not used; without any row there is no language.
@@ -123,14 +124,14 @@ def train(docs: DataFrame, rows_per_language: int = 1000, most: int = 30_000, ra
     ship(spark)
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(lang as string) lang", "cast(text as string) text").where("doc_id is not null and lang is not null and text is not null")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows_per_language).select("doc_id", "lang")
+    chosen = rows.select("doc_id", "lang").distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows_per_language).select("doc_id", "lang")
     languages = sorted(r["lang"] for r in chosen.select("lang").distinct().collect())
     if len(languages) > 64:
         raise ValueError(f"{len(languages)} languages; a slot has 64 bits")
     if not languages:
         return Filters.build([], [])
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("text", "lang")  # chosen: rows_per_language * 64 rows at most
-    counts = sample.mapInArrow(_counter(languages), "l int, gram long, n long").groupBy("l", "gram").agg(F.sum("n").alias("n"))
+    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("text", "lang")  # chosen: rows_per_language * 64 rows at most
+    counts = sample.mapInArrow(lean(_counter(languages)), "l int, gram long, n long").groupBy("l", "gram").agg(F.sum("n").alias("n"))
     share = counts.withColumn("f", F.col("n") / F.sum("n").over(Window.partitionBy("l")))
     own = share.withColumn("top", F.max("f").over(Window.partitionBy("gram"))).where(F.col("f") >= F.col("top") * ratio)
     kept = own.withColumn("rank", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= most)
@@ -170,4 +171,4 @@ def identify(docs: DataFrame, filters: Filters, least: float = 0.1) -> DataFrame
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(filters)
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_decider(shared, least), "doc_id long, language string, share double, n_grams long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(lean(_decider(shared, least)), "doc_id long, language string, share double, n_grams long")
