@@ -45,3 +45,22 @@ def hsl_colour(hue: Column, s: float = 0.75, light: float = 0.55) -> Column:
 
 def cluster_colour(cluster: Column, roots: Column) -> Column:
     return hsl_colour(cluster / F.greatest(roots, F.lit(1)) * 360.0)
+
+
+def hex_colour(r: Column, g: Column, b: Column) -> Column:
+    """#rrggbb of channels from 0 to 1, rounded to even."""
+    return F.concat(F.lit("#"), *[F.lower(F.lpad(F.hex(F.rint(v * 255.0).cast("long")), 2, "0")) for v in (r, g, b)])
+
+
+def palette_colour(hue: Column, s: float = 0.75, light: float = 0.55) -> Column:
+    """The colour of a hue from 0 to 1."""
+    high = light + s - light * s if light > 0.5 else light * (1 + s)
+    low = 2 * light - high
+
+    def channel(h: Column) -> Column:
+        h = h - F.floor(h)
+        rising = F.lit(low) + (high - low) * h * 6.0
+        falling = F.lit(low) + (high - low) * (F.lit(2 / 3) - h) * 6.0
+        return F.when(h < 1 / 6, rising).when(h < 0.5, F.lit(high)).when(h < 2 / 3, falling).otherwise(F.lit(low))
+
+    return hex_colour(channel(hue + 1 / 3), channel(hue), channel(hue - 1 / 3))

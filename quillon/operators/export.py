@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.scores import GREY, cluster_colour, label
+from quillon.functions.scores import GREY, cluster_colour, hex_colour, label, palette_colour
 from quillon.operators.clustering import deepest
 
 
@@ -56,6 +56,31 @@ def node_style(nodes: DataFrame, hits: DataFrame, highlighted: list[int], member
     return rows.select("id", kind.alias("kind"), size.alias("size"), (F.col("significance") / 9.0 * 6.0 + 2.0).alias("ui_size"))
 
 
+def palette(members: DataFrame) -> DataFrame:
+    """(cluster_id, colour): hues spread evenly over the clusters in the order of their ids."""
+    ids = members.where("cluster_id is not null").select("cluster_id").distinct()
+    order = ids.withColumn("i", F.row_number().over(Window.orderBy("cluster_id")) - 1).withColumn("many", F.count("*").over(Window.partitionBy()))  # a row per cluster
+    return order.select("cluster_id", palette_colour(F.col("i") / F.col("many")).alias("colour"))
+
+
+def hit_colours(hits: DataFrame) -> DataFrame:
+    """(id, colour) of hits (rank, id): from orange for the first to dark red; by rank, from 1 on."""
+    many = hits.agg(F.count("*").alias("many"))  # one row
+    rows = hits.crossJoin(F.broadcast(many)).withColumn("intensity", 1.0 - (F.col("rank") - 1) / F.col("many") * 0.5)
+    return rows.select("id", hex_colour(F.lit(1.0), F.col("intensity") * 0.8, F.lit(0.0)).alias("colour"))
+
+
+def tooltips(nodes: DataFrame, members: DataFrame, hits: DataFrame) -> DataFrame:
+    """(id, title, display_label) of nodes with a life score; hits: (id, score). A cluster 0 reads None, as no cluster does."""
+    rows = nodes.join(members.select(F.col("node_id").alias("id"), "cluster_id"), "id", "left").join(hits.select("id", F.col("score").alias("hit_score")), "id", "left")
+    preview = F.substring(F.coalesce("content", label(F.col("content"), F.col("id"))), 1, 100)
+    cluster = F.when(F.coalesce("cluster_id", F.lit(0)) == 0, F.lit("None")).otherwise(F.col("cluster_id").cast("string"))
+    found = F.when(F.col("hit_score").isNotNull(), F.format_string("\U0001f3af Search Score: %.3f\n", "hit_score")).otherwise("")
+    title = F.concat(F.format_string("Node %d\n", "id"), found, F.lit("Cluster: "), cluster, F.format_string("\nSignificance: %d/9\nLife Score: %.2f\n---\n", "significance", "life"), preview, F.lit("..."))
+    shown = F.concat(F.when(F.col("hit_score").isNotNull(), F.lit("\u2b50 ")).otherwise(""), F.col("id").cast("string"), F.lit(": "), F.substring(preview, 1, 30), F.lit("..."))
+    return rows.select("id", title.alias("title"), shown.alias("display_label"))
+
+
 def edge_style(edges: DataFrame, nodes: DataFrame, hits: DataFrame, least: int = 0) -> DataFrame:
     """(source, target, colour): both ends are kept nodes; gold where one is a hit."""
     kept = nodes.where(F.col("significance") >= least).select("id")

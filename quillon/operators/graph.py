@@ -13,45 +13,89 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.vectors import cosine_to
-from quillon.session import ship
+from quillon.session import Scratch, ship
 
 BLOCK = 2048
 RANKS = 8
+PACKED = "block int, n int, ids binary, vectors binary"
 
 
 def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows padded with 0, which gives the product over the shorter and the norms of the full vectors; NaN is an error."""
     rows = column.to_pylist()
     width = max((len(r) for r in rows), default=0)
     out = np.zeros((len(rows), width))
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
+    if np.isnan(out).any():
+        raise ValueError("NaN in an embedding")
     return out
 
 
 def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Rows are padded with 0, which gives the product over the shorter and the norms of the full vectors."""
     width = max(x.shape[1], y.shape[1])
     x, y = (np.pad(v, ((0, 0), (0, width - v.shape[1]))) for v in (x, y))
     n = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]
     return np.where(n == 0, 0.0, x @ y.T / np.where(n == 0, 1, n))
 
 
-def _block_top(k: int, threshold: float):
+def _pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    table = table.sort_by("id")
+    ids = table.column("id").to_numpy()
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "vectors": pa.array([_vectors(table.column("embedding")).astype("<f8").tobytes()], pa.binary())})
+
+
+def _unpack(table: pa.Table, i: int) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(table.column("ids")[i].as_buffer(), dtype="<i8")
+    return ids, np.frombuffer(table.column("vectors")[i].as_buffer(), dtype="<f8").reshape(len(ids), -1)
+
+
+def _blocks(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(blocks of about BLOCK nodes, packed in a row each; how many), numbered by a hash, so that any ids will do."""
+    many = max(1, -(-nodes.count() // BLOCK))
+    numbered = nodes.select("id", "embedding").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(many)).cast("int"))
+    return scratch.save(numbered.groupBy("block").applyInArrow(_pack, PACKED)), many
+
+
+def _block_pairs(nodes: DataFrame, scratch: Scratch, of: DataFrame | None = None) -> DataFrame:
+    """(i, j, side, ids, vectors): two packed blocks for each pair, one where they are the same; with `of` its blocks with all of nodes."""
+    every, many = _blocks(nodes, scratch)
+    spread = lambda df, n: df.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    if of is None:
+        return spread(every, many).select(F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), F.col("block").alias("side"), "ids", "vectors")
+    own, few = _blocks(of, scratch)
+    left = spread(own, many).select(F.col("block").alias("i"), F.col("o").alias("j"), F.lit(-1).alias("side"), "ids", "vectors")
+    return left.union(spread(every, few).select(F.col("o").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), "ids", "vectors"))
+
+
+def _sides(key: tuple[pa.Scalar, ...], table: pa.Table):
+    """The (ids, vectors) of both blocks of a pair, and whether they are the same."""
+    table = table.sort_by("side")
+    if table.num_rows == 1:
+        return _unpack(table, 0), _unpack(table, 0), True
+    return _unpack(table, 0), _unpack(table, 1), False
+
+
+def _best_before(a: np.ndarray, b: np.ndarray, sim: np.ndarray, k: int) -> dict[str, np.ndarray]:
+    """For each of a the k most similar of b that aren't behind it; b is ascending, so that ties go to lower ids."""
+    sim = np.where(b[None, :] <= a[:, None], sim, -np.inf)
+    order = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+    best = np.take_along_axis(sim, order, axis=1)
+    r, c = np.nonzero(best > -np.inf)
+    return {"a": a[r], "b": b[order[r, c]], "sim": best[r, c]}
+
+
+def _block_top(k: int, both: bool):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        i, j = key[0].as_py(), key[1].as_py()
-        block, ids = table.column("block").to_numpy(), table.column("id").to_numpy()
-        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        x, y = x[np.argsort(ids[x])], y[np.argsort(ids[y])]
-        out = {"a": [], "b": [], "sim": []}
-        if len(x) and len(y):
-            v = _vectors(table.column("embedding"))
-            sim = _cosines(v[x], v[y])
-            sim = np.where(ids[y][None, :] <= ids[x][:, None], sim, -np.inf)
-            order = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-            best = np.take_along_axis(sim, order, axis=1)
-            r, c = np.nonzero(best > -np.inf)
-            out = {"a": ids[x[r]], "b": ids[y[order[r, c]]], "sim": best[r, c]}
-        return pa.table({"a": pa.array(out["a"], pa.int64()), "b": pa.array(out["b"], pa.int64()), "sim": pa.array(out["sim"], pa.float64())})
+        out = []
+        if both or table.num_rows == 2:
+            (a, x), (b, y), same = _sides(key, table)
+            sim = _cosines(x, y)
+            out.append(_best_before(a, b, sim, k))
+            if both and not same:
+                out.append(_best_before(b, a, sim.T, k))
+        cols = {c: np.concatenate([*(o[c] for o in out), np.zeros(0, dtype=t)]) for c, t in (("a", np.int64), ("b", np.int64), ("sim", np.float64))}
+        return pa.table({"a": pa.array(cols["a"].astype(np.int64)), "b": pa.array(cols["b"].astype(np.int64)), "sim": pa.array(cols["sim"].astype(np.float64))})
 
     return run
 
@@ -60,17 +104,15 @@ def auto_link(nodes: DataFrame, threshold: float = 0.6, k: int = 5, since: int |
     """(src, dst, sim, rank): for each node the nearest of those before it, itself counted among the first k + 1 and then left out.
 
     Exact: nodes are compared in blocks, and each block pair sends on k + 1
-    rows a node. With `since`, only nodes with that id or a later one get links.
+    rows a node. With `since`, only nodes with that id or a later one get
+    links, and only their blocks are compared with all. Ids may be any longs.
+    NaN in an embedding is an error.
     """
     ship(nodes.sparkSession)
-    blocks = nodes.select("id", "embedding").withColumn("block", F.floor(F.col("id") / BLOCK).cast("int"))
-    there = blocks.agg(F.collect_set("block").alias("all"))
-    spread = blocks.crossJoin(F.broadcast(there)).withColumn("o", F.explode("all")).select(F.greatest("block", "o").alias("i"), F.least("block", "o").alias("j"), "block", "id", "embedding")
-    if since is not None:
-        spread = spread.where(F.col("i") >= since // BLOCK)
-    found = spread.groupBy("i", "j").applyInArrow(_block_top(k + 1, threshold), "a long, b long, sim double")
-    if since is not None:
-        found = found.where(F.col("a") >= since)
+    scratch = Scratch(nodes.sparkSession)
+    nodes = nodes.select("id", "embedding")
+    pairs = _block_pairs(nodes, scratch, None if since is None else nodes.where(F.col("id") >= since))
+    found = pairs.groupBy("i", "j").applyInArrow(_block_top(k + 1, since is None), "a long, b long, sim double")
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
     return found.withColumn("rank", rank).where((F.col("rank") <= k + 1) & (F.col("a") != F.col("b")) & (F.col("sim") >= threshold)).select(F.col("a").alias("src"), F.col("b").alias("dst"), "sim", "rank")
 
@@ -123,21 +165,16 @@ def knn(nodes: DataFrame, query: list[float], k: int) -> DataFrame:
 
 
 def similar_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, sim) of all pairs a < b that reach the threshold."""
+    """(a, b, sim) of all pairs a < b that reach the threshold. Ids may be any longs; NaN in an embedding is an error."""
     ship(nodes.sparkSession)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        i, j = key[0].as_py(), key[1].as_py()
-        block, ids, v = table.column("block").to_numpy(), table.column("id").to_numpy(), _vectors(table.column("embedding"))
-        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        sim = _cosines(v[x], v[y])
-        r, c = np.nonzero((sim >= threshold) & (ids[y][None, :] < ids[x][:, None]))
-        return pa.table({"a": pa.array(ids[y[c]], pa.int64()), "b": pa.array(ids[x[r]], pa.int64()), "sim": pa.array(sim[r, c], pa.float64())})
-
-    blocks = nodes.select("id", "embedding").withColumn("block", F.floor(F.col("id") / BLOCK).cast("int"))
-    there = blocks.agg(F.collect_set("block").alias("all"))
-    spread = blocks.crossJoin(F.broadcast(there)).withColumn("o", F.explode("all")).select(F.greatest("block", "o").alias("i"), F.least("block", "o").alias("j"), "block", "id", "embedding")
-    return spread.groupBy("i", "j").applyInArrow(run, "a long, b long, sim double")
+        (a, x), (b, y), same = _sides(key, table)
+        sim = _cosines(x, y)
+        r, c = np.nonzero((sim >= threshold) & ((b[None, :] < a[:, None]) if same else (b[None, :] != a[:, None])))
+        return pa.table({"a": pa.array(np.minimum(a[r], b[c])), "b": pa.array(np.maximum(a[r], b[c])), "sim": pa.array(sim[r, c])})
+
+    return _block_pairs(nodes, Scratch(nodes.sparkSession)).groupBy("i", "j").applyInArrow(run, "a long, b long, sim double")
 
 
 def heap_layout(nodes: DataFrame, run: int = 65536) -> DataFrame:

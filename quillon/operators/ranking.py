@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions.scores import bio_score, life_score
 from quillon.functions.vectors import cosine, cosine_to
 from quillon.operators.graph import expand, knn
+from quillon.session import Scratch
 
 
 @dataclass(frozen=True)
@@ -44,7 +45,7 @@ def coherence(of: DataFrame, adj: DataFrame, nodes: DataFrame, query: list[float
 def graph_scores(of: DataFrame, seeds: DataFrame, adj: DataFrame, nodes: DataFrame, query: list[float]) -> DataFrame:
     """(id, graph) of the ids in `of` that have a link."""
     marks = seeds.select(F.col("id").alias("nb"), F.lit(1).alias("hit"))
-    many = seeds.agg(F.greatest(F.count("*"), F.lit(1)).alias("many"))
+    many = seeds.agg(F.greatest(F.count("*"), F.lit(1)).alias("many"))  # one row
     counted = adj.join(of.select("id"), "id", "left_semi").join(marks, "nb", "left").groupBy("id").agg(F.count("*").alias("deg"), F.count("hit").alias("hits"))
     both = counted.join(coherence(of, adj, nodes, query), "id").crossJoin(F.broadcast(many))
     return both.select("id", F.least(F.least(F.col("deg") / 10.0, F.lit(1.0)) * 0.3 + F.col("hits") / F.col("many") * 0.4 + F.col("coherence") * 0.3, F.lit(1.0)).alias("graph"))
@@ -67,19 +68,31 @@ def cluster_scores(clusters: DataFrame, members: DataFrame, query: list[float])
     return root_similarity(clusters, query).join(members, "cluster_id").groupBy(F.col("node_id").alias("id")).agg(F.max(score).alias("cluster_score"))
 
 
+SMALL_POOL = 1_000_000
+
+
 def hybrid_scores(nodes: DataFrame, adj: DataFrame, query: list[float], k: int, as_of: int, clusters: DataFrame | None = None, members: DataFrame | None = None, weights: Weights = Weights()) -> DataFrame:
     """(id, score) of the pool: candidates and what two links reach from them.
 
     Candidates come from the clusters if there are any, and never from the
-    nearest neighbours then, even if no cluster is near enough.
+    nearest neighbours then, even if no cluster is near enough. They are 3 * k
+    at most and go through the driver; the pool is written once, and broadcast
+    if it has SMALL_POOL ids at most.
     """
-    candidates = knn(nodes, query, 3 * k).select("id") if clusters is None else cluster_candidates(clusters, members, query, 3 * k)
-    pool = expand(candidates, adj, 2)
-    rows = with_bio(nodes.join(pool, "id", "left_semi"), as_of).withColumn("semantic", cosine_to(query, F.col("embedding"))).select("id", "semantic", "bio")
-    rows = rows.join(graph_scores(pool, candidates, adj, nodes, query), "id", "left")
-    rows = rows.join(cluster_scores(clusters, members, query), "id", "left") if clusters is not None else rows.withColumn("cluster_score", F.lit(0.0))
+    spark = nodes.sparkSession
+    scratch = Scratch(spark)
+    chosen = knn(nodes, query, 3 * k).select("id") if clusters is None else cluster_candidates(clusters, members, query, 3 * k)
+    candidates = spark.createDataFrame([(r["id"],) for r in chosen.collect()], "id long")
+    pool = scratch.save(expand(F.broadcast(candidates), adj, 2).coalesce(8))
+    some = F.broadcast(pool) if pool.count() <= SMALL_POOL else pool
+    rows = scratch.save(nodes.select("id", "embedding", "significance", "access_count", "last_access_ts").join(some, "id", "left_semi"))
+    near = scratch.save(adj.join(some, "id", "left_semi"))
+    vectors = nodes.select("id", "embedding").join(near.select(F.col("nb").alias("id")).union(pool).distinct(), "id", "left_semi")
+    graph = graph_scores(pool, candidates, near, vectors, query)
+    scored = with_bio(rows, as_of).withColumn("semantic", cosine_to(query, F.col("embedding"))).select("id", "semantic", "bio").join(graph, "id", "left")
+    scored = scored.join(cluster_scores(clusters, members.join(some.withColumnRenamed("id", "node_id"), "node_id", "left_semi"), query), "id", "left") if clusters is not None else scored.withColumn("cluster_score", F.lit(0.0))
     part = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return rows.select("id", (F.col("semantic") * weights.semantic + part("graph") * weights.graph + F.col("bio") * weights.bio + part("cluster_score") * weights.cluster).alias("score"))
+    return scored.select("id", (F.col("semantic") * weights.semantic + part("graph") * weights.graph + F.col("bio") * weights.bio + part("cluster_score") * weights.cluster).alias("score"))
 
 
 def hybrid_search(nodes: DataFrame, adj: DataFrame, query: list[float], k: int, as_of: int, clusters: DataFrame | None = None, members: DataFrame | None = None, weights: Weights = Weights()) -> DataFrame:

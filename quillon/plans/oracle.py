@@ -51,6 +51,16 @@ _COLOUR = """(select '#' || printf('%02X', cast(floor((r + m) * 255) as int)) ||
     select (1 - abs(2 * 0.55::double - 1)) * 0.75::double as c, 0.55::double - (1 - abs(2 * 0.55::double - 1)) * 0.75::double / 2 as m, cast(floor(hue) as int) // 60 as k, (1 - abs(2::double - 1.1)) * 0.0 as unused, (1 - abs(2 * 0.55::double - 1)) * 0.75::double * (1 - abs(hue / 60.0::double - 2 * floor(hue / 120.0::double) - 1)) as x)))"""
 
 
+def _channel(shift: str) -> str:
+    h = f"(hue + {shift} - floor(hue + {shift}))"
+    high, low = "(0.55::double + 0.75::double - 0.55::double * 0.75::double)", "(2 * 0.55::double - (0.55::double + 0.75::double - 0.55::double * 0.75::double))"
+    x = f"case when {h} < 1 / 6.0::double then {low} + ({high} - {low}) * {h} * 6 when {h} < 0.5 then {high} when {h} < 2 / 3.0::double then {low} + ({high} - {low}) * (2 / 3.0::double - {h}) * 6 else {low} end"
+    return f"cast(round_even(({x}) * 255, 0) as int)"
+
+
+_PALETTE = f"printf('#%02x%02x%02x', {_channel('1 / 3.0::double')}, {_channel('0')}, {_channel('-1 / 3.0::double')})"
+
+
 def _sql(ctes: str, select: str) -> str:
     return "with " + ",\n".join(_CTES[c] for c in ctes.split()) + "\n" + select
 
@@ -82,7 +92,7 @@ ORACLE_SQL: dict[str, str] = {
     "bio_score": _sql("nodes life bio", "select id, round(bio, 6) as bio from bio"),
     "graph_score": _sql("nodes links adj q0 top30 coherence graph", "select n.id, round(coalesce(g.graph, 0), 6) as graph from nodes n left join graph g on g.id = n.id"),
     "coherence": _sql("nodes links adj q0 coherence", "select id, round(coherence, 6) as coherence from coherence"),
-    "access_update": _sql("nodes", f"select id, access_count + case id when 1 then 1 when 2 then 2 when 5 then 1 else 0 end as access_count, case id when 1 then {AS_OF} when 2 then {AS_OF + 5} when 5 then {AS_OF - 9} else last_access_ts end as last_access_ts from nodes where id < 8"),
+    "access_update": _sql("nodes", "select n.id, n.access_count + coalesce(e.n, 0) as access_count, coalesce(e.t, n.last_access_ts) as last_access_ts from nodes n left join (select user_id as id, count(*) as n, cast(floor(epoch(max(ts))) as bigint) + 3600 as t from events group by user_id) e using (id)"),
     "hybrid_search_index": _HYBRID_INDEX,
     "hybrid_search_clustered": _sql(f"{_CLUSTERS} links adj q3 rootsim life bio ccand coherence graph pool cscore", _HYBRID % _HYBRID_PARTS),
     "hybrid_search_no_match": _sql(f"{_CLUSTERS} links adj q0 rootsim life bio ccand coherence graph pool cscore", _HYBRID % _HYBRID_PARTS),
@@ -113,8 +123,16 @@ from (select *, id in (select id from nodes, q order by {_cos("q.q", "v")} desc,
 select distinct least(src, dst) as source, greatest(src, dst) as target, case when src in (from hits) or dst in (from hits) then 'gold' else 'grey' end as colour from links where src in (from kept) and dst in (from kept)""".lstrip()),
     "rag_context": f"select string_agg(content, chr(10) order by rank) as context from ({_HYBRID_INDEX}) h join (select e.vec_id as id, coalesce(d.text, 'Node ' || e.vec_id) as content from embeddings e left join documents d on d.doc_id = e.vec_id) n using (id) where rank <= 5",
     "snapshot_event": _sql(f"{_CLUSTERS} links legend", f"""select 'graph_snapshot' as type, 0::bigint as first_node, (select {_COLOUR} from legend where cluster_id = (select significance from nodes where id = 0)) as first_colour, (select count(*) from nodes where significance = 3) as size_of_3, (select count(*) from (select distinct least(src, dst), greatest(src, dst) from links)) as n_edges"""),
-    "snapshot_roundtrip": _sql("nodes", "select id, content, significance, access_count, last_access_ts from nodes"),
+    "snapshot_roundtrip": _sql("nodes links adj", "select id, content, significance, access_count, last_access_ts, null::bigint as src, null::bigint as dst from nodes union all select seq, null, null, null, null, src, dst from edges"),
     "stream_ingest": _sql("nodes links", "select src, dst, round(sim, 6) as sim, rank from links"),
-    "delta_events": "select 'node_added' as type, '{\"id\":' || vec_id || ',\"significance\":' || label || '}' as data from embeddings where vec_id >= 490",
+    "delta_events": _sql("nodes links", """, many as (select max(id) + 1 as n, max(id) + 1 - (max(id) + 1) // 10 as old from nodes)
+select 'node_added' as type, '{"id":' || id || ',"significance":' || significance || '}' as data from nodes, many where id >= old
+union all select distinct 'edge_added', '{"source":' || least(src, dst) || ',"target":' || greatest(src, dst) || '}' from links, many where greatest(src, dst) >= old
+union all select 'cluster_updated', '{"id":' || significance || ',"node_count":' || count(*) || '}' from nodes, many group by significance, old having count(*) <> count(*) filter (id < old)""".lstrip()),
+    "cluster_palette": _sql("nodes members", f"select cluster_id, {_PALETTE} as colour from (select cluster_id, (row_number() over (order by cluster_id) - 1) / count(*) over ()::double as hue from (select distinct cluster_id from members))"),
+    "hit_colours": _sql("nodes q0", f"select id, printf('#%02x%02x%02x', 255, cast(round_even((1.0::double - (r - 1) / 10.0::double * 0.5::double) * 0.8::double * 255, 0) as int), 0) as colour from (select id, row_number() over (order by {_cos('q.q', 'v')} desc, id) as r from nodes, q) where r <= 10"),
+    "node_tooltips": _sql("nodes q0 life", f"""select id, 'Node ' || id || chr(10) || case when r <= 10 then printf('\U0001f3af Search Score: %.3f', s) || chr(10) else '' end || 'Cluster: ' || case when significance = 0 then 'None' else significance::varchar end || chr(10) || 'Significance: ' || significance || '/9' || chr(10) || printf('Life Score: %.2f', life) || chr(10) || '---' || chr(10) || left(content, 100) || '...' as title,
+  case when r <= 10 then '\u2b50 ' else '' end || id || ': ' || left(content, 30) || '...' as display_label
+from (select *, {_cos('q.q', 'v')} as s, row_number() over (order by {_cos('q.q', 'v')} desc, id) as r from life, q)"""),
     "similarity_to_all": _sql("nodes q3", f"select id, round({_cos('q.q', 'v')}, 6) as sim from nodes, q"),
 }

@@ -26,7 +26,7 @@ def _r(df: DataFrame, *names: str) -> DataFrame:
 def _linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, adjacency), the links computed once."""
     edges = Scratch(spark).save(T.edges(spark, d))
-    return T.nodes(spark, d), edges, graph.adjacency(edges)
+    return T.scored_nodes(spark, d), edges, graph.adjacency(edges)
 
 
 def _seeds(spark: SparkSession, d: str) -> tuple[list[float], DataFrame]:
@@ -90,15 +90,15 @@ def add_edge_validation(spark, d):
 
 
 def life_score(spark, d):
-    return _r(ranking.with_life(T.nodes(spark, d), T.AS_OF).select("id", "life"), "life")
+    return _r(ranking.with_life(T.scored_nodes(spark, d), T.AS_OF).select("id", "life"), "life")
 
 
 def vacuum_candidates(spark, d):
-    return ranking.vacuum(T.nodes(spark, d), 0.5, T.AS_OF).select("id")
+    return ranking.vacuum(T.scored_nodes(spark, d), 0.5, T.AS_OF).select("id")
 
 
 def bio_score(spark, d):
-    return _r(ranking.with_bio(T.nodes(spark, d), T.AS_OF).select("id", "bio"), "bio")
+    return _r(ranking.with_bio(T.scored_nodes(spark, d), T.AS_OF).select("id", "bio"), "bio")
 
 
 def graph_score(spark, d):
@@ -114,8 +114,9 @@ def coherence(spark, d):
 
 
 def access_update(spark, d):
-    log = spark.createDataFrame([(1, T.AS_OF), (2, T.AS_OF), (2, T.AS_OF + 5), (5, T.AS_OF - 9)], "node_id long, ts long")
-    return ranking.fold_access(T.nodes(spark, d), log).where("id < 8").select("id", "access_count", "last_access_ts")
+    """Every event counts once more, at its time and an hour."""
+    log = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("node_id"), F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts) + 3600").alias("ts"))
+    return ranking.fold_access(T.scored_nodes(spark, d), log).select("id", "access_count", "last_access_ts")
 
 
 def hybrid_search_index(spark, d):
@@ -254,23 +255,54 @@ def cluster_hierarchy(spark, d):
 
 
 def snapshot_roundtrip(spark, d):
+    """Nodes and, as rows of their own, edges, read back."""
     root = Scratch(spark).root
     save_snapshot(spark, root, {"nodes": T.nodes(spark, d), "edges": T.edges(spark, d)}, {"tables": ["nodes", "edges"]})
     tables, _ = load_snapshot(spark, root)
-    return tables["nodes"].select("id", "content", F.col("significance").cast("int").alias("significance"), "access_count", "last_access_ts")
+    nodes = tables["nodes"].select("id", "content", F.col("significance").cast("int").alias("significance"), "access_count", "last_access_ts", F.lit(None).cast("long").alias("src"), F.lit(None).cast("long").alias("dst"))
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("content", "string"), ("significance", "int"), ("access_count", "long"), ("last_access_ts", "long"))]
+    return nodes.union(tables["edges"].select(F.col("seq").alias("id"), *none, "src", "dst"))
 
 
 def stream_ingest(spark, d):
+    """Four batches; each links to those before."""
     root = Scratch(spark).root
-    T.nodes(spark, d).select("id", "content", "embedding", "significance").repartitionByRange(4, "id").write.parquet(f"{root}/in")
-    files = ingest.stream_nodes(spark, f"{root}/in", files_per_trigger=100)
+    rows = T.nodes(spark, d).select("id", "content", "embedding", "significance")
+    size = -(-(rows.agg(F.max("id")).first()[0] + 1) // 4)
+    for i in range(4):
+        rows.where(F.col("id").between(i * size, (i + 1) * size - 1)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    files = ingest.stream_nodes(spark, f"{root}/in", files_per_trigger=1)
     ingest.ingest(files, f"{root}/out", f"{root}/state", T.LINK_AT).awaitTermination()
     return _r(spark.read.schema(ingest.LINKS).parquet(f"{root}/out/links").select("src", "dst", "sim", "rank"), "sim")
 
 
+def _state(spark, d, upto):
+    """{nodes, edges, clusters} of the nodes below an id."""
+    nodes = T.vectors(spark, d).where(F.col("id") < upto)
+    edges = graph.as_edges(graph.auto_link(nodes, T.LINK_AT))
+    sizes = nodes.groupBy(F.col("significance").cast("long").alias("id")).agg(F.count("*").alias("node_count"))
+    return {"nodes": nodes.select("id", F.col("significance").cast("int").alias("significance")), "edges": graph.undirected(edges), "clusters": sizes}
+
+
 def delta_events(spark, d):
-    every = T.vectors(spark, d).select("id", F.col("significance").cast("int").alias("significance"))
-    return ingest.changes(every.where("id < 490"), every, "node_added", ["id"])
+    """From the graph of all nodes but the last tenth to that of all."""
+    many = T.vectors(spark, d).agg(F.max("id") + 1).first()[0]
+    return ingest.events(_state(spark, d, many - many // 10), _state(spark, d, many))
+
+
+def cluster_palette(spark, d):
+    _, members = T.clusters(spark, d)
+    return export.palette(members)
+
+
+def hit_colours(spark, d):
+    return export.hit_colours(graph.knn(T.vectors(spark, d), T.query_vector(spark, d, 0), K).select("rank", "id"))
+
+
+def node_tooltips(spark, d):
+    _, members = T.clusters(spark, d)
+    hits = graph.knn(T.vectors(spark, d), T.query_vector(spark, d, 0), K).select("id", "score")
+    return export.tooltips(ranking.with_life(T.nodes(spark, d), T.AS_OF), members.where("cluster_id = root_id"), hits)
 
 
 def similarity_to_all(spark, d):
@@ -284,6 +316,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         life_score, vacuum_candidates, bio_score, graph_score, coherence, access_update, hybrid_search_index, hybrid_search_clustered, hybrid_search_no_match, cluster_candidates, cluster_score,
         cluster_list, cluster_centroids, cluster_anchors, cluster_significance, cluster_stats, cluster_cohesion, cluster_search, node_clusters, deepest_cluster, cluster_tree_text, cluster_legend,
         cluster_colors, graph_nodes_library, graph_nodes_export, graph_stats, circular_layout, node_style, edge_style, rag_context, snapshot_event, agglomerative_flat, cluster_hierarchy,
-        snapshot_roundtrip, stream_ingest, delta_events, similarity_to_all,
+        snapshot_roundtrip, stream_ingest, delta_events, similarity_to_all, cluster_palette, hit_colours, node_tooltips,
     )
 }

@@ -7,6 +7,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -33,13 +34,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share; one of our own only where the session names none and runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if got.isDefined():
             return got.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillon-")
+        atexit.register(shutil.rmtree, found[7:], True)
         spark.sparkContext.setCheckpointDir(found)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return found
@@ -62,30 +66,40 @@ def delete(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Tables written in the shared folder: they cut lineage and survive the loss of an executor.
 
-    A result may read the tables of its scratch until the application ends, so
-    only `drop` removes them, for those that nothing reads any more.
+    A result may read the tables of its scratch until the application ends:
+    `drop` removes those that nothing reads any more, and what is left goes
+    when the driver ends.
     """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quillon-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
 
     def save(self, df: DataFrame, by: str | None = None) -> DataFrame:
         self._n += 1
         path = f"{self.root}/t{self._n}"
         w = df.write.mode("overwrite")
         (w.partitionBy(by) if by else w).parquet(path)
+        if self._n == 1:
+            root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._quillon_path = path
         return out
 
-    def sweep(self) -> None:
-        """Lets the cluster remove the shuffle files of plans that ended: Spark does when the driver's garbage is collected, which may be long after."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+    def sweep(self, *tables: DataFrame, least: int = 64 << 20) -> None:
+        """Lets the cluster remove the shuffle files of plans that ended, if these tables hold `least` bytes.
+
+        Spark removes them when the driver's garbage is collected, which may be
+        long after; the Python side gives up its references within a second.
+        """
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        held = sum((p := path(t._quillon_path)).getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength() for t in tables)
+        if held >= least:
+            gc.collect()
+            time.sleep(1.2)
+            self.spark._jvm.System.gc()
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:

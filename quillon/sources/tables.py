@@ -22,6 +22,13 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.coalesce("text", F.concat(F.lit("Node "), F.col("id").cast("string"))).alias("content"), "embedding", "significance", F.coalesce("n", F.lit(0)).alias("access_count"), F.coalesce("t", F.lit(NEVER)).cast("long").alias("last_access_ts"))
 
 
+def scored_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nodes without their contents, for what doesn't show them."""
+    e = vectors(spark, sf_dir)
+    a = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"), F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', max(ts))").alias("t"))
+    return e.join(a, "id", "left").select("id", "embedding", "significance", F.coalesce("n", F.lit(0)).alias("access_count"), F.coalesce("t", F.lit(NEVER)).cast("long").alias("last_access_ts"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("short").alias("significance"))
 

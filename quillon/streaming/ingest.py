@@ -20,7 +20,8 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, threshold: float = 0
 
     A batch links its nodes to all that came before and to each other. Each
     batch has a folder of its own that is overwritten if it is run again, so
-    a restart neither loses nor repeats rows. Ids must rise from batch to batch.
+    a restart neither loses nor repeats rows. Ids must rise from batch to batch;
+    NaN in an embedding ends the query with an error.
     """
     spark = stream.sparkSession
 
@@ -29,7 +30,7 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, threshold: float = 0
         if first is None:
             return
         rows.write.mode("overwrite").parquet(f"{target}/nodes/batch={number}")
-        every = spark.read.schema(NODES).parquet(f"{target}/nodes").where(F.col("id") >= 0).select("id", "embedding")
+        every = spark.read.schema(NODES).parquet(f"{target}/nodes").select("id", "embedding")
         auto_link(every, threshold, since=first).write.mode("overwrite").parquet(f"{target}/links/batch={number}")
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
@@ -40,3 +41,37 @@ def changes(before: DataFrame, after: DataFrame, kind: str, keys: list[str]) ->
     """(type, data): an event for each row of after that before lacks, as JSON."""
     fresh = after.join(before.select(*keys), keys, "left_anti")
     return fresh.select(F.lit(kind).alias("type"), F.to_json(F.struct(*after.columns)).alias("data"))
+
+
+def events(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
+    """(type, data): what changed between two states of {nodes, edges, clusters}, as JSON.
+
+    node_added for each new id; edge_added for each new link, whichever way it
+    points; cluster_updated for each root cluster that is new or has another
+    colour, size or significance; and one refresh without data if any cluster
+    is gone.
+    """
+    old, new = before, after
+    link = lambda e: e.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct()
+    out = changes(old["nodes"], new["nodes"], "node_added", ["id"])
+    out = out.union(changes(link(old["edges"]), link(new["edges"]), "edge_added", ["source", "target"]))
+    out = out.union(changes(old["clusters"], new["clusters"], "cluster_updated", new["clusters"].columns))
+    gone = old["clusters"].select("id").join(new["clusters"].select("id"), "id", "left_anti").limit(1)
+    return out.union(gone.select(F.lit("refresh").alias("type"), F.lit(None).cast("string").alias("data")))
+
+
+def publish(stream: DataFrame, state, sink, checkpoint: str, available_now: bool = True):
+    """Calls sink(events of the batch) after each batch; state() gives {nodes, edges, clusters} as they are then.
+
+    The state before the first batch is empty, so its events are the snapshot.
+    sink gets a DataFrame (type, data) and may write it or send it on.
+    """
+    held: dict[str, DataFrame] = {}
+
+    def batch(rows: DataFrame, number: int) -> None:
+        now = state(rows, number)
+        sink(events(held or {n: df.limit(0) for n, df in now.items()}, now), number)
+        held.update(now)
+
+    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

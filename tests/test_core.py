@@ -99,7 +99,7 @@ def store(spark, tmp_path):
 
 def test_store_links_and_edges(store):
     ids = store.add_nodes([("a", [1, 0], 9), ("b", [1, 0.1], 9), ("c", [0, 1], 1)], as_of=0)
-    assert ids == [0, 1, 2] and store.get_neighbors(1) == [0] and store.get_neighbors(2) == []
+    assert list(ids) == [0, 1, 2] and store.get_neighbors(1) == [0] and store.get_neighbors(2) == []
     store.add_edge(0, 1)
     store.add_edge(2, 2)
     store.add_edge(0, 99)
@@ -109,6 +109,148 @@ def test_store_links_and_edges(store):
         store.add_node("e", [math.nan], 1)
 
 
+def test_store_appends_and_folds(store, spark, monkeypatch):
+    from quillon.sources import store as module
+
+    monkeypatch.setattr(module.Parts, "MOST", 3)
+    monkeypatch.setattr(GraphStore, "LOG", 2)
+    rows = [(10 * i, f"t{i}", [float(x) for x in v], 5) for i, v in enumerate(np.random.default_rng(0).standard_normal((12, 3)))]
+    df = spark.createDataFrame(rows[:8][::-1], "pos long, content string, embedding array<float>, significance short")
+    assert list(store.add_nodes(df, 0.5, as_of=0)) == list(range(8)) and list(store.add_nodes(df.limit(0))) == []
+    for _, c, v, s in rows[8:]:
+        store.add_node(c, v, s, 0.5)
+    store.add_edge(1, 2)
+    one = GraphStore(spark, store.path + "-one")
+    one.add_nodes([r[1:] for r in rows], 0.5, as_of=0)
+    one.add_edge(1, 2)
+    assert store.get_all_graph_data() == one.get_all_graph_data() and len(store._node_parts.parts) <= 3
+    for i in (1, 1, 1, 2, 1):
+        store.get_node(i, as_of=7)
+    assert {r["id"]: r["access_count"] for r in store.nodes.where("access_count > 0").collect()} == {1: 4, 2: 1} and len(store._log) <= 2
+    store.save()
+    assert {r["id"]: r["access_count"] for r in GraphStore(spark, store.path).nodes.where("access_count > 0").collect()} == {1: 4, 2: 1}
+    with pytest.raises(ValueError):
+        store.add_nodes(spark.createDataFrame([(0, "x", [1.0, math.nan], 1)], "pos long, content string, embedding array<float>, significance short"))
+    assert store.add_node("y", [1, 0, 0], 1) == 12
+
+
+def test_links_of_any_ids_and_no_nan(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((60, 4))
+    ids = sorted(int(i) for i in rng.integers(-(2**62), 2**62, 60))
+    schema = "id long, embedding array<double>"
+    plain, wild = (spark.createDataFrame([(i, [float(y) for y in v]) for i, v in zip(name, x)], schema) for name in (range(60), ids))
+    graph_block, graph.BLOCK = graph.BLOCK, 7
+    try:
+        want = sorted(tuple(r) for r in graph.auto_link(plain, 0.2).collect())
+        assert sorted((ids.index(r[0]), ids.index(r[1]), r[2], r[3]) for r in graph.auto_link(wild, 0.2).collect()) == want
+        assert sorted((ids.index(r[0]), ids.index(r[1]), r[2], r[3]) for r in graph.auto_link(wild, 0.2, since=ids[40]).collect()) == [w for w in want if w[0] >= 40]
+        assert len(graph.similar_pairs(wild, 0.2).collect()) == len(graph.similar_pairs(plain, 0.2).collect()) > 0
+        bad = wild.union(spark.createDataFrame([(1, [math.nan, 1.0, 1.0, 1.0])], schema))
+        for run in (lambda: graph.auto_link(bad).collect(), lambda: graph.knn(bad, [1.0, 0, 0, 0], 3).collect(), lambda: graph.similar_pairs(bad, 0.5).collect()):
+            with pytest.raises(Exception, match="NaN in an embedding"):
+                run()
+    finally:
+        graph.BLOCK = graph_block
+
+
+def _slow_matrix(v, k):
+    """The slow way on sums of cosines between lists, fast enough for a table."""
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    u = v / n
+    total, lists = u @ u.T, [[i] for i in range(len(v))]
+    while len(lists) > k:
+        size = np.array([len(x) for x in lists])
+        mean = np.where(np.triu(np.ones_like(total, dtype=bool), 1), total / size[:, None] / size[None, :], -np.inf)
+        i, j = np.unravel_index(np.argmax(mean), mean.shape)
+        lists[i] += lists.pop(j)
+        total[i] += total[j]
+        total[:, i] += total[:, j]
+        total = np.delete(np.delete(total, j, 0), j, 1)
+    return lists
+
+
+def test_clusters_of_the_whole_table_are_those_of_the_slow_way(spark, data):
+    rows = spark.read.parquet(f"{data}/sf0.01/embeddings.parquet").orderBy("vec_id").collect()
+    ids, v, s = [r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows], dtype=np.float64), np.array([r["label"] for r in rows])
+    tree, flat = [], set()
+
+    def grow(members, depth, parent, root):
+        number = len(tree)
+        root = number if root is None else root
+        tree.append((number, parent, root, depth, len(members), round(float(s[members].mean()), 6)))
+        if depth == 0:
+            flat.update((number, pos, ids[m]) for pos, m in enumerate(members))
+        if len(members) > 50 and depth < 3:
+            for part in sorted(_slow_matrix(v[members], max(2, min(5, len(members) // 3))), key=lambda p: p[0]):
+                grow([members[i] for i in part], depth + 1, number, root)
+
+    for part in sorted(_slow_matrix(v, 10), key=lambda p: p[0]):
+        grow(part, 0, None, None)
+    got = QUERIES["agglomerative_flat"](spark, f"{data}/sf0.01").collect()
+    assert {(r["cluster_id"], r["pos"], r["node_id"]) for r in got} == flat
+    got = QUERIES["cluster_hierarchy"](spark, f"{data}/sf0.01").orderBy("cluster_id").collect()
+    assert [(r["cluster_id"], r["parent_id"], r["root_id"], r["depth"], r["size"], r["significance"]) for r in got] == tree
+
+
+def test_events_and_their_sink(spark, tmp_path):
+    from quillon.streaming import ingest
+
+    state = lambda n, e, c: {"nodes": spark.createDataFrame(n, "id long, label string"), "edges": spark.createDataFrame(e, "source long, target long"), "clusters": spark.createDataFrame(c, "id long, size long")}
+    old, new = state([(0, "a"), (1, "b")], [(0, 1)], [(0, 2), (7, 1)]), state([(0, "a"), (1, "b"), (2, "c")], [(1, 0), (2, 1), (1, 2)], [(0, 3)])
+    got = sorted(((r["type"], r["data"]) for r in ingest.events(old, new).collect()), key=str)
+    assert got == [("cluster_updated", '{"id":0,"size":3}'), ("edge_added", '{"source":1,"target":2}'), ("node_added", '{"id":2,"label":"c"}'), ("refresh", None)]
+    spark.range(2).selectExpr("id", "cast(null as string) content", "array(1f, 0f) embedding", "cast(1 as short) significance").repartitionByRange(2, "id").write.parquet(f"{tmp_path}/in")
+    seen = []
+    ingest.publish(ingest.stream_nodes(spark, f"{tmp_path}/in"), lambda rows, n: (old, new)[n], lambda df, n: seen.append(sorted(r["type"] for r in df.collect())), f"{tmp_path}/state").awaitTermination()
+    assert seen == [["cluster_updated", "cluster_updated", "edge_added", "node_added", "node_added"], ["cluster_updated", "edge_added", "node_added", "refresh"]]
+
+
+def test_notices(store):
+    """A server of our own is told of each save, unless that is switched off."""
+    import http.server
+    import threading
+
+    told = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            told.append(self.path)
+            self.send_response(200 if len(told) < 3 else 500)
+            self.end_headers()
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        store.set_server_url(f"http://127.0.0.1:{server.server_port}/")
+        assert store.notify() and told == ["/api/notify"]
+        store.save()
+        assert len(told) == 2
+        store.set_auto_notify(False)
+        store.save()
+        assert len(told) == 2
+        with pytest.raises(Exception):
+            store.notify()
+        store.set_auto_notify(True)
+        store.save()  # a failed notice doesn't fail it
+        assert len(told) == 4
+    finally:
+        server.shutdown()
+
+
+def test_the_clock_is_that_of_the_system(store):
+    import time
+
+    from quillon.sources.store import now
+
+    assert abs(now() - time.time()) < 5
+    store.add_nodes([("a", [1, 0], 9)])
+    assert abs(store.nodes.first()["last_access_ts"] - time.time()) < 60
+
+
 def test_store_reads_count_as_accesses(store):
     store.add_nodes([("a", [1, 0], 9), ("b", [0, 1], 0)], as_of=0)
     before = store.calculate_life_score(0, as_of=3600)
