@@ -441,7 +441,7 @@ class _Groups:
         repeated = send(sized(several, "doc", several.count()))
         packed = docs.mapInArrow(lean(_emitter(n, threshold, longest, parts, shared, repeated)), "part int, facts boolean, blob binary")
         posted = scratch.save(packed.repartitionById(parts, "part").mapInArrow(lean(_poster), _POSTED), by="kind")
-        scratch.sweep()
+        scratch.sweep(posted)
         facts = posted.where("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("c").alias("p")).groupBy("doc").agg(F.max("n").alias("n"), F.max("p").alias("p"))
         stars = scratch.save(_enough(posted.where("kind = 1").groupBy("a", "b").agg(F.sum("c").alias("c")), facts, threshold))
         groups = scratch.save(components(stars, scratch))
@@ -451,8 +451,8 @@ class _Groups:
         mixed = placed.repartition(parts, "tok").mapInArrow(lean(_crossing(threshold)), "a long, b long, c long, need long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need"))
         crossing = scratch.save(mixed.where("c >= need").select("a", "b"))
         found = scratch.save(components(stars.union(crossing), scratch))
+        scratch.sweep(posted)
         scratch.drop(posted, stars, crossing, groups, several)
-        scratch.sweep()
         grouped = send(sized(found, "node", found.count()))
         rows = docs.where("text is not null").withColumn("sig", F.xxhash64("text"))
         sets = rows.mapInArrow(lean(_setter(n, grouped, repeated)), "doc long, sig long, key long, n long, k1 long, k2 long, grams binary").where("n > 0")
@@ -492,8 +492,8 @@ def _classes(docs: DataFrame, n: int, threshold: float, longest: int) -> tuple[D
     """(units with class, links and best similarity, classes, scratch)."""
     g = _Groups(docs, n, threshold, longest)
     found = g.scratch.save(g.spread.groupBy("comp", "i", "j").applyInArrow(_links(threshold), "head long, other long, links long, best double"))
+    g.scratch.sweep(g.sets)
     g.scratch.drop(g.sets)
-    g.scratch.sweep()
     comps = g.scratch.save(components(found.select(F.col("head").alias("a"), F.col("other").alias("b")), g.scratch))
     of = found.groupBy(F.col("head").alias("k1")).agg(F.sum("links").alias("links"), F.max("best").alias("best"))
     heads = g.heads.join(comps.select(F.col("node").alias("k1"), F.col("comp").alias("class")), "k1", "left").join(of, "k1", "left").where("m > 1 or links > 0")
@@ -502,7 +502,6 @@ def _classes(docs: DataFrame, n: int, threshold: float, longest: int) -> tuple[D
     first = heads.groupBy("class").agg(F.min(F.struct("doc", "k1", "k2")).alias("first"))
     rows = g.units.join(heads.drop("doc"), ["comp", "k1", "k2"]).join(first, "class")
     g.scratch.drop(found, comps)
-    g.scratch.sweep()
     return rows, first, g.scratch
 
 
