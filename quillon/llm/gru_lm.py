@@ -34,7 +34,7 @@ from quillon.session import Scratch, ship
 SHAPES = 16
 BEGIN, END = 0, 1
 FIXED = 2 + SHAPES
-HIDDEN, WINDOW, LANES, SLICES, BRANCHES = 16, 16, 512, 8, 64
+HIDDEN, WINDOW, LANES, SLICES, BRANCHES = 24, 16, 512, 8, 64
 NAMES = ("x", "u", "wc", "bc", "ww", "bw")
 #: The bytes of folded words, and the mark of a word's bounds.
 LETTERS = np.unique(_LOWER[np.flatnonzero(_WORD)])
@@ -167,7 +167,10 @@ def fresh(vocabulary: Vocabulary, hidden: int = HIDDEN, seed: int = 11) -> dict[
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    x = np.tanh(x * x.dtype.type(0.5))
+    x += 1
+    x *= x.dtype.type(0.5)
+    return x
 
 
 def step(p: dict, h: np.ndarray, tokens: np.ndarray) -> tuple:
@@ -293,14 +296,14 @@ def score_tokens(p: dict, vocabulary: Vocabulary, tokens: np.ndarray, offsets: n
     size = np.diff(offsets)
     order = np.argsort(-size, kind="stable")
     size, at = size[order], offsets[:-1][order]
-    out = np.zeros(len(size))
+    out, less = np.zeros(len(size)), -size
     h = np.zeros((len(size), p["u"].shape[0]), dtype=np.float32)
     t = 0
     while len(size) and t < size[0]:
         states, target, who = [], [], []
-        window = max(1, most // int(np.searchsorted(-size, -t, side="left")))
+        window = max(1, most // int(np.searchsorted(less, -t, side="left")))
         for s in range(t, min(t + window, int(size[0]))):
-            live = int(np.searchsorted(-size, -s, side="left"))
+            live = int(np.searchsorted(less, -s, side="left"))
             h = step(p, h[:live], tokens[at[:live] + s])[0]
             states.append(h)
             more = size[:live] > s + 1
@@ -416,12 +419,19 @@ def _mean(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "pid": pa.array([key[1].as_py()], pa.int64()), "words": pa.array([int(words.sum())], pa.int64()), "p": pa.array([(total / words.sum()).astype("<f4").tobytes()], pa.binary())})
 
 
-def train(docs: DataFrame, words: int = 2000, warm_rows: int = 1000, often: int = 4000) -> tuple[Vocabulary, dict]:
+def train(docs: DataFrame, words: int = 2000, warm_rows: int = 1000, often: int = 4000, hidden: int = HIDDEN) -> tuple[Vocabulary, dict]:
     """The vocabulary and the parameters fitted on all of docs (doc_id, text).
 
     `warm_rows` bounds the sample, of least hashed ids, on which the first
     model is fitted; from there every document is used once. The vocabulary
-    has `words` words and all others that occur `often` times.
+    has `words` words and all others that occur `often` times, of equally
+    frequent ones those with the least hash; `hidden` is the size of the state.
+
+    Null texts are not used, empty ones teach an immediate end. Rows that
+    repeat, or whose id is null or repeated, are each trained on; rows without
+    an id are not in the first sample. Texts of any length are read whole.
+    Other columns may have any name. Of an empty table come an empty vocabulary
+    and the parameters that training starts from.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -429,7 +439,7 @@ def train(docs: DataFrame, words: int = 2000, warm_rows: int = 1000, often: int
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("text is not null")
     vocabulary = vocabulary_of(docs, words, often)
     vocabulary.spelling = spelling_of(docs, vocabulary)
-    trainer = Trainer(vocabulary, fresh(vocabulary))
+    trainer = Trainer(vocabulary, fresh(vocabulary, hidden))
     sample = docs.join(F.broadcast(docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(warm_rows)), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     first = spark.sparkContext.broadcast((vocabulary, trainer.p))
     warm = sample.select("text").coalesce(1).mapInArrow(lean(_train(first)), _COPY).orderBy("slice").collect()

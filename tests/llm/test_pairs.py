@@ -15,6 +15,7 @@ from quillon.llm._graph import components
 from quillon.llm.decontaminate import Canonical, contamination, drop_contaminated
 from quillon.session import Scratch
 
+LOREM = "plain words of no question at all "
 LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 WORD = re.compile(r"[A-Za-z0-9\u0080-\U0010ffff]+")
 CLASH = "doc_id long, text string, comp long, doc string, n int, `__gone` long, `__cuts` string, scope long"
@@ -324,6 +325,87 @@ def test_slots():
     assert c.template_kind.tolist() == [2, 0, 1, 3, 0, 2, 0, 1] and c.literal_kind.tolist() == [0, 0, 1, 3, 0, 0, 0, 1]
 
 
+def _slow_contamination(docs, items, width=8, coverage=0.5, consistency=0.75, passage=20):
+    """Windows, lines, chains, coverage and consistency, one at a time; streams come from `Canonical`, which has tests of its own."""
+
+    def streams(rows):
+        rows = [(i, t) for i, t in rows if i is not None and t is not None]
+        c = Canonical(pa.array([t for _, t in rows], pa.string()))
+        for stream in (0, 1):
+            x = c.stream(stream)
+            yield stream, [(i, x.values[a:b].tolist(), x.kind[a:b].tolist(), x.fill[a:b].tolist()) for (i, _), a, b in zip(rows, x.bounds, x.bounds[1:])]
+
+    def windows(values, kind, size):
+        return {k: tuple(values[k : k + size]) for k in range(len(values) - size + 1) if sum(x == 0 for x in kind[k : k + size]) >= min(3, size)}
+
+    best = {}
+    for (stream, d), (_, b) in zip(streams(docs), streams(items)):
+        index, known = defaultdict(set), {}
+        for n, (item, values, kind, fill) in enumerate(b):
+            size = len(values) if len(values) <= width else min(max((len(values) - 1) // 2, min(width, 4)), width)
+            if size >= 3:
+                known[n] = (item, len(values), size, fill, kind, windows(values, kind, size))
+                for k, w in known[n][5].items():
+                    index[w].add((n, k))
+        for doc, values, kind, fill in d:
+            lines = defaultdict(lambda: (set(), set()))
+            for size in {x[2] for x in known.values()}:
+                for p, w in windows(values, kind, size).items():
+                    for n, k in index.get(w, ()):
+                        at, fills = lines[n, p - k]
+                        at.add(k)
+                        fills |= {(known[n][3][k + j], fill[p + j]) for j in range(size) if kind[p + j]}
+            by_item = defaultdict(dict)
+            for (n, off), line in lines.items():
+                by_item[n][off] = line
+            for n, found in by_item.items():
+                item, total, size, _, _, every = known[n]
+                chains, last = [], None
+                for off in sorted(found):
+                    if last is None or off - last > max(size, total // 2):
+                        chains.append([])
+                    chains[-1].append(found[off])
+                    last = off
+                tried = [(at, fills, True) for at, fills in found.values()] + [(set().union(*(x[0] for x in c)), set().union(*(x[1] for x in c)), False) for c in chains if len(c) > 1]
+                for at, fills, single in tried:
+                    covered = sorted({k + j for k in at for j in range(size)})
+                    run = longest = 0
+                    for x, y in zip([None, *covered], covered):
+                        run = run + 1 if x is not None and y == x + 1 else 1
+                        longest = max(longest, run)
+                    share = max(len(at) / len(every), (len(covered) - size + 1) / (total - size + 1))
+                    ratio = min(len({x for x, _ in fills}), len({y for _, y in fills})) / len(fills) if fills else 1.0
+                    if ratio >= consistency and (share >= coverage or single and longest >= passage):
+                        best[doc, item] = max(best.get((doc, item), (0, 0)), (round(share, 6), round(ratio, 6)))
+    return best
+
+
+def test_contamination_is_that_of_the_slow_way(spark, data):
+    rng = random.Random(8)
+    names, items = ["Ann", "Bob", "Mary Ann", "Zoë"], []
+    draw = lambda k: [rng.choice(["walks", "buys", "gives", "the", "town", "apples", "far", "home", "km", "hours", "dollars"] + names + ["7", "1,250", "2.5", "60km"]) for _ in range(k)]
+    for i in range(12):
+        items.append((i, " ".join(draw(rng.randint(2, 60)))))
+    items += [(12, None), (13, ""), (3, items[3][1])]
+    docs = []
+    for i in range(120):
+        w = (rng.choice(items[:12])[1]).split()
+        for _ in range(rng.randint(0, 6)):
+            k = rng.randint(0, len(w) - 1)
+            w[k : k + rng.randint(0, 1)] = rng.choice([[], draw(1), [rng.choice(names)], [str(rng.randint(1, 9))]])
+            w = w or ["x"]
+        docs.append((i, " ".join(draw(rng.randint(0, 20)) + w + draw(rng.randint(0, 20)))))
+    docs += [(200, None), (201, ""), (None, items[0][1]), (202, LOREM * 400 + " " + items[5][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["coverage"], r["consistency"]) for r in contamination(_docs(spark, docs), bench).collect()}
+    want = _slow_contamination(docs, items)
+    assert len(want) > 60 and got == want
+    table, bench = (spark.read.parquet(f"{data}/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    got = {(r["doc_id"], r["item_id"]): (r["coverage"], r["consistency"]) for r in contamination(table, bench).collect()}
+    want = _slow_contamination([(r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect()], [(r["item_id"], r["text"]) for r in bench.collect()])
+    assert want and got == want
+
+
 def test_contamination_is_that_of_brute_force(spark, data):
     docs, bench = (spark.read.parquet(f"{data}/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     items = {r["item_id"]: words(r["text"]) for r in bench.collect()}

@@ -292,6 +292,62 @@ def test_gradient_is_that_of_differences(vocabulary):
         assert abs((ends[0] - ends[1]) / 2e-5 - grads[k][at]) < 1e-3 * (1 + abs(grads[k][at]))
 
 
+def test_fit_is_that_of_single_steps(vocabulary):
+    """The same lanes and windows, one word and one number at a time."""
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(gru_lm.FIXED, len(vocabulary), rng.integers(0, 40)) for _ in range(9)]
+    tokens = np.concatenate([np.concatenate(([gru_lm.BEGIN], t)) for t in texts]).astype(np.int32)
+    start = {k: v.astype(np.float64) for k, v in gru_lm.fresh(vocabulary, hidden=4).items()}
+    trainer = gru_lm.Trainer(vocabulary, {k: v.copy() for k, v in start.items()})
+    trainer.fit(tokens)
+    p, past = {k: v.copy() for k, v in start.items()}, {k: np.full_like(v, 1e-3) for k, v in start.items()}
+    lanes = max(1, len(tokens) // (4 * gru_lm.WINDOW))
+    length = -(-len(tokens) // lanes)
+    padded = [*tokens.tolist(), *[gru_lm.BEGIN] * (lanes * length + 1 - len(tokens))]
+    now = [padded[i * length : (i + 1) * length] for i in range(lanes)]
+    nxt = [[gru_lm.END if x == gru_lm.BEGIN else x for x in padded[i * length + 1 : (i + 1) * length + 1]] for i in range(lanes)]
+
+    def loss(p, h, lo, hi):
+        """Log-likelihood of a window and the states behind it, by the formulas."""
+        total, after, k = 0.0, [], p["u"].shape[0]
+        sigma = lambda x: 1 / (1 + np.exp(-x))
+        for lane in range(lanes):
+            s = h[lane]
+            for t in range(lo, min(hi, length)):
+                if now[lane][t] == gru_lm.BEGIN:
+                    s = np.zeros(k)
+                g, r = p["x"][now[lane][t]], s @ p["u"]
+                z, reset = sigma(g[:k] + r[:k]), sigma(g[k : 2 * k] + r[k : 2 * k])
+                n = np.tanh(g[2 * k :] + reset * r[2 * k :])
+                s = z * s + (1 - z) * n
+                y = nxt[lane][t]
+                c = vocabulary.class_of[y]
+                a, b = vocabulary.class_at[c], vocabulary.class_at[c + 1]
+                classes, own = s @ p["wc"] + p["bc"], p["ww"][a:b] @ s + p["bw"][a:b]
+                total += classes[c] - np.log(np.exp(classes).sum()) + (own[y - a] - np.log(np.exp(own).sum()) if b - a > 1 else 0)
+            after.append(s)
+        return total, after
+
+    h = [np.zeros(4) for _ in range(lanes)]
+    for lo in range(0, length, gru_lm.WINDOW):
+        size = min(gru_lm.WINDOW, length - lo) * lanes
+        grads = {k: np.zeros_like(v) for k, v in p.items()}
+        for k in p:
+            for at in np.ndindex(p[k].shape):
+                ends = []
+                for e in (1e-5, -2e-5):
+                    p[k][at] += e
+                    ends.append(loss(p, h, lo, lo + gru_lm.WINDOW)[0])
+                p[k][at] += 1e-5
+                grads[k][at] = (ends[0] - ends[1]) / 2e-5
+        _, h = loss(p, h, lo, lo + gru_lm.WINDOW)
+        for k in p:
+            g = grads[k] / np.sqrt(size)
+            past[k] += g * g
+            p[k] += 0.1 * g / np.sqrt(past[k])
+    assert all(np.abs(p[k] - trainer.p[k]).max() < 1e-3 for k in p)
+
+
 def test_likelihood_is_that_of_complete_texts(vocabulary):
     """One text at a time, the whole softmax written out; it sums to 1."""
     p = {k: v.astype(np.float64) for k, v in gru_lm.fresh(vocabulary, hidden=5).items()}
