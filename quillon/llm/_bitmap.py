@@ -1,54 +1,26 @@
-"""Which of a fixed number of slots the hashes in a column use: a test of constant size before a join.
+"""Which slots the hashes in a column use: a test before a join, of a size that follows the column up to a bound.
 
 A hash whose slot is free isn't in the column; one whose slot is taken may be,
-and a join decides. The bitmap has 2 MB, however large the column; if it fills
-up, more rows than needed reach the join, but none is lost.
+and a join decides. If a bitmap fills up, more rows than needed reach the join,
+but none is lost.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 
 from quillon.llm._text import U64, mix
 
-BITS = 1 << 24
 SLICES = 16
 
 
-def slots(h: np.ndarray) -> np.ndarray:
-    return (mix(h.view(U64)) >> U64(40)).astype(np.int64)
-
-
-def _mark(batches):
-    bits = np.zeros(BITS, dtype=bool)
-    for b in batches:
-        bits[slots(b.column(0).to_numpy())] = True
-    each = BITS // SLICES
-    parts = [np.packbits(bits[s * each : (s + 1) * each]).tobytes() for s in range(SLICES)]
-    yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "bits"])
-
-
 def _merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     total = np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in table.column("bits")])
     return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
 
 
-def bitmap(rows: DataFrame, column: str | Column) -> bytes:
-    """The packed bitmap of a column of longs without nulls."""
-    got = rows.select(column).mapInArrow(_mark, "slice int, bits binary").groupBy("slice").applyInArrow(_merge, "slice int, bits binary").collect()
-    out = np.zeros(BITS // 8, dtype=np.uint8)
-    each = BITS // SLICES // 8
-    for r in got:
-        out[r["slice"] * each : (r["slice"] + 1) * each] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return out.tobytes()
-
-
-def taken(packed: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(packed, dtype=np.uint8)).astype(bool)
-
-
 def sized(rows: DataFrame, column: str, count: int, most: int = 28) -> np.ndarray:
     """A bitmap with eight slots for each of `count` hashes, of 128 kB to 32 MB; when it can't grow, more rows pass."""
     bits = 1 << int(np.clip((8 * max(count, 1) - 1).bit_length(), 20, most))

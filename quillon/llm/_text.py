@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+ROWS = 1 << 16
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(U64) | U64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -66,13 +67,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(column: pa.Array, most: int = 1 << 20):
-    """(first row, rows) slices of about `most` bytes; a longer text is a slice of its own."""
+    """(first row, rows) slices of about `most` bytes and ROWS rows at most; a longer text is a slice of its own."""
     _, offsets = buffers(column)
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
-        yield i, min(j, n) - i
-        i = min(j, n)
+        j = min(max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1), i + ROWS, n)
+        yield i, j - i
+        i = j
 
 
 class Words:

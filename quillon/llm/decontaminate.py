@@ -10,7 +10,7 @@ separators and decimals is one slot, as is a run of capitalised words that no
 punctuation parts, and a unit glued to its number is a slot of its own, so that
 the number of slots doesn't depend on what fills them.
 
-Windows of `width` words are hashed. A bitmap of fixed size tells which
+Windows of `width` words are hashed. A bitmap tells which
 windows of the documents may be in the benchmark; those few are hash-joined
 with the benchmark's windows. Windows of one document and one item that lie at
 the same distance are one line, and lines at nearby distances one chain, as
@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._bitmap import bitmap, slots, taken
-from quillon.llm._text import _BYTE_LOWER, U64, Words, chunks, ranges, span_hash
+from quillon.llm._bitmap import has, sized
+from quillon.llm._text import _BYTE_LOWER, U64, Words, chunks, lean, ranges, span_hash
 from quillon.session import Scratch, ship
 
 NUMBER, NAME, UNIT = (U64(0x51A7000000000001 + i) for i in range(3))
@@ -163,7 +163,7 @@ def _item_windows(width: int):
 
 def _doc_windows(widths: list[int], shared):
     def run(batches):
-        bits = taken(shared.value)
+        bits = shared.value
         for b in batches:
             for i, k in chunks(b.column(1)):
                 rows = b.slice(i, k)
@@ -171,7 +171,7 @@ def _doc_windows(widths: list[int], shared):
                 for width in widths:
                     for stream in (0, 1):
                         s, h = c.windows(width, stream)
-                        hit = bits[slots(h)]
+                        hit = has(bits, h.view(np.int64))
                         s, h = s[hit], h[hit]
                         for j in range(0, len(s), 1 << 15):
                             yield _rows_of(c, rows.column(0), s[j : j + (1 << 15)], h[j : j + (1 << 15)], width, stream)
@@ -208,9 +208,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverag
     items = benchmark.selectExpr("cast(item_id as long) id", "cast(text as string) text").where("id is not null and text is not null").distinct()
     windows = scratch.save(items.mapInArrow(_item_windows(width), _WINDOWS))
     widths = sorted(r["width"] for r in windows.select("width").distinct().collect())
-    shared = spark.sparkContext.broadcast(bitmap(windows, "h"))
+    shared = spark.sparkContext.broadcast(sized(windows, "h", windows.count()))
     rows = docs.selectExpr("cast(doc_id as long) id", "cast(text as string) text").where("id is not null and text is not null")
-    found = rows.mapInArrow(_doc_windows(widths, shared), _WINDOWS)
+    found = rows.mapInArrow(lean(_doc_windows(widths, shared)), _WINDOWS)
     of_item = windows.groupBy("id", "stream", "words").agg(F.count_distinct("at").alias("n"))
     d = found.select("h", "stream", "width", F.col("id").alias("doc_id"), F.col("words").alias("d_words"), F.col("at").alias("d_at"), F.col("slots").alias("d_slots"))
     i = windows.select("h", "stream", "width", F.col("id").alias("item_id"), "words", F.col("at").alias("i_at"), F.col("slots").alias("i_slots"))
@@ -233,7 +233,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverag
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.5) -> DataFrame:
-    """The rows of documents that hold no benchmark item, with all columns as they were; rows without an id or text stay."""
+    """The rows of documents that hold no benchmark item, with all columns as they were.
+
+    Rows without an id or text stay, as do empty texts. Rows that repeat an id
+    go together if one of their texts holds an item. Texts of any length are
+    read whole. Columns may have any name. Empty documents give an empty
+    result, an empty benchmark leaves all rows.
+    """
     scratch = Scratch(docs.sparkSession)
     gone = scratch.save(contamination(docs, benchmark, width, coverage).select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")

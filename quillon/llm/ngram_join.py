@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm._bitmap import has, sized
 from quillon.llm._graph import components
-from quillon.llm._text import U64, Words, chunks, lean, mix, ranges, release, span_hash
+from quillon.llm._text import ROWS, U64, Words, chunks, lean, mix, ranges, release, span_hash
 from quillon.session import Scratch, partitions, ship
 
 SLICES = 16
@@ -53,8 +53,10 @@ def gram_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, sizes): per text its distinct n-gram hashes of 47 bits, ascending, and how many.
 
     A text of fewer than n words has one gram, all its words; one without words has none.
-    At most 65,536 texts.
+    More than 65,536 texts at a time, which `chunks` never gives, are an error.
     """
+    if len(column) > ROWS:
+        raise ValueError(f"{len(column)} texts; the limit is {ROWS}")
     w = Words(column)
     per = np.where(w.counts > 0, np.maximum(w.counts - n + 1, 1), 0)
     starts = ranges(w.bounds[:-1], per)
@@ -524,7 +526,13 @@ def near_duplicate_classes(docs: DataFrame, n: int = 3, threshold: float = 0.5,
 
 
 def expand(pairs: DataFrame) -> DataFrame:
-    """All pairs of a join's result, those of the copies too; as many rows as there are pairs."""
+    """(doc_a, doc_b, jaccard) for all pairs of a join's result (doc_a, doc_b, jaccard), those of the copies too; as many rows as there are pairs.
+
+    Where an id has several texts, a star of one of them is not told apart from
+    the others', so pairs may be added that don't exist. Rows with a null are
+    no pairs, repeated ones count once, with the best similarity. An empty
+    result gives an empty one; other columns are left out.
+    """
     star = pairs.where("jaccard = 1").select(F.col("doc_a").alias("h"), F.col("doc_b").alias("m"))
     star = star.union(pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("h")).select("h", F.col("h").alias("m")).distinct()).distinct()
     a, b = star.toDF("doc_a", "a"), star.toDF("doc_b", "b")

@@ -525,7 +525,11 @@ def cut_repeated_passages(docs: DataFrame, min_words: int = 50, anchor: int = 10
 
     text and n_chars follow the cut, other columns are as they were. A document
     of which no letter or digit is left goes; one of which nothing is cut stays
-    as it is, whatever its text.
+    as it is, whatever its text. Rows without an id, and null, empty and short
+    texts, stay as they are. Rows that repeat an id and a text are cut alike;
+    of the same passage in several texts of one id nothing is cut. Texts of any
+    length are read whole. Columns may have any name. An empty table gives an
+    empty result.
     """
     scratch = Scratch(docs.sparkSession)
     runs = _joined(repeated_windows(_rows(docs), min_words, anchor), ["doc", "sig"])

@@ -541,6 +541,37 @@ def test_pipeline_keeps_what_each_stage_should(spark, tmp_path):
     assert set(out) == every - {2, 4, 7} and all(r["exact"] for r in out.values())
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null ids, repeated rows, ties, very long texts and columns whose names the stages use themselves, stage by stage."""
+    rng = random.Random(3)
+    text = lambda k, tag: " ".join(f"{tag}{rng.randint(0, 9999)}x" for _ in range(k))
+    long, plain, item = text(30_000, "l"), text(40, "p"), text(30, "q")
+    rows = [
+        (None, plain), (None, "You are a stupid idiot."), (None, None), (1, long), (2, long), (2, long), (3, "you are a stupid idiot " + text(60, "t")), (3, text(60, "u")), (4, plain), (4, plain), (5, plain + " end"),
+        (6, ""), (6, ""), (7, "..."), (8, item + " " + item), (9, "so " + item), (9, text(50, "w")), (10, None),
+    ]
+    extra = "score double, __gone long, __sig long, __cuts string, __read string, comp long, doc string, tokens string"
+    spark.createDataFrame([(i, t, None, "src", None if t is None else len(t), 0.5, 1, 2, "c", "r", 3, "d", "x") for i, t in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (1, item), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, left = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns
+        left.append(Counter((r["doc_id"], None if r["text"] is None else r["text"][:40]) for r in docs.collect()))
+    cut = lambda t: None if t is None else t[:40]
+    every = Counter((i, cut(t)) for i, t in rows)
+    tame = every - Counter([(None, cut(rows[1][1])), (3, cut(rows[6][1]))])
+    assert left[0] == tame
+    unique = tame - Counter([(2, cut(long))] * 2 + [(5, cut(plain)), (9, cut("so " + item))])  # the item of 9 is most of 8
+    assert left[1] == unique
+    assert left[2] == unique
+    assert left[3] == unique - Counter([(8, cut(item))])
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(out) == sum(left[3].values()) and all(r["exact"] for r in out) and {r["n_tokens"] for r in out if r["doc_id"] in (6, 10)} == {0}
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, gru_lm, langid, toxicity, url_filter
+from quillon.llm import bpe, gru_lm, langid, ngram_join, toxicity, url_filter
 from quillon.llm.html_extract import extract_html, html_text
 from quillon.llm.queries import ORACLE_SQL, QUERIES
 
@@ -459,6 +459,17 @@ def test_empty_urls_and_rules(spark):
 # pages
 
 
+def test_chunks_bound_rows_and_bytes():
+    from quillon.llm._text import ROWS, chunks
+
+    column = pa.array([""] * (2 * ROWS + 5) + ["x" * 3_000_000, "y"])
+    got = list(chunks(column))
+    assert [i for i, _ in got] == np.cumsum([0] + [k for _, k in got])[:-1].tolist() and sum(k for _, k in got) == len(column) and max(k for _, k in got) <= ROWS
+    assert (2 * ROWS + 5, 1) in got
+    with pytest.raises(ValueError):
+        ngram_join.gram_sets(pa.array([""] * (ROWS + 1)), 3)
+
+
 def test_visible_text():
     assert html_text("<p>a &amp; b</p><script>var t='</p>';</script><style>x</style><!-- c --><div>d<br>e</div>") == "a & b\nd\ne"
     assert html_text("<p>x <script>never ends") == "x" and html_text(None) == html_text("") == "" and html_text("a < b and c") == "a < b and c"
