@@ -19,7 +19,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     e = scratch.save(e)
     seen = None
     while True:
-        mark = e.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
+        mark = e.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if mark == seen or not mark["n"]:
             break
         seen = mark

@@ -32,7 +32,7 @@ not with the pairs; `ngram_jaccard_join` gives the pairs.
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,8 @@ from quillon.session import Scratch, partitions, ship
 
 SLICES = 16
 BLOCK_DOCS, BLOCK_GRAMS = 2048, 1 << 21
+#: Posting lists are compared in so many rounds, to have fewer of them in shuffle files at once.
+ROUNDS = 2
 _LOW47 = U64((1 << 47) - 1)
 
 
@@ -450,10 +452,15 @@ class _Groups:
         postings = posted.where("kind = 2").select(F.col("a").alias("tok"), F.col("b").alias("doc"))
         who = facts.join(groups.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("comp", "doc").alias("comp"), "n", "p")
         placed = postings.join(who, "doc").select("tok", "doc", "comp", "n", "p")
-        mixed = placed.repartition(parts, "tok").mapInArrow(lean(_crossing(threshold)), "a long, b long, c long, need long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need"))
+        rounds = []
+        for r in range(ROUNDS):
+            lists = placed.where(F.pmod(F.col("tok"), F.lit(ROUNDS)) == r).repartition(parts, "tok").mapInArrow(lean(_crossing(threshold)), "a long, b long, c long, need long")
+            rounds.append(scratch.save(lists.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need"))))
+            scratch.sweep(posted)
+        mixed = reduce(DataFrame.union, rounds).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need"))
         crossing = scratch.save(mixed.where("c >= need").select("a", "b"))
+        scratch.drop(*rounds)
         found = scratch.save(components(stars.union(crossing), scratch))
-        scratch.sweep(posted)
         scratch.drop(posted, stars, crossing, groups, several)
         grouped = send(sized(found, "node", found.count()))
         rows = docs.where("text is not null").withColumn("sig", F.xxhash64("text"))
