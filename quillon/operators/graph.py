@@ -7,6 +7,8 @@ node's list grew. Parallel edges and loops are kept.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -117,6 +119,60 @@ def auto_link(nodes: DataFrame, threshold: float = 0.6, k: int = 5, since: int |
     return found.withColumn("rank", rank).where((F.col("rank") <= k + 1) & (F.col("a") != F.col("b")) & (F.col("sim") >= threshold)).select(F.col("a").alias("src"), F.col("b").alias("dst"), "sim", "rank")
 
 
+def lsh_tables(threshold: float, bits: int, recall: float) -> int:
+    """How many tables of `bits` hyperplanes find two vectors with a cosine of `threshold` in one bucket with probability `recall`."""
+    together = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return 1 if together >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-together))
+
+
+def _buckets(planes: np.ndarray, tables: int, bits: int):
+    def run(batches):
+        for b in batches:
+            v = _vectors(pa.chunked_array([b.column("embedding")]))
+            width = min(v.shape[1], len(planes))
+            up = ((v[:, :width] @ planes[:width]) > 0).reshape(len(v), tables, bits)
+            code = (up * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
+            row = np.repeat(np.arange(len(v)), tables)
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables, dtype=np.int32), len(v))), pa.array(code.ravel()), b.column("id").take(pa.array(row)), b.column("embedding").take(pa.array(row))], names=["t", "c", "id", "embedding"])
+
+    return run
+
+
+def _pack_bucket(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    out = _pack(key[2:], table)
+    for i, (name, kind) in enumerate((("t", pa.int32()), ("c", pa.int64()))):
+        out = out.append_column(name, pa.array([key[i].as_py()], kind))
+    return out.append_column("blocks", table.column("blocks").slice(0, 1)).select(["t", "c", "blocks", "block", "n", "ids", "vectors"])
+
+
+def near_links(nodes: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.95, most_tables: int = 128) -> DataFrame:
+    """auto_link for tables too large for it: (src, dst, sim, rank) of the pairs that share a bucket.
+
+    Buckets are those of random hyperplanes, as many that a bucket has a few
+    hundred nodes, in as many tables that a pair at the threshold is found with
+    probability `recall`; similarities are exact. Cost grows as n * log(n), if
+    vectors spread. A low threshold needs more than `most_tables` tables and is
+    an error; auto_link finds such links exactly. NaN in an embedding is an error.
+    """
+    ship(nodes.sparkSession)
+    scratch = Scratch(nodes.sparkSession)
+    nodes = nodes.select("id", "embedding")
+    facts = nodes.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d")).first()
+    bits = max(1, min(40, math.ceil(math.log2(max(facts["n"], 1) / 256 + 1))))
+    tables = lsh_tables(threshold, bits, recall)
+    if tables > most_tables:
+        raise ValueError(f"{tables} tables for a threshold of {threshold}; the limit is {most_tables}")
+    planes = np.random.default_rng(7).standard_normal((facts["d"], tables * bits))
+    placed = scratch.save(nodes.mapInArrow(_buckets(planes, tables, bits), f"t int, c long, id long, embedding {nodes.schema['embedding'].dataType.simpleString()}"))
+    sizes = placed.groupBy("t", "c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("many")).where("many > 1").drop("many")
+    numbered = placed.join(sizes, ["t", "c"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
+    packed = scratch.save(numbered.groupBy("t", "c", "block").applyInArrow(_pack_bucket, f"t int, c long, blocks int, {PACKED}"))
+    pairs = packed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("t", "c", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), F.col("block").alias("side"), "ids", "vectors")
+    found = pairs.groupBy("t", "c", "i", "j").applyInArrow(_block_top(k + 1, True), "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
+    return found.withColumn("rank", rank).where((F.col("rank") <= k + 1) & (F.col("a") != F.col("b")) & (F.col("sim") >= threshold)).select(F.col("a").alias("src"), F.col("b").alias("dst"), "sim", "rank")
+
+
 def as_edges(links: DataFrame) -> DataFrame:
     """Edges in the order in which inserting the nodes one by one would have added them; seq has gaps."""
     return links.select((F.col("src") * RANKS + F.col("rank")).alias("seq"), "src", "dst")

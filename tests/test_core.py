@@ -154,6 +154,23 @@ def test_links_of_any_ids_and_no_nan(spark):
         graph.BLOCK = graph_block
 
 
+def test_near_links_find_what_auto_link_finds(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((3000, 12))
+    x[1::3] = x[::3] + rng.normal(0, 0.2, (1000, 12))
+    df = spark.createDataFrame([(7 * i, [float(y) for y in v]) for i, v in enumerate(x)], "id long, embedding array<float>")
+    want = {(r["src"], r["dst"]): r["sim"] for r in graph.auto_link(df, 0.85).collect()}
+    graph_block, graph.BLOCK = graph.BLOCK, 100
+    try:
+        got = {(r["src"], r["dst"]): r["sim"] for r in graph.near_links(df, 0.85).collect()}
+    finally:
+        graph.BLOCK = graph_block
+    assert set(got) <= set(want) and len(got) >= 0.95 * len(want) > 900 and all(abs(want[p] - s) < 1e-9 for p, s in got.items())
+    assert graph.near_links(df.where("false"), 0.9).count() == 0
+    with pytest.raises(ValueError):
+        graph.near_links(df, 0.1, most_tables=10)
+
+
 def _slow_matrix(v, k):
     """The slow way on sums of cosines between lists, fast enough for a table."""
     n = np.linalg.norm(v, axis=1, keepdims=True)
