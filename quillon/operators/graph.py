@@ -8,6 +8,7 @@ node's list grew. Parallel edges and loops are kept.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -206,12 +207,14 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def expand(seeds: DataFrame, adj: DataFrame, hops: int = 2) -> DataFrame:
     """(id): the seeds and all nodes at most `hops` links away."""
-    step = adj.select("id", "nb")
-    front = reached = seeds.select("id").distinct()
-    for _ in range(hops):
-        front = front.join(step, "id").select(F.col("nb").alias("id")).distinct()
-        reached = reached.union(front).distinct()
-    return reached
+    step, front = adj.select("id", "nb"), seeds.select("id")
+    reached = [front]
+    for i in range(hops):
+        front = front.join(step, "id").select(F.col("nb").alias("id"))
+        if i + 1 < hops:
+            front = front.distinct()
+        reached.append(front)
+    return reduce(DataFrame.union, reached).distinct()
 
 
 def knn(nodes: DataFrame, query: list[float], k: int) -> DataFrame:
@@ -233,10 +236,11 @@ def similar_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
     return _block_pairs(nodes, Scratch(nodes.sparkSession)).groupBy("i", "j").applyInArrow(run, "a long, b long, sim double")
 
 
-def heap_layout(nodes: DataFrame, run: int = 65536) -> DataFrame:
-    """(id, data_len, data_offset): where each content would lie if all were laid end to end, by runs of ids so that no task sees all."""
-    rows = nodes.select("id", F.octet_length("content").cast("long").alias("data_len")).withColumn("run", F.floor(F.col("id") / run))
-    totals = rows.groupBy("run").agg(F.sum("data_len").alias("all"))
-    before = totals.select("run", F.coalesce(F.sum("all").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row for each run
+def heap_layout(nodes: DataFrame) -> DataFrame:
+    """(id, data_len, data_offset): where each content would lie if all were laid end to end, by ranges of ids so that no task sees all."""
+    rows = nodes.select("id", F.octet_length("content").cast("long").alias("data_len"))
+    placed = Scratch(nodes.sparkSession).save(rows.repartitionByRange("id").withColumn("run", F.spark_partition_id()))
+    totals = placed.groupBy("run").agg(F.sum("data_len").alias("all"))
+    before = totals.select("run", F.coalesce(F.sum("all").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row for each range
     inside = F.coalesce(F.sum("data_len").over(Window.partitionBy("run").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(before, "run").select("id", "data_len", (F.col("base") + inside).alias("data_offset"))
+    return placed.join(F.broadcast(before), "run").select("id", "data_len", (F.col("base") + inside).alias("data_offset"))
