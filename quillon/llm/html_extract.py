@@ -49,9 +49,9 @@ class Pages:
         self.number = mix(span_hash(_BYTE[raw], at[:-1], at[1:]) ^ self.scope).view(np.int64)
 
 
-def _pages(batches):
+def _pages(batches, most: int = 1 << 21):
     for b in batches:
-        for i, k in chunks(b.column(2)):
+        for i, k in chunks(b.column(2), most):
             yield Pages(b.slice(i, k))
 
 
@@ -151,7 +151,7 @@ def _texts(parts: int):
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=6)
-        for p in _pages(batches):
+        for p in _pages(batches, 1 << 22):  # more pages to a blob are smaller together
             raw, at = buffers(p.text)
             known = p.ids.is_valid().to_numpy(zero_copy_only=False)
             ids = p.ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
