@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +83,28 @@ def tooltips(nodes: DataFrame, members: DataFrame, hits: DataFrame) -> DataFrame
     return rows.select("id", title.alias("title"), shown.alias("display_label"))
 
 
+def html_report(nodes: DataFrame, edges: DataFrame, members: DataFrame, hits: DataFrame, highlighted: list[int] = (), least: int = 0) -> str:
+    """A page that draws a graph which a viewer can show: nodes in circles by cluster, coloured, sized and explained as the other functions say.
+
+    nodes has a life score; hits: (rank, id, score); members: of root clusters.
+    """
+    kept = nodes.where(F.col("significance") >= least)
+    rows = circular_layout(kept, members).join(node_style(kept, hits, list(highlighted), members, least), "id").join(tooltips(kept, members, hits), "id")
+    rows = rows.join(members.select(F.col("node_id").alias("id"), "cluster_id"), "id", "left").join(palette(members).withColumnRenamed("colour", "own"), "cluster_id", "left").join(hit_colours(hits), "id", "left")
+    fill = F.when(F.col("kind") == "search_hit", F.col("colour")).when(F.col("kind") == "highlighted", "#00FFFF").otherwise(F.coalesce("own", F.lit(GREY)))
+    drawn = rows.select("id", "x", "y", "ui_size", "title", "display_label", fill.alias("fill")).orderBy("id").collect()
+    at = {r["id"]: (r["x"], r["y"]) for r in drawn}
+    lines = edge_style(edges, kept, hits, least).orderBy("source", "target").collect()
+    legend_rows = palette(members).orderBy("cluster_id").collect()
+    safe = html.escape
+    svg = [f'<line x1="{at[r["source"]][0]:.1f}" y1="{at[r["source"]][1]:.1f}" x2="{at[r["target"]][0]:.1f}" y2="{at[r["target"]][1]:.1f}" stroke="{r["colour"]}"/>' for r in lines]
+    svg += [f'<circle cx="{r["x"]:.1f}" cy="{r["y"]:.1f}" r="{r["ui_size"]:.1f}" fill="{r["fill"]}"><title>{safe(r["display_label"])}\n{safe(r["title"])}</title></circle>' for r in drawn]
+    keys = [("#FFD700", "Search results"), ("#00FFFF", "Highlighted clusters"), (GREY, "Unclustered nodes"), *((r["colour"], f"Cluster {r['cluster_id']}") for r in legend_rows)]
+    legend_html = "".join(f'<li><span style="background:{c}"></span>{safe(t)}</li>' for c, t in keys)
+    style = "body{margin:0;background:#111;color:#eee;font:12px monospace}ul{position:fixed;left:1em;bottom:1em;list-style:none}li span{display:inline-block;width:1em;height:1em;margin-right:.6em}"
+    return f'<!doctype html><meta charset="utf-8"><title>Graph</title><style>{style}</style><p>{len(drawn)} nodes, {len(lines)} links</p><svg viewBox="-450 -450 900 900">{"".join(svg)}</svg><ul>{legend_html}</ul>'
+
+
 def edge_style(edges: DataFrame, nodes: DataFrame, hits: DataFrame, least: int = 0) -> DataFrame:
     """(source, target, colour): both ends are kept nodes; gold where one is a hit."""
     kept = nodes.where(F.col("significance") >= least).select("id")
@@ -99,7 +123,7 @@ def context(hits: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def snapshot_event(nodes: DataFrame, edges: DataFrame, clusters: DataFrame, members: DataFrame) -> DataFrame:
     """(event): JSON {"type": "graph_snapshot", "data": {nodes, edges, clusters}}; for graphs that a viewer can show."""
-    n = server_nodes(nodes, clusters, members).agg(F.array_sort(F.collect_list(F.struct("id", "label", "content", "significance", "cluster_id", F.col("colour").alias("color")))).alias("nodes"))
+    n = server_nodes(nodes, clusters, members).agg(F.array_sort(F.collect_list(F.struct("id", "label", "content", "significance", "cluster_id", F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.col("colour").alias("color")))).alias("nodes"))
     e = edges.select(F.least("src", "dst").alias("source"), F.greatest("src", "dst").alias("target")).distinct().agg(F.array_sort(F.collect_list(F.struct("source", "target"))).alias("edges"))
     c = legend(clusters).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("cluster_id").cast("string"), F.struct(F.col("cluster_id").alias("id"), F.col("colour").alias("color"), "node_count", "significance"))))).alias("clusters"))
     data = F.struct("nodes", "edges", "clusters")

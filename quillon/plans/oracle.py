@@ -129,6 +129,10 @@ select distinct least(src, dst) as source, greatest(src, dst) as target, case wh
 select 'node_added' as type, '{"id":' || id || ',"significance":' || significance || '}' as data from nodes, many where id >= old
 union all select distinct 'edge_added', '{"source":' || least(src, dst) || ',"target":' || greatest(src, dst) || '}' from links, many where greatest(src, dst) >= old
 union all select 'cluster_updated', '{"id":' || significance || ',"node_count":' || count(*) || '}' from nodes, many group by significance, old having count(*) <> count(*) filter (id < old)""".lstrip()),
+    "event_fold": _sql(f"{_CLUSTERS} links legend", f""", painted as (select cluster_id, {_COLOUR} as colour from legend), many as (select max(id) + 1 - (max(id) + 1) // 10 as old from nodes)
+select 'node' as kind, id, null::bigint as target, case when id < old then colour end as color from nodes join painted on cluster_id = significance, many
+union all select distinct 'edge', least(src, dst), greatest(src, dst), null from links
+union all select 'cluster', cluster_id, null, colour from painted""".lstrip()),
     "cluster_palette": _sql("nodes members", f"select cluster_id, {_PALETTE} as colour from (select cluster_id, (row_number() over (order by cluster_id) - 1) / count(*) over ()::double as hue from (select distinct cluster_id from members))"),
     "hit_colours": _sql("nodes q0", f"select id, printf('#%02x%02x%02x', 255, cast(round_even((1.0::double - (r - 1) / 10.0::double * 0.5::double) * 0.8::double * 255, 0) as int), 0) as colour from (select id, row_number() over (order by {_cos('q.q', 'v')} desc, id) as r from nodes, q) where r <= 10"),
     "node_tooltips": _sql("nodes q0 life", f"""select id, 'Node ' || id || chr(10) || case when r <= 10 then printf('\U0001f3af Search Score: %.3f', s) || chr(10) else '' end || 'Cluster: ' || case when significance = 0 then 'None' else significance::varchar end || chr(10) || 'Significance: ' || significance || '/9' || chr(10) || printf('Life Score: %.2f', life) || chr(10) || '---' || chr(10) || left(content, 100) || '...' as title,

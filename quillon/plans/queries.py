@@ -290,6 +290,21 @@ def delta_events(spark, d):
     return ingest.events(_state(spark, d, many - many // 10), _state(spark, d, many))
 
 
+def event_fold(spark, d):
+    """What a viewer has after the snapshot of all nodes but the last tenth and the events that follow."""
+    many = T.vectors(spark, d).agg(F.max("id") + 1).first()[0]
+    upto = many - many // 10
+    old, new = _state(spark, d, upto), _state(spark, d, many)
+    clusters, members = T.clusters(spark, d)
+    edges = old["edges"].select(F.lit(0).alias("seq"), F.col("source").alias("src"), F.col("target").alias("dst"))
+    first = export.snapshot_event(T.nodes(spark, d).where(F.col("id") < upto), edges, clusters, members)
+    head = first.select(F.lit(0).cast("long").alias("seq"), F.lit("graph_snapshot").alias("type"), F.get_json_object("event", "$.data").alias("data"))
+    after = ingest.events({**old, "clusters": new["clusters"]}, new).select(F.lit(1).cast("long").alias("seq"), "type", "data")
+    folded = ingest.fold_events(head.union(after))
+    nodes = folded["nodes"].select(F.lit("node").alias("kind"), "id", F.lit(None).cast("long").alias("target"), "color")
+    return nodes.union(folded["edges"].select(F.lit("edge"), "source", "target", F.lit(None).cast("string"))).union(folded["clusters"].select(F.lit("cluster"), "id", F.lit(None).cast("long"), "color"))
+
+
 def cluster_palette(spark, d):
     _, members = T.clusters(spark, d)
     return export.palette(members)
@@ -316,6 +331,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         life_score, vacuum_candidates, bio_score, graph_score, coherence, access_update, hybrid_search_index, hybrid_search_clustered, hybrid_search_no_match, cluster_candidates, cluster_score,
         cluster_list, cluster_centroids, cluster_anchors, cluster_significance, cluster_stats, cluster_cohesion, cluster_search, node_clusters, deepest_cluster, cluster_tree_text, cluster_legend,
         cluster_colors, graph_nodes_library, graph_nodes_export, graph_stats, circular_layout, node_style, edge_style, rag_context, snapshot_event, agglomerative_flat, cluster_hierarchy,
-        snapshot_roundtrip, stream_ingest, delta_events, similarity_to_all, cluster_palette, hit_colours, node_tooltips,
+        snapshot_roundtrip, stream_ingest, delta_events, similarity_to_all, event_fold, cluster_palette, hit_colours, node_tooltips,
     )
 }

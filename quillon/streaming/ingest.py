@@ -75,3 +75,31 @@ def publish(stream: DataFrame, state, sink, checkpoint: str, available_now: bool
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+NODE = "id long, label string, content string, significance int, cluster_id long, color string"
+CLUSTER = "id long, color string, node_count long, significance double"
+DATA = f"struct<nodes:array<struct<{NODE.replace(' ', ':').replace(',:', ',')}>>,edges:array<struct<source:long,target:long>>,clusters:map<string,struct<{CLUSTER.replace(' ', ':').replace(',:', ',')}>>>"
+
+
+def fold_events(events: DataFrame) -> dict[str, DataFrame]:
+    """{nodes, edges, clusters} as a viewer has them after events (seq, type, data), in the order of seq.
+
+    A graph_snapshot replaces all that was before; node_added and edge_added
+    add what isn't there yet (of a node that is, the first stays; a link counts
+    whichever way it points); cluster_updated changes a cluster and the colour
+    of its nodes. Other types change nothing.
+    """
+    last = events.where("type = 'graph_snapshot'").agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("since"))  # one row
+    rows = events.crossJoin(F.broadcast(last)).where("seq >= since").select("seq", "type", "data")
+    of = lambda kind, schema: rows.where(F.col("type") == kind).select("seq", F.from_json("data", schema).alias("x"))
+    snapshot = of("graph_snapshot", DATA)
+    nodes = snapshot.select("seq", F.explode("x.nodes").alias("x")).union(of("node_added", NODE)).select("seq", "x.*").groupBy("id").agg(F.min_by(F.struct("label", "content", "significance", "cluster_id", "color"), "seq").alias("x"), F.min("seq").alias("since")).select("id", "x.*", "since")
+    edges = snapshot.select(F.explode("x.edges").alias("x")).union(of("edge_added", "source long, target long").select("x"))
+    edges = edges.select(F.least("x.source", "x.target").alias("source"), F.greatest("x.source", "x.target").alias("target")).distinct()
+    updates = of("cluster_updated", CLUSTER).select("seq", "x.*")
+    clusters = snapshot.select("seq", F.explode(F.map_values("x.clusters")).alias("x")).select("seq", "x.*").union(updates)
+    clusters = clusters.groupBy("id").agg(F.max_by(F.struct("color", "node_count", "significance"), "seq").alias("x")).select("id", "x.*")
+    recolour = updates.groupBy(F.col("id").alias("cluster_id")).agg(F.max_by("color", "seq").alias("new"), F.max("seq").alias("at"))
+    nodes = nodes.join(recolour, "cluster_id", "left").select("id", "label", "content", "significance", "cluster_id", F.when(F.col("at") > F.col("since"), F.col("new")).otherwise(F.col("color")).alias("color"))
+    return {"nodes": nodes, "edges": edges, "clusters": clusters}

@@ -223,6 +223,87 @@ def test_events_and_their_sink(spark, tmp_path):
     assert seen == [["cluster_updated", "cluster_updated", "edge_added", "node_added", "node_added"], ["cluster_updated", "edge_added", "node_added", "refresh"]]
 
 
+def test_the_fold_is_that_of_single_events(spark):
+    import json
+    import random
+
+    from quillon.streaming import ingest
+
+    rng = random.Random(4)
+    node = lambda i: {"id": i, "label": f"l{i}", "content": f"c{rng.random()}", "significance": 3, "cluster_id": rng.choice([1, 2, None]), "color": f"#{rng.randint(0, 9)}"}
+    cluster = lambda c: {"id": c, "color": f"#{rng.randint(0, 99)}", "node_count": rng.randint(1, 9), "significance": 0.5}
+    events = []
+    for seq in range(60):
+        kind = "graph_snapshot" if seq in (0, 20) else rng.choice(["node_added", "edge_added", "cluster_updated", "refresh", "other"])
+        data = {"graph_snapshot": lambda: {"nodes": [node(i) for i in range(5)], "edges": [{"source": 0, "target": 1}], "clusters": {str(c): cluster(c) for c in (1, 2)}}, "node_added": lambda: node(rng.randint(0, 12)), "edge_added": lambda: dict(zip(("source", "target"), rng.sample(range(6), 2))), "cluster_updated": lambda: cluster(rng.choice([1, 2, 3]))}.get(kind, lambda: None)()
+        events.append((seq, kind, None if data is None else json.dumps(data)))
+    nodes, edges, clusters = {}, set(), {}
+    for _, kind, data in events:
+        x = data and json.loads(data)
+        if kind == "graph_snapshot":
+            nodes, edges, clusters = {n["id"]: n for n in x["nodes"]}, {(0, 1)}, {int(c): v for c, v in x["clusters"].items()}
+        elif kind == "node_added":
+            nodes.setdefault(x["id"], x)
+        elif kind == "edge_added":
+            edges.add((min(x.values()), max(x.values())))
+        elif kind == "cluster_updated":
+            clusters[x["id"]] = x
+            for n in nodes.values():
+                if n["cluster_id"] == x["id"]:
+                    n["color"] = x["color"]
+    got = ingest.fold_events(spark.createDataFrame(events, "seq long, type string, data string"))
+    assert sorted((r.asDict() for r in got["nodes"].collect()), key=lambda n: n["id"]) == [nodes[i] for i in sorted(nodes)]
+    assert {tuple(r) for r in got["edges"].collect()} == edges
+    assert sorted((r.asDict() for r in got["clusters"].collect()), key=lambda c: c["id"]) == [clusters[c] for c in sorted(clusters)]
+
+
+def test_server_and_report(store, spark, tmp_path):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from quillon.operators import export
+    from quillon.sinks import serve
+
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "index.html").write_text("hello")
+    state = serve.State(spark, store.path)
+    s = serve.server(state, 0, "127.0.0.1", str(tmp_path / "files"))
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{s.server_port}"
+    get = lambda p: urllib.request.urlopen(at + p, timeout=60)
+    try:
+        with pytest.raises(urllib.error.HTTPError) as e:
+            get("/api/stats")  # nothing is saved yet
+        assert e.value.code == 500
+        store.add_nodes([(t, v, 5) for t, v in (("a <b>", [1, 0]), ("b", [1, 0.1]), ("c", [0, 1]))], as_of=0)
+        store.build_clusters(2)
+        store.save()
+        assert json.load(get("/api/stats")) == {"node_count": 3, "edge_count": 1, "cluster_count": 2}
+        graph_now = json.load(get("/api/graph"))
+        assert [n["id"] for n in graph_now["nodes"]] == [0, 1, 2] and graph_now["edges"] == [{"source": 0, "target": 1}] and graph_now["nodes"][0]["x"] is None
+        assert set(json.load(get("/api/clusters"))) == {"0", "1"} and get("/").read() == b"hello" and get("/api/graph").headers["Access-Control-Allow-Origin"] == "*"
+        events = get("/events")
+        first = json.loads(events.readline()[6:])
+        assert first["type"] == "graph_snapshot" and len(first["data"]["nodes"]) == 3 and events.readline() == b"\n"
+        store.set_server_url(at)
+        store.add_node("d", [0, 1], 2)
+        store.save()  # tells the server, and that its listeners
+        assert len(json.loads(events.readline()[6:])["data"]["nodes"]) == 4
+        hub = serve.Hub()
+        mine = hub.join()
+        for i in range(serve.BEHIND + 5):
+            hub.send(str(i))
+        assert mine.get() == "5"
+    finally:
+        s.shutdown()
+    members = store._members.where("cluster_id = root_id")
+    hits = spark.createDataFrame([(1, 0, 0.9)], "rank long, id long, score double")
+    page = export.html_report(ranking.with_life(store.nodes, 3600), store.edges, members, hits, [1])
+    assert page.count("<circle") == 4 and page.count("<line") == 2 and "a &lt;b&gt;" in page and "Cluster 1" in page
+
+
 def test_notices(store):
     """A server of our own is told of each save, unless that is switched off."""
     import http.server
