@@ -106,7 +106,17 @@ classes as (select reach.h, min(doc_id) as class_id from reach join heads on hea
 select distinct s.doc_id, c.class_id, l.links::bigint as n_links, l.best::double as jaccard from sets s join heads h on h.s = s.s join linked l on l.h = h.h join classes c on c.h = h.h
 """
 
+_NEAR = """
+with recursive v as (select vec_id as id, min(embedding::double[]) as v from embeddings where vec_id is not null and len(embedding) > 0 group by vec_id),
+near as (select a.id as a, b.id as b, list_cosine_similarity(a.v, b.v) as c from v a join v b on a.id <> b.id where list_cosine_similarity(a.v, b.v) >= 0.9),
+reach(id, r) as (select distinct a, a from near union select reach.id, near.b from reach join near on near.a = reach.r),
+groups as (select id, min(r) as group_id from reach group by id),
+ranked as (select *, row_number() over (partition by a order by c desc, b) as place, count(*) over (partition by a) as n from near)
+select a as vec_id, group_id, b as nearest_id, round(c, 6) as cosine, n as n_links from ranked join groups on id = a where place = 1
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_hnsw_dedup": _NEAR,
     "op1_url_filter": url_filter_sql(),
     "op5_suffix_dedup": _PASSAGES,
     "op10_ngram_join": _CLASSES,

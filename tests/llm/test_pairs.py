@@ -460,7 +460,13 @@ def test_groups_are_those_of_brute_force(spark, shard_rows):
     want = _slow_groups(list(range(len(x))), x.astype(np.float32).astype(np.float64), 0.95)
     found = {r["vec_id"]: r["group_id"] for r in got}
     assert sum(found.get(k) == v for k, v in want.items()) >= 0.98 * len(want) and set(found) <= set(want)
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.95).sum(axis=1) - 1
+    small = [r for r in got if links[r["vec_id"]] <= 12]
+    assert all(r["n_links"] <= links[r["vec_id"]] for r in got) and sum(r["n_links"] == links[r["vec_id"]] for r in small) >= 0.98 * len(small) > 90
     by = {r["vec_id"]: r for r in got}
+    assert all(by[i]["n_links"] >= 19 for i in range(700, 720))
     assert by[705]["nearest_id"] == 700 and by[700]["nearest_id"] == 701 and by[700]["cosine"] == 1.0
 
 
