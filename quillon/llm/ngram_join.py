@@ -451,7 +451,7 @@ class _Groups:
         mixed = placed.repartition(parts, "tok").mapInArrow(lean(_crossing(threshold)), "a long, b long, c long, need long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need"))
         crossing = scratch.save(mixed.where("c >= need").select("a", "b"))
         scratch.sweep(posted)
-        found = scratch.save(components(stars.union(crossing), scratch))
+        found = scratch.save(components(groups.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(crossing), scratch))
         scratch.drop(posted, stars, crossing, groups, several)
         grouped = send(sized(found, "node", found.count()))
         rows = docs.where("text is not null").withColumn("sig", F.xxhash64("text"))

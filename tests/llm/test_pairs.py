@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from quillon.llm import hnsw_dedup, ngram_join, suffix_dedup
+from quillon.llm import _graph, hnsw_dedup, ngram_join, suffix_dedup
 from quillon.llm._graph import components
 from quillon.llm.decontaminate import Canonical, contamination, drop_contaminated
 from quillon.session import Scratch
@@ -72,6 +72,31 @@ def test_components(spark):
     assert got == {x: root(x) for x in parent if any(x in e and e[0] != e[1] and None not in e for e in edges)}
 
 
+@pytest.mark.parametrize("edges", [1 << 20, 64, 3])
+def test_forests_connect_what_their_edges_connect(monkeypatch, edges):
+    monkeypatch.setattr(_graph, "EDGES", edges)
+    rng = np.random.default_rng(edges)
+    for nodes, many in ((40, 30), (300, 200), (300, 5000), (2, 9)):
+        u, v = rng.integers(-nodes, nodes, many), rng.integers(-nodes, nodes, many)
+        u, v = np.append(u[u != v], 10_000 + np.arange(200)), np.append(v[u != v], 10_001 + np.arange(200))
+        batches = [pa.RecordBatch.from_arrays([pa.array(u[i : i + 50]), pa.array(v[i : i + 50])], names=["u", "v"]) for i in range(0, len(u), 50)]
+        got = list(_graph._contract(iter(batches)))
+        x, y = np.concatenate([b.column(0).to_numpy() for b in got]), np.concatenate([b.column(1).to_numpy() for b in got])
+        assert (x > y).all() and (edges < 1 << 20 or len(x) < len(np.unique(np.append(u, v))))
+
+        def least(a, b):
+            label = {int(n): int(n) for n in np.append(u, v)}
+            while True:
+                before = dict(label)
+                for i, j in zip(a.tolist(), b.tolist()):
+                    label[i] = label[j] = min(label[i], label[j])
+                if label == before:
+                    return label
+
+        assert least(x, y) == least(u, v)
+    assert list(_graph._contract(iter([]))) == []
+
+
 # n-gram Jaccard join
 
 
