@@ -508,6 +508,21 @@ def test_groups_of_the_whole_table_are_those_of_brute_force(spark, data):
         assert want or t == 0.9
 
 
+@pytest.mark.parametrize("n", [1500, 6000])
+def test_a_vector_asks_few_shards(spark, monkeypatch, n):
+    """As many whatever their number; and the links of a group larger than a beam are whole."""
+    x, asked, ask = _vectors(3, n=n), [], hnsw_dedup._asks
+    monkeypatch.setattr(hnsw_dedup, "_asks", lambda *a: (asked.append(ask(*a).count()), ask(*a))[1])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: (r["group_id"], r["n_links"]) for r in hnsw_dedup.near_duplicates(df, 0.95, beam=16, shard_rows=100).collect()}
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.95).sum(axis=1) - 1
+    want = _slow_groups(list(range(n)), u, 0.95)
+    assert sum(got.get(k) == (v, links[k]) for k, v in want.items()) >= 0.97 * len(want) and set(got) <= set(want)
+    assert len(asked) == 1 and asked[0] <= 8 * n
+
+
 def test_the_audit_sees_small_groups(spark):
     truth = spark.createDataFrame([(1, b) for b in range(100, 200)] + [(2, 3), (4, 5)], "a long, b long")
     found = spark.createDataFrame([(1, 100), (5, 9)], "a long, b long")
