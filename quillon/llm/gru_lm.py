@@ -41,6 +41,8 @@ LETTERS = np.unique(_LOWER[np.flatnonzero(_WORD)])
 SIGNS, BOUND = len(LETTERS) + 1, len(LETTERS)
 _SIGN = np.searchsorted(LETTERS, _LOWER).astype(np.int64)
 BACKOFF = 4.0
+#: Exponentials of numbers below this are summed as they are.
+LARGE = 40.0
 
 
 @dataclass
@@ -126,36 +128,38 @@ class Vocabulary:
 
     def tokens(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, offsets): each text's words after BEGIN."""
-        got = [self._tokens(column.slice(i, k)) for i, k in chunks(column)]
-        sizes = [np.diff(o) for _, o in got]
-        none = np.zeros(0, dtype=np.int32)
-        return np.concatenate([*(t for t, _ in got), none]).astype(np.int32), np.concatenate(([0], np.cumsum(np.concatenate([*sizes, none])))).astype(np.int64)
-
-    def others(self, w: Words) -> np.ndarray:
-        """Which words are outside the vocabulary."""
-        return np.flatnonzero(self.table.get((w.hash >> U64(1)).astype(np.int64)) < 0)
+        return self.read(column, False)[:2]
 
     def spelled(self, column: pa.Array) -> np.ndarray:
         """Log-likelihood of how each text's words outside the vocabulary are spelled."""
-        out = np.zeros(len(column))
+        return self.read(column)[2]
+
+    def read(self, column: pa.Array, spell: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens, offsets, log-likelihood of the spelling of words outside the vocabulary, if asked for) of each text."""
+        tokens, sizes, spelled = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)], np.zeros(len(column))
         for i, k in chunks(column):
             w = Words(column.slice(i, k))
-            other = self.others(w)
-            out[i : i + k] = np.bincount(np.searchsorted(w.bounds, other, side="right") - 1, self.spelling.words(w.raw, w.starts[other], w.ends[other]), minlength=k)
-        return out
-
-    def _tokens(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        w = Words(column)
-        got = self.table.get((w.hash >> U64(1)).astype(np.int64))
-        shape = 2 + np.minimum(w.ends - w.starts, SHAPES) - 1
-        got = np.where(got >= 0, got, shape).astype(np.int32)
-        k = len(column)
-        offsets = w.bounds + np.arange(k + 1)
-        out = np.zeros(len(got) + k, dtype=np.int32)
-        place = np.ones(len(out), dtype=bool)
-        place[offsets[:-1]] = False
-        out[place] = got
-        return out, offsets
+            got = self._known(w)
+            if spell:
+                other = np.flatnonzero(got < 0)
+                spelled[i : i + k] = np.bincount(np.searchsorted(w.bounds, other, side="right") - 1, self.spelling.words(w.raw, w.starts[other], w.ends[other]), minlength=k)
+            got = np.where(got >= 0, got, 2 + np.minimum(w.ends - w.starts, SHAPES) - 1)
+            offsets = w.bounds + np.arange(k + 1)
+            out = np.full(len(got) + k, BEGIN, dtype=np.int32)
+            place = np.ones(len(out), dtype=bool)
+            place[offsets[:-1]] = False
+            out[place] = got
+            tokens.append(out)
+            sizes.append(np.diff(offsets))
+        return np.concatenate(tokens), np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int64), spelled
+
+    def others(self, w: Words) -> np.ndarray:
+        """Which words are outside the vocabulary."""
+        return np.flatnonzero(self._known(w) < 0)
+
+    def _known(self, w: Words) -> np.ndarray:
+        """The words' tokens, less than 0 outside the vocabulary."""
+        return self.table.get((w.hash >> U64(1)).astype(np.int64))
 
 
 def fresh(vocabulary: Vocabulary, hidden: int = HIDDEN, seed: int = 11) -> dict[str, np.ndarray]:
@@ -167,57 +171,73 @@ def fresh(vocabulary: Vocabulary, hidden: int = HIDDEN, seed: int = 11) -> dict[
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x = np.tanh(x * x.dtype.type(0.5))
+    x = x * x.dtype.type(0.5)
+    np.tanh(x, out=x)
     x += 1
     x *= x.dtype.type(0.5)
     return x
 
 
-def step(p: dict, h: np.ndarray, tokens: np.ndarray) -> tuple:
-    """The next state, and what the way back needs."""
+def step(p: dict, h: np.ndarray, tokens: np.ndarray, g: np.ndarray | None = None) -> tuple:
+    """The next state, and what the way back needs; g: the tokens' rows of x, if they are there."""
     k = h.shape[1]
-    g, hu = p["x"][tokens], h @ p["u"]
+    g, hu = p["x"].take(tokens, axis=0) if g is None else g, h @ p["u"]
     zr = _sigmoid(g[:, : 2 * k] + hu[:, : 2 * k])
     z, r, hun = zr[:, :k], zr[:, k:], hu[:, 2 * k :]
-    n = np.tanh(g[:, 2 * k :] + r * hun)
-    return n + z * (h - n), z, r, n, hun
+    n = r * hun
+    n += g[:, 2 * k :]
+    np.tanh(n, out=n)
+    after = h - n
+    after *= z
+    after += n
+    return after, z, r, n, hun
+
+
+def _exps(logits: np.ndarray, at: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of the exponentials, log-likelihood of column `at` of each row); logits become their exponentials, less each row's maximum where one is large."""
+    if not (logits.max() < LARGE and logits.min() > -LARGE):
+        logits -= logits.max(axis=1, keepdims=True)
+    own = logits[np.arange(len(at)), at]
+    np.exp(logits, out=logits)
+    total = logits @ ones[: logits.shape[1]]
+    return total, own - np.log(total)
 
 
 def likelihood(p: dict, vocabulary: Vocabulary, h: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """(log-likelihood of each target after its state, gradient of the states); adds to grads."""
     c = vocabulary.class_of[target]
-    logits = h @ p["wc"] + p["bc"]
-    logits -= logits.max(axis=1, keepdims=True)
-    e = np.exp(logits)
-    total = e.sum(axis=1)
-    out = logits[np.arange(len(h)), c] - np.log(total)
+    ones = np.ones(max(len(h), len(vocabulary)), dtype=h.dtype)
+    e = h @ p["wc"]
+    e += p["bc"]
+    total, out = _exps(e, c, ones)
     dh = None
     if grads is not None:
-        e /= -total[:, None]
+        e *= (-1 / total)[:, None]
         e[np.arange(len(h)), c] += 1
         grads["wc"] += h.T @ e
-        grads["bc"] += e.sum(axis=0)
+        grads["bc"] += ones[: len(h)] @ e
         dh = e @ p["wc"].T
     order = np.argsort(c.astype(np.int16), kind="stable")
-    cut = np.searchsorted(c[order], np.arange(len(vocabulary.class_at)))
-    for k in range(FIXED, len(vocabulary.class_at) - 1):
-        rows = order[cut[k] : cut[k + 1]]
-        lo, hi = vocabulary.class_at[k], vocabulary.class_at[k + 1]
-        if not len(rows) or hi - lo == 1:
+    cut = np.searchsorted(c[order], np.arange(len(vocabulary.class_at))).tolist()
+    by, to = h.take(order, axis=0), target[order]
+    part, back = np.zeros(len(h), dtype=out.dtype), np.zeros_like(h)
+    for k, (lo, hi) in enumerate(zip(vocabulary.class_at[:-1].tolist(), vocabulary.class_at[1:].tolist())):
+        x, y = cut[k], cut[k + 1]
+        if k < FIXED or x == y or hi - lo == 1:
             continue
-        own = h[rows]
-        logits = own @ p["ww"][lo:hi].T + p["bw"][lo:hi]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        at = target[rows] - lo
-        out[rows] += logits[np.arange(len(rows)), at] - np.log(total)
+        own, at = by[x:y], to[x:y] - lo
+        e = own @ p["ww"][lo:hi].T
+        e += p["bw"][lo:hi]
+        total, part[x:y] = _exps(e, at, ones)
         if grads is not None:
-            e /= -total[:, None]
-            e[np.arange(len(rows)), at] += 1
+            e *= (-1 / total)[:, None]
+            e[np.arange(y - x), at] += 1
             grads["ww"][lo:hi] += e.T @ own
-            grads["bw"][lo:hi] += e.sum(axis=0)
-            dh[rows] += e @ p["ww"][lo:hi]
+            grads["bw"][lo:hi] += ones[: y - x] @ e
+            np.matmul(e, p["ww"][lo:hi], out=back[x:y])
+    out[order] += part
+    if grads is not None:
+        dh[order] += back
     return out, dh
 
 
@@ -232,33 +252,41 @@ def window_gradient(p: dict, vocabulary: Vocabulary, h: np.ndarray, tokens: np.n
 def _window_gradient(p: dict, vocabulary: Vocabulary, h: np.ndarray, tokens: np.ndarray, target: np.ndarray) -> tuple[float, dict, np.ndarray, np.ndarray]:
     """The same with the gradient of x for the window's own tokens alone, the rows that come behind it: all others are 0."""
     grads = {k: np.zeros_like(v) for k, v in p.items() if k != "x"}
-    k, steps = h.shape[1], len(tokens)
-    kept, states = [], []
+    k, steps, lanes = h.shape[1], len(tokens), len(h)
+    goes_on = (tokens != BEGIN)[:, :, None].astype(h.dtype)
+    g = p["x"].take(tokens, axis=0)
+    before, z, r, n, hun, states = (np.empty((steps, lanes, k), dtype=h.dtype) for _ in range(6))
     for t in range(steps):
-        h = np.where(tokens[t][:, None] == BEGIN, np.float32(0), h)
-        after, *parts = step(p, h, tokens[t])
-        kept.append((h, *parts))
-        states.append(after)
-        h = after
-    out, dout = likelihood(p, vocabulary, np.concatenate(states), target.ravel(), grads)
-    dout = dout.reshape(steps, len(h), k)
-    dg = np.empty((steps, len(h), 3 * k), dtype=np.float32)
+        np.multiply(h, goes_on[t], out=before[t])
+        h, z[t], r[t], n[t], hun[t] = step(p, before[t], tokens[t], g[t])
+        states[t] = h
+    out, dout = likelihood(p, vocabulary, states.reshape(-1, k), target.ravel(), grads)
+    dout = dout.reshape(steps, lanes, k)
+    # the factors of all steps at once; what is left to the loop is the way of dh
+    to_n = (1 - z) * (1 - n * n)
+    before_n = before - n
+    before_n *= z * (1 - z)
+    hun *= r * (1 - r)
+    du, dn = np.empty((steps, lanes, 3 * k), dtype=h.dtype), np.empty((steps, lanes, k), dtype=h.dtype)
     dh = np.zeros_like(h)
+    back = np.ascontiguousarray(p["u"].T)
     for t in range(steps - 1, -1, -1):
-        before, z, r, n, hun = kept[t]
-        dh = dh + dout[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * hun * r * (1 - r)
-        dg[t, :, :k], dg[t, :, k : 2 * k], dg[t, :, 2 * k :] = dz, dr, dn
-        du = np.concatenate((dz, dr, dn * r), axis=1)
-        grads["u"] += before.T @ du
-        dh = np.where(tokens[t][:, None] == BEGIN, np.float32(0), dh * z + du @ p["u"].T)
-    flat, dg = tokens.ravel(), dg.reshape(-1, 3 * k)
-    order = np.argsort(flat, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1])))
-    grads["x"] = np.add.reduceat(dg[order], first, axis=0)
-    return float(out.sum()), grads, flat[order][first], h
+        dh += dout[t]
+        np.multiply(dh, to_n[t], out=dn[t])
+        np.multiply(dh, before_n[t], out=du[t, :, :k])
+        np.multiply(dn[t], hun[t], out=du[t, :, k : 2 * k])
+        np.multiply(dn[t], r[t], out=du[t, :, 2 * k :])
+        dh *= z[t]
+        dh += du[t] @ back
+        dh *= goes_on[t]
+    grads["u"] += before.reshape(-1, k).T @ du.reshape(-1, 3 * k)
+    du[:, :, 2 * k :] = dn  # from here on the gradient of x
+    flat = tokens.ravel()
+    order = np.argsort(flat.astype(np.int16) if len(vocabulary) < 1 << 15 else flat, kind="stable")
+    flat = flat[order]
+    first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    grads["x"] = np.add.reduceat(du.reshape(-1, 3 * k).take(order, axis=0), first, axis=0)
+    return float(out.sum()), grads, flat[first], h
 
 
 class Trainer:
@@ -298,16 +326,18 @@ def score_tokens(p: dict, vocabulary: Vocabulary, tokens: np.ndarray, offsets: n
     size, at = size[order], offsets[:-1][order]
     out, less = np.zeros(len(size)), -size
     h = np.zeros((len(size), p["u"].shape[0]), dtype=np.float32)
-    t = 0
+    t, now = 0, tokens[at] if len(tokens) else tokens
     while len(size) and t < size[0]:
         states, target, who = [], [], []
         window = max(1, most // int(np.searchsorted(less, -t, side="left")))
         for s in range(t, min(t + window, int(size[0]))):
             live = int(np.searchsorted(less, -s, side="left"))
-            h = step(p, h[:live], tokens[at[:live] + s])[0]
+            h = step(p, h[:live], now[:live])[0]
             states.append(h)
-            more = size[:live] > s + 1
-            target.append(np.where(more, tokens[at[:live] + s + more], END))
+            on = int(np.searchsorted(less, -s - 1, side="left"))
+            now = np.full(live, END, dtype=tokens.dtype)
+            now[:on] = tokens[at[:on] + s + 1]
+            target.append(now)
             who.append(np.arange(live))
         ll, _ = likelihood(p, vocabulary, np.concatenate(states), np.concatenate(target))
         out += np.bincount(np.concatenate(who), ll, minlength=len(out))
@@ -320,8 +350,10 @@ def score_tokens(p: dict, vocabulary: Vocabulary, tokens: np.ndarray, offsets: n
 def _count(batches):
     """(hash, count) of a partition's words."""
     held, n = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
+    parts, waiting = [], 0
 
-    def merged(h, c):
+    def merged():
+        h, c = (np.concatenate(x) for x in zip((held, n), *parts))
         order = np.argsort(h, kind="stable")
         h, c = h[order], c[order]
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, dtype=np.int64)
@@ -334,10 +366,15 @@ def _count(batches):
     for b in batches:
         for i, k in chunks(b.column(0)):
             h, c = np.unique(Words(b.column(0).slice(i, k)).hash | U64(1), return_counts=True)
-            held, n = merged(np.concatenate((held, h)), np.concatenate((n, c)))
-            if len(held) > 1 << 21:
-                yield from out()
-                held, n = held[:0], n[:0]
+            parts.append((h, c))
+            waiting += len(h)
+            if waiting > max(1 << 18, len(held)):
+                held, n = merged()
+                parts, waiting = [], 0
+                if len(held) > 1 << 21:
+                    yield from out()
+                    held, n = held[:0], n[:0]
+    held, n = merged()
     yield from out()
 
 
@@ -362,8 +399,7 @@ def _spell(shared):
                 w = Words(b.column(0).slice(i, k))
                 other = vocabulary.others(w)
                 if len(other):
-                    key, n = np.unique(trigrams(w.raw, w.starts[other], w.ends[other])[0], return_counts=True)
-                    total[key] += n
+                    np.add.at(total, trigrams(w.raw, w.starts[other], w.ends[other])[0], 1)
         key = np.flatnonzero(total)
         for i in range(0, len(key), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 16)]), pa.array(total[key[i : i + (1 << 16)]])], names=["h", "n"])
@@ -464,8 +500,8 @@ def _scorer(shared):
         for b in batches:
             for i, k in chunks(b.column(1), 1 << 24):
                 rows = b.slice(i, k)
-                tokens, offsets = vocabulary.tokens(rows.column(1))
-                ll = score_tokens(p, vocabulary, tokens, offsets) + vocabulary.spelled(rows.column(1))
+                tokens, offsets, spelled = vocabulary.read(rows.column(1))
+                ll = score_tokens(p, vocabulary, tokens, offsets) + spelled
                 n = np.diff(offsets)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array((n - 1).astype(np.int64)), pa.array(np.round(ll, 4)), pa.array(np.round(np.exp(-ll / n), 4))], names=["doc_id", "n_words", "log_likelihood", "perplexity"])
 

@@ -409,6 +409,28 @@ def test_spellings_sum_to_one():
         assert abs(np.exp(one).sum() - 1) < 1e-4
 
 
+@pytest.mark.parametrize("scale", [1, 400])
+def test_scoring_reads_words_once_and_bears_large_weights(monkeypatch, scale):
+    words = gru_lm.Words(pa.array(["the cat sat on a mat"]))
+    v = gru_lm.Vocabulary(np.sort(words.hash | np.uint64(1)), np.arange(6, 0, -1))
+    p = {k: x * scale for k, x in gru_lm.fresh(v, 5).items()}
+    read = []
+    monkeypatch.setattr(gru_lm, "Words", lambda *a: (read.append(1), words.__class__(*a))[1])
+    texts = ["the cat sat", None, "", "A dog sat on the quite extraordinarily long mat"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(texts)], names=["doc_id", "text"])
+    (got,) = gru_lm._scorer(type("", (), {"value": (v, p)}))([batch])
+    assert len(read) == 1 and got.column(1).to_pylist() == [3, 0, 0, 9]
+    wide = {k: x.astype(np.float64) for k, x in p.items()}
+    softmax = lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum())
+    for text, ll in zip(texts, got.column(2).to_pylist()):
+        (tokens, _), want, h = v.tokens(pa.array([text or ""])), v.spelled(pa.array([text or ""]))[0], np.zeros((1, 5))
+        for now, then in zip(tokens, [*tokens[1:], gru_lm.END]):
+            h = gru_lm.step(wide, h, np.array([now]))[0]
+            c, lo = v.class_of[then], v.class_at[v.class_of[then]]
+            want += softmax(h[0] @ wide["wc"] + wide["bc"])[c] + softmax(wide["ww"][lo : v.class_at[c + 1]] @ h[0] + wide["bw"][lo : v.class_at[c + 1]])[then - lo]
+        assert abs(ll - want) < 1e-4 * max(1, abs(want))
+
+
 # URLs
 
 
