@@ -440,19 +440,21 @@ class _Groups:
         several = scratch.save(docs.where("doc is not null and text is not null").groupBy("doc").agg(F.min(F.xxhash64("text")).alias("x"), F.max(F.xxhash64("text")).alias("y")).where("x <> y").select("doc"))
         repeated = send(sized(several, "doc", several.count()))
         packed = docs.mapInArrow(lean(_emitter(n, threshold, longest, parts, shared, repeated)), "part int, facts boolean, blob binary")
-        posted = scratch.save(packed.repartitionById(parts, "part").mapInArrow(lean(_poster), _POSTED), by="kind")
+        posted = scratch.save(packed.repartitionById(parts, "part").mapInArrow(lean(_poster), _POSTED), by="kind", codec="zstd")
         scratch.sweep(posted)
         facts = posted.where("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("c").alias("p")).groupBy("doc").agg(F.max("n").alias("n"), F.max("p").alias("p"))
         stars = scratch.save(_enough(posted.where("kind = 1").groupBy("a", "b").agg(F.sum("c").alias("c")), facts, threshold))
         groups = scratch.save(components(stars, scratch))
         postings = posted.where("kind = 2").select(F.col("a").alias("tok"), F.col("b").alias("doc"))
         who = facts.join(groups.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("comp", "doc").alias("comp"), "n", "p")
-        placed = postings.join(who, "doc").select("tok", "doc", "comp", "n", "p")
+        # written between its two shuffles, so that the files of one are gone before those of the other are there
+        placed = scratch.save(postings.join(who, "doc").select("tok", "doc", "comp", "n", "p"), codec="zstd")
+        scratch.drop(posted)
         mixed = placed.repartition(parts, "tok").mapInArrow(lean(_crossing(threshold)), "a long, b long, c long, need long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need"))
         crossing = scratch.save(mixed.where("c >= need").select("a", "b"))
-        scratch.sweep(posted)
+        scratch.sweep(placed)
         found = scratch.save(components(groups.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(crossing), scratch))
-        scratch.drop(posted, stars, crossing, groups, several)
+        scratch.drop(placed, stars, crossing, groups, several)
         grouped = send(sized(found, "node", found.count()))
         rows = docs.where("text is not null").withColumn("sig", F.xxhash64("text"))
         sets = rows.mapInArrow(lean(_setter(n, grouped, repeated)), "doc long, sig long, key long, n long, k1 long, k2 long, grams binary").where("n > 0")

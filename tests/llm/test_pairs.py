@@ -3,11 +3,13 @@
 import random
 import re
 import string
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillon.llm import _graph, hnsw_dedup, ngram_join, suffix_dedup
@@ -523,6 +525,19 @@ def test_a_vector_asks_few_shards(spark, monkeypatch, n):
     assert len(asked) == 1 and asked[0] <= 8 * n
 
 
+def test_a_saved_table_leaves_no_shuffle_files(spark):
+    """Even while its plan is still referred to."""
+    files = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("|").split("|") if "shuffle_" in x}
+    before = files()
+    plan = spark.range(10_000).groupBy((F.col("id") % 997).alias("k")).count().repartition(3, "k")
+    saved = Scratch(spark).save(plan)
+    end = time.time() + 5
+    while files() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not files() - before
+    assert saved.count() == plan.count() == 997 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_the_audit_sees_small_groups(spark):
     truth = spark.createDataFrame([(1, b) for b in range(100, 200)] + [(2, 3), (4, 5)], "a long, b long")
     found = spark.createDataFrame([(1, 100), (5, 9)], "a long, b long")
