@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators.clustering import given
 from quillon.operators.graph import as_edges, auto_link
+from quillon.session import Scratch
 
 AS_OF = 1706659200
 NEVER = 1704067200
@@ -38,7 +39,8 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_edges(links(spark, sf_dir))
+    """As written once, however often they are read."""
+    return Scratch(spark).save(as_edges(links(spark, sf_dir)))
 
 
 def clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -400,3 +400,47 @@ def test_coherence_takes_the_first_five(spark):
     edges = spark.createDataFrame([(i, 0, i) for i in range(1, 8)], "seq long, src long, dst long")
     got = ranking.coherence(nodes.where("id = 0"), graph.adjacency(edges), nodes, [1.0, 0.0]).first()
     assert got["coherence"] == 1.0
+
+
+@pytest.mark.parametrize("threshold", [-1.0, 0.2])
+def test_strips_keep_the_nearest_and_ties_go_to_lower_ids(monkeypatch, threshold):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((90, 5)).astype(np.float32)
+    v[30:40], v[41], v[50:54] = v[3], 0, v[50]
+    ids = np.sort(rng.choice(1000, 90, replace=False)) - 500
+    monkeypatch.setattr(graph, "STRIP", (16, 11))
+    side = lambda m: graph._Side(pa.Table.from_pylist([{"ids": ids[m].astype("<i8").tobytes(), "vectors": v[m].tobytes(), "size": 4}]), 0)
+    few = np.arange(90) % 3 == 0
+    x, y = side(few), side(~few)
+    got = sorted((int(a), int(b), s) for part in graph._best_before(x, y, 4, threshold) for a, b, s in zip(*part))
+    sim, want = x.cosines(np.repeat(np.arange(len(x)), len(y)), y, np.tile(np.arange(len(y)), len(x))).reshape(len(x), len(y)), []
+    for i, a in enumerate(x.ids):
+        order = [j for j in np.lexsort((y.ids, -sim[i])) if y.ids[j] <= a and sim[i, j] >= threshold]
+        want += [(int(a), int(y.ids[j]), sim[i, j]) for j in order[:4]]
+    assert got == sorted(want)
+
+
+def test_a_pass_over_all_pairs_moves_each_node_a_fixed_number_of_times(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = lambda n: spark.range(n).select("id", F.array(F.rand(1), F.rand(2)).cast("array<float>").alias("embedding"))
+    monkeypatch.setattr(graph, "BLOCK", 10)
+    moved = {n: graph._block_pairs(rows(n)).agg(F.sum(F.length("vectors"))).first()[0] for n in (1000, 4000)}
+    assert moved[4000] == 4 * moved[1000] == 4 * 1000 * 8 * graph.SIDE
+    monkeypatch.setattr(graph, "WIDEST", 100 * 16)
+    assert graph._blocks(rows(4000))[1] == 40  # no block is wider than that
+
+
+def test_links_of_copies_are_those_of_the_sql(spark, tmp_path):
+    from quillon.plans.oracle import _CTES
+
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((400, 64)).astype(np.float32)
+    v[100:200] = v[:100]
+    v[300:350] = v[150:200]
+    df = spark.createDataFrame([(3 * i, [float(y) for y in x]) for i, x in enumerate(v)], "id long, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/n")
+    found = duckdb.sql(f"with nodes as (select id, embedding::double[] as v from '{tmp_path}/n/*.parquet'),\n{_CTES['links']}\nselect src, dst, sim, rank from links").fetchall()
+    assert sorted(map(tuple, graph.auto_link(df, 0.3).collect())) == sorted(found)
