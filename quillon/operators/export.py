@@ -27,7 +27,7 @@ def legend(clusters: DataFrame) -> DataFrame:
 def server_nodes(nodes: DataFrame, clusters: DataFrame, members: DataFrame) -> DataFrame:
     """(id, label, content, significance, cluster_id, colour): with the root cluster, grey without one."""
     roots = members.join(clusters.where("parent_id is null").select("cluster_id"), "cluster_id", "left_semi").select(F.col("node_id").alias("id"), "cluster_id")
-    rows = nodes.join(roots, "id", "left").join(legend(clusters).select("cluster_id", "colour"), "cluster_id", "left")
+    rows = nodes.join(roots, "id", "left").join(F.broadcast(legend(clusters).select("cluster_id", "colour")), "cluster_id", "left")  # a row per root
     return rows.select("id", label(F.col("content"), F.col("id")).alias("label"), "content", "significance", "cluster_id", F.coalesce("colour", F.lit(GREY)).alias("colour"))
 
 
@@ -121,10 +121,38 @@ def context(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select(F.array_join(F.transform("all", lambda x: x["content"]), "\n").alias("context"))
 
 
+def _shown_nodes(nodes: DataFrame, clusters: DataFrame, members: DataFrame) -> DataFrame:
+    return server_nodes(nodes, clusters, members).select(F.struct("id", "label", "content", "significance", "cluster_id", F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.col("colour").alias("color")).alias("node"))
+
+
+def _shown_edges(edges: DataFrame) -> DataFrame:
+    return edges.select(F.least("src", "dst").alias("source"), F.greatest("src", "dst").alias("target")).distinct().select(F.struct("source", "target").alias("edge"))
+
+
+def _shown_clusters(clusters: DataFrame) -> DataFrame:
+    """One row."""
+    return legend(clusters).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("cluster_id").cast("string"), F.struct(F.col("cluster_id").alias("id"), F.col("colour").alias("color"), "node_count", "significance"))))).alias("clusters"))
+
+
+def _snapshot(nodes, edges, clusters):
+    return F.to_json(F.struct(F.lit("graph_snapshot").alias("type"), F.struct(nodes.alias("nodes"), edges.alias("edges"), clusters.alias("clusters")).alias("data")), {"ignoreNullFields": "false"}).alias("event")
+
+
 def snapshot_event(nodes: DataFrame, edges: DataFrame, clusters: DataFrame, members: DataFrame) -> DataFrame:
-    """(event): JSON {"type": "graph_snapshot", "data": {nodes, edges, clusters}}; for graphs that a viewer can show."""
-    n = server_nodes(nodes, clusters, members).agg(F.array_sort(F.collect_list(F.struct("id", "label", "content", "significance", "cluster_id", F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.col("colour").alias("color")))).alias("nodes"))
-    e = edges.select(F.least("src", "dst").alias("source"), F.greatest("src", "dst").alias("target")).distinct().agg(F.array_sort(F.collect_list(F.struct("source", "target"))).alias("edges"))
-    c = legend(clusters).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("cluster_id").cast("string"), F.struct(F.col("cluster_id").alias("id"), F.col("colour").alias("color"), "node_count", "significance"))))).alias("clusters"))
-    data = F.struct("nodes", "edges", "clusters")
-    return n.crossJoin(e).crossJoin(c).select(F.to_json(F.struct(F.lit("graph_snapshot").alias("type"), data.alias("data")), {"ignoreNullFields": "false"}).alias("event"))
+    """(event): JSON {"type": "graph_snapshot", "data": {nodes, edges, clusters}}; for graphs that a viewer can show, since it is one text."""
+    n = _shown_nodes(nodes, clusters, members).agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    e = _shown_edges(edges).agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    return n.crossJoin(e).crossJoin(_shown_clusters(clusters)).select(_snapshot(F.col("nodes"), F.col("edges"), F.col("clusters")))
+
+
+def snapshot_parts(nodes: DataFrame, edges: DataFrame, clusters: DataFrame, members: DataFrame) -> DataFrame:
+    """(event): the snapshot of a graph of any size in parts, an event for each node, one for each link and one for all root clusters.
+
+    Each is JSON as that of snapshot_event; together their nodes, edges and
+    clusters are the snapshot's, and fold_events takes those of one seq as one.
+    """
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    no_cluster = F.create_map().cast("map<string,string>")
+    out = _shown_nodes(nodes, clusters, members).select(_snapshot(F.array("node"), none("string"), no_cluster))
+    out = out.union(_shown_edges(edges).select(_snapshot(none("string"), F.array("edge"), no_cluster)))
+    return out.union(_shown_clusters(clusters).select(_snapshot(none("string"), none("string"), F.col("clusters"))))

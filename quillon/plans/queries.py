@@ -25,7 +25,7 @@ def _r(df: DataFrame, *names: str) -> DataFrame:
 
 def _linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, adjacency), the links computed once."""
-    edges = Scratch(spark).save(T.edges(spark, d))
+    edges = T.edges(spark, d)
     return T.scored_nodes(spark, d), edges, graph.adjacency(edges)
 
 
@@ -238,10 +238,10 @@ def rag_context(spark, d):
 
 
 def snapshot_event(spark, d):
-    clusters, members = T.clusters(spark, d)
-    event = export.snapshot_event(T.nodes(spark, d), T.edges(spark, d), clusters, members)
+    parts = export.snapshot_parts(T.nodes(spark, d), T.edges(spark, d), *T.clusters(spark, d))
     j = lambda p: F.get_json_object("event", p)
-    return event.select(j("$.type").alias("type"), j("$.data.nodes[0].id").cast("long").alias("first_node"), j("$.data.nodes[0].color").alias("first_colour"), j("$.data.clusters.3.node_count").cast("long").alias("size_of_3"), F.size(F.from_json(j("$.data.edges"), "array<struct<source:long,target:long>>")).cast("long").alias("n_edges"))
+    each = parts.select(j("$.type").alias("type"), j("$.data.nodes[0].id").cast("long").alias("node"), j("$.data.nodes[0].color").alias("colour"), j("$.data.clusters.3.node_count").cast("long").alias("three"), F.size(F.from_json(j("$.data.edges"), "array<struct<source:long,target:long>>")).cast("long").alias("edges"))
+    return each.agg(F.min("type").alias("type"), F.min("node").alias("first_node"), F.min_by("colour", "node").alias("first_colour"), F.max("three").alias("size_of_3"), F.sum("edges").alias("n_edges"))
 
 
 def agglomerative_flat(spark, d):
@@ -276,31 +276,35 @@ def stream_ingest(spark, d):
     return _r(spark.read.schema(ingest.LINKS).parquet(f"{root}/out/links").select("src", "dst", "sim", "rank"), "sim")
 
 
-def _state(spark, d, upto):
-    """{nodes, edges, clusters} of the nodes below an id."""
-    nodes = T.vectors(spark, d).where(F.col("id") < upto)
-    edges = graph.as_edges(graph.auto_link(nodes, T.LINK_AT))
-    sizes = nodes.groupBy(F.col("significance").cast("long").alias("id")).agg(F.count("*").alias("node_count"))
-    return {"nodes": nodes.select("id", F.col("significance").cast("int").alias("significance")), "edges": graph.undirected(edges), "clusters": sizes}
+def _states(spark, d):
+    """(first of the last tenth of the ids, {nodes, edges, clusters} of the nodes below it, and of all).
+
+    A node's links go to those before it, so the links of the nodes below an id are those that start below it.
+    """
+    every, edges = T.vectors(spark, d), T.edges(spark, d)
+    many = every.agg(F.max("id") + 1).first()[0]
+    upto = many - many // 10
+
+    def state(nodes, edges):
+        sizes = nodes.groupBy(F.col("significance").cast("long").alias("id")).agg(F.count("*").alias("node_count"))
+        return {"nodes": nodes.select("id", F.col("significance").cast("int").alias("significance")), "edges": graph.undirected(edges), "clusters": sizes}
+
+    return upto, state(every.where(F.col("id") < upto), edges.where(F.col("src") < upto)), state(every, edges)
 
 
 def delta_events(spark, d):
     """From the graph of all nodes but the last tenth to that of all."""
-    many = T.vectors(spark, d).agg(F.max("id") + 1).first()[0]
-    return ingest.events(_state(spark, d, many - many // 10), _state(spark, d, many))
+    return ingest.events(*_states(spark, d)[1:])
 
 
 def event_fold(spark, d):
     """What a viewer has after the snapshot of all nodes but the last tenth and the events that follow."""
-    many = T.vectors(spark, d).agg(F.max("id") + 1).first()[0]
-    upto = many - many // 10
-    old, new = _state(spark, d, upto), _state(spark, d, many)
-    clusters, members = T.clusters(spark, d)
+    upto, old, new = _states(spark, d)
     edges = old["edges"].select(F.lit(0).alias("seq"), F.col("source").alias("src"), F.col("target").alias("dst"))
-    first = export.snapshot_event(T.nodes(spark, d).where(F.col("id") < upto), edges, clusters, members)
+    first = export.snapshot_parts(T.nodes(spark, d).where(F.col("id") < upto), edges, *T.clusters(spark, d))
     head = first.select(F.lit(0).cast("long").alias("seq"), F.lit("graph_snapshot").alias("type"), F.get_json_object("event", "$.data").alias("data"))
     after = ingest.events({**old, "clusters": new["clusters"]}, new).select(F.lit(1).cast("long").alias("seq"), "type", "data")
-    folded = ingest.fold_events(head.union(after))
+    folded = ingest.fold_events(Scratch(spark).save(head.union(after)))
     nodes = folded["nodes"].select(F.lit("node").alias("kind"), "id", F.lit(None).cast("long").alias("target"), "color")
     return nodes.union(folded["edges"].select(F.lit("edge"), "source", "target", F.lit(None).cast("string"))).union(folded["clusters"].select(F.lit("cluster"), "id", F.lit(None).cast("long"), "color"))
 

@@ -85,10 +85,11 @@ DATA = f"struct<nodes:array<struct<{NODE.replace(' ', ':').replace(',:', ',')}>>
 def fold_events(events: DataFrame) -> dict[str, DataFrame]:
     """{nodes, edges, clusters} as a viewer has them after events (seq, type, data), in the order of seq.
 
-    A graph_snapshot replaces all that was before; node_added and edge_added
-    add what isn't there yet (of a node that is, the first stays; a link counts
-    whichever way it points); cluster_updated changes a cluster and the colour
-    of its nodes. Other types change nothing.
+    A graph_snapshot replaces all that was before; those of one seq are parts
+    of one snapshot. node_added and edge_added add what isn't there yet (of a
+    node that is, the first stays; a link counts whichever way it points);
+    cluster_updated changes a cluster and the colour of its nodes. Other types
+    change nothing.
     """
     last = events.where("type = 'graph_snapshot'").agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("since"))  # one row
     rows = events.crossJoin(F.broadcast(last)).where("seq >= since").select("seq", "type", "data")
@@ -100,6 +101,6 @@ def fold_events(events: DataFrame) -> dict[str, DataFrame]:
     updates = of("cluster_updated", CLUSTER).select("seq", "x.*")
     clusters = snapshot.select("seq", F.explode(F.map_values("x.clusters")).alias("x")).select("seq", "x.*").union(updates)
     clusters = clusters.groupBy("id").agg(F.max_by(F.struct("color", "node_count", "significance"), "seq").alias("x")).select("id", "x.*")
-    recolour = updates.groupBy(F.col("id").alias("cluster_id")).agg(F.max_by("color", "seq").alias("new"), F.max("seq").alias("at"))
-    nodes = nodes.join(recolour, "cluster_id", "left").select("id", "label", "content", "significance", "cluster_id", F.when(F.col("at") > F.col("since"), F.col("new")).otherwise(F.col("color")).alias("color"))
+    recolour = updates.groupBy(F.col("id").alias("cluster_id")).agg(F.max_by("color", "seq").alias("new"), F.max("seq").alias("at"))  # a row per cluster
+    nodes = nodes.join(F.broadcast(recolour), "cluster_id", "left").select("id", "label", "content", "significance", "cluster_id", F.when(F.col("at") > F.col("since"), F.col("new")).otherwise(F.col("color")).alias("color"))
     return {"nodes": nodes, "edges": edges, "clusters": clusters}

@@ -444,3 +444,26 @@ def test_links_of_copies_are_those_of_the_sql(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/n")
     found = duckdb.sql(f"with nodes as (select id, embedding::double[] as v from '{tmp_path}/n/*.parquet'),\n{_CTES['links']}\nselect src, dst, sim, rank from links").fetchall()
     assert sorted(map(tuple, graph.auto_link(df, 0.3).collect())) == sorted(found)
+
+
+def test_parts_of_a_snapshot_are_the_snapshot(spark, data):
+    import json
+
+    from quillon.operators import export
+    from quillon.sources import tables as T
+    from quillon.streaming import ingest
+
+    d = f"{data}/sf0.001"
+    args = T.nodes(spark, d), T.edges(spark, d), *T.clusters(spark, d)
+    whole = json.loads(export.snapshot_event(*args).first()["event"])
+    parts = [json.loads(r["event"]) for r in export.snapshot_parts(*args).collect()]
+    assert all(p["type"] == whole["type"] and len(p["data"]["nodes"]) + len(p["data"]["edges"]) <= 1 for p in parts)
+    assert sorted((n for p in parts for n in p["data"]["nodes"]), key=lambda n: n["id"]) == whole["data"]["nodes"]
+    assert sorted((e for p in parts for e in p["data"]["edges"]), key=lambda e: (e["source"], e["target"])) == whole["data"]["edges"]
+    assert [p["data"]["clusters"] for p in parts if p["data"]["clusters"]] == [whole["data"]["clusters"]]
+    texts = lambda of: spark.createDataFrame([(4, "graph_snapshot", json.dumps(p["data"])) for p in of], "seq long, type string, data string")
+    one, many = ingest.fold_events(texts([whole])), ingest.fold_events(texts(parts))
+    for kind in one:
+        assert sorted(map(str, one[kind].collect())) == sorted(map(str, many[kind].collect()))
+    empty = [df.limit(0) for df in args]
+    assert [json.loads(r["event"])["data"] for r in export.snapshot_parts(*empty).collect()] == [{"nodes": [], "edges": [], "clusters": {}}]
