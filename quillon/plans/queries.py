@@ -265,14 +265,16 @@ def snapshot_roundtrip(spark, d):
 
 
 def stream_ingest(spark, d):
-    """Four batches; each links to those before."""
-    root = Scratch(spark).root
+    """Four batches; each links to those before. A batch is as many files as tasks wrote, and is taken in before the next is written."""
+    scratch = Scratch(spark)
+    root = scratch.root
     rows = T.nodes(spark, d).select("id", "content", "embedding", "significance")
-    size = -(-(rows.agg(F.max("id")).first()[0] + 1) // 4)
+    size = -(-(T.vectors(spark, d).agg(F.max("id")).first()[0] + 1) // 4)
+    placed = scratch.save(rows.withColumn("batch", F.floor(F.col("id") / size).cast("int")), by="batch")
     for i in range(4):
-        rows.where(F.col("id").between(i * size, (i + 1) * size - 1)).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    files = ingest.stream_nodes(spark, f"{root}/in", files_per_trigger=1)
-    ingest.ingest(files, f"{root}/out", f"{root}/state", T.LINK_AT).awaitTermination()
+        placed.where(F.col("batch") == i).select(*rows.columns).write.mode("append").parquet(f"{root}/in")
+        files = ingest.stream_nodes(spark, f"{root}/in", files_per_trigger=1_000_000)
+        ingest.ingest(files, f"{root}/out", f"{root}/state", T.LINK_AT).awaitTermination()
     return _r(spark.read.schema(ingest.LINKS).parquet(f"{root}/out/links").select("src", "dst", "sim", "rank"), "sim")
 
 

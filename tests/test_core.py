@@ -505,3 +505,21 @@ def test_a_clustering_holds_no_pairs_in_memory():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(parts) == 10 and sorted(i for p in parts for i in p) == list(range(len(v))) and most < 200e6
+
+
+def test_a_batch_of_the_stream_is_written_by_all_tasks(spark, data, monkeypatch):
+    from quillon.streaming import ingest
+
+    seen, real = [], ingest.stream_nodes
+    monkeypatch.setattr(ingest, "stream_nodes", lambda s, path, **more: seen.append(len([f for f in os.listdir(path.removeprefix("file:")) if f.endswith(".parquet")])) or real(s, path, **more))
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        got = sorted(map(tuple, QUERIES["stream_ingest"](spark, f"{data}/sf0.001").collect()))
+        assert seen == [4, 8, 12, 16]
+        assert got == sorted(map(tuple, QUERIES["auto_link"](spark, f"{data}/sf0.001").collect()))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
